@@ -4,8 +4,8 @@ Every document of a source is taken the whole part of target / source size times
 probability that the cube method turns into 0 or 1. The flight phase moves the probabilities of three documents at a
 time along the null space of the two balancing equations (words and documents of the source), so that both totals stay
 as they were; it runs in blocks of a bounded number of documents. What is left undecided in a block (two documents at
-most) goes into blocks of the next level, until one block of a source is left, whose last documents land on the choice
-whose words come nearest to the target.
+most) goes into blocks of the next level, until one block of a source is left, where the last ones and a few more
+documents land on the choice whose words come nearest to the target.
 
 Defined results: a null or empty text has size 0 and is taken 0 times or more without changing any total; a null source
 is a source of its own, after all others; repeated rows are documents of their own; an empty table gives no rows; more
@@ -26,6 +26,7 @@ from scholia.llm.store import Stored
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 BLOCK_ROWS = 1024
+LANDING_ROWS = 12
 MAX_SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,24 +95,26 @@ def flight(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.array(val)
 
 
-def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """0 or 1 for the few that are left: the choice whose words, then number, come nearest to the expected ones."""
-    p = prob.copy()
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    if len(open_):
-        words, docs = float(p[open_] @ size[open_]), float(p[open_].sum())
-        best = min(itertools.product((0, 1), repeat=len(open_)), key=lambda c: (abs(float(np.dot(c, size[open_])) - words), abs(sum(c) - docs), c))
-        p[open_] = best
+def land(prob: np.ndarray, landed: np.ndarray, size: np.ndarray, most: int = LANDING_ROWS) -> np.ndarray:
+    """0 or 1 for all: the few left by the flight and the next documents of the block, `most` together, are decided anew
+    so that their words, then their number, come nearest to what is expected of the block."""
+    p = landed.copy()
+    open_ = (p > 0) & (p < 1)
+    if open_.any():
+        some = np.concatenate((np.flatnonzero(open_), np.flatnonzero(~open_ & (prob > 0) & (prob < 1))))[:most]
+        rest = np.setdiff1d(np.arange(len(p)), some)
+        words, docs = prob @ size - p[rest] @ size[rest], prob.sum() - p[rest].sum()
+        choice = np.array(list(itertools.product((0, 1), repeat=len(some))))
+        p[some] = choice[np.lexsort((np.abs(choice.sum(1) - docs), np.abs(choice @ size[some] - words)))[0]]
     return p
 
 
 def _fly(last: bool):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the longest first: what stays undecided is short, and so is the error of the landing
-        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
-        size = pdf["size"].to_numpy()
-        p = flight(pdf["p"].to_numpy(), size)
-        return pdf.assign(p=land(p, size) if last else p)
+        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last")
+        size, prob = pdf["size"].to_numpy(), pdf["p"].to_numpy()
+        p = flight(prob, size)
+        return pdf.assign(p=land(prob, p, size) if last else p)
 
     return block
 
