@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scholia.llm.mixing import mix_sources
+from scholia.llm.near_dup import near_duplicates
 from scholia.llm.packing import pack
 
 
@@ -19,13 +20,18 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents: 2-word shingles, similarity 0.8."""
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens."""
     return pack(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op7_mix_sources)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
