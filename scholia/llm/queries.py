@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholia.llm.mixing import mix_sources
 from scholia.llm.near_dup import near_duplicates
 from scholia.llm.packing import pack
+from scholia.llm.pii import find_pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,8 +31,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return find_pii(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op7_mix_sources)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op7_mix_sources, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
