@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholia.llm.language import language_id
 from scholia.llm.mixing import mix_sources
 from scholia.llm.near_dup import near_duplicates
 from scholia.llm.packing import pack
@@ -16,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents so that the sources weigh 1, 2, 3, repeating."""
     return mix_sources(_read(spark, sf_dir, "documents"))
@@ -37,7 +43,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op7_mix_sources, op8_pii)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op5_language_id, op7_mix_sources, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
