@@ -33,13 +33,14 @@ from scholia.llm.components import connected_components
 from scholia.llm.store import Stored
 from scholia.llm.textvec import shingles, slices
 
-#: Retained values: at similarity 0.8 the estimate from 64 has a standard deviation of 0.05.
-SKETCH = 64
+#: Retained values: at similarity 0.8 the estimate from 48 has a standard deviation of 0.058.
+SKETCH = 48
 #: Subtracted from the threshold for the estimate: five standard deviations.
-SLACK = 0.25
+SLACK = 0.29
 LIST_ROWS = 32
-#: A document with at least this share of its values in short lists needs no long list.
-ENOUGH_SHORT = 0.45
+#: A document with at least this share of its values in short lists needs no long list: five standard deviations more
+#: than the share of them that a partner may lack.
+ENOUGH_SHORT = 0.5
 
 
 def _longs(values: list[np.ndarray]) -> pa.Array:
@@ -89,17 +90,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
         return p.select("a", "b", estimate.alias("est")).where(F.col("est") >= percent / 100 - SLACK)
 
     # inverted lists
-    values = reps.select("rep", "n", F.explode("sketch").alias("v"))
+    values = reps.select("rep", F.explode("sketch").alias("v"))
     lists = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
     listed = store.keep(values.join(lists, "v"))
+    crowded = listed.where(F.col("m") > list_rows).groupBy("rep").agg(F.count("*").alias("long"))
+    meta = store.keep(reps.select("rep", "n").join(crowded, "rep", "left").selectExpr("rep", "n", "coalesce(long, 0) long"))
     short = listed.where(F.col("m") <= list_rows)
-    cold = (
-        short.selectExpr("v", "rep as a", "n as na").join(short.selectExpr("v", "rep as b", "n as nb"), "v")
-        .where((F.col("a") < F.col("b")) & _fits(percent)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
-    )
+    cold = short.selectExpr("v", "rep as a").join(short.selectExpr("v", "rep as b"), "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    cold = cold.join(meta.selectExpr("rep as a", "n as na", "long as la"), "a").join(meta.selectExpr("rep as b", "n as nb", "long as lb"), "b")
+    # both hold at least as many values as the union's sketch shows; those of long lists may all be common
+    cold = cold.where(_fits(percent)).where(f"overlap + least(la, lb) >= {percent / 100 - SLACK} * least({sketch}, greatest(na, nb))")
     # documents that live in long lists
-    crowded = listed.where(F.col("m") > list_rows).groupBy("rep").agg(F.count("*").alias("long"))
-    crowd = reps.join(crowded, "rep").where(F.col("long") > (1 - ENOUGH_SHORT) * F.size("sketch"))
+    crowd = reps.join(meta.where("long > 0").select("rep", "long"), "rep").where(F.col("long") > (1 - ENOUGH_SHORT) * F.size("sketch"))
     runs = F.expr("transform(sequence(1, greatest(1, size(sketch) - 2)), i -> xxhash64(slice(sketch, i, 3)))")
     runs = F.when(F.size("sketch") <= 5, F.concat(runs, F.expr("transform(sequence(1, greatest(1, size(sketch) - 1)), i -> xxhash64(slice(sketch, i, 2)))"))).otherwise(runs)
     keyed = store.keep(crowd.select("rep", "n", F.explode(F.array_distinct(runs)).alias("run")))
@@ -107,16 +109,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     leaders = led.groupBy("run", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("run", "rep")).alias("l"))
     star = led.join(leaders, ["run", "band"]).selectExpr("least(rep, l.rep) a", "greatest(rep, l.rep) b", "n as na", "l.n as nb").where((F.col("a") < F.col("b")) & _fits(percent))
     pairs = store.keep(estimated(cold.select("a", "b").unionByName(star.select("a", "b")).distinct()))
-    store.drop(listed)
+    store.drop(listed, meta)
+    # full sets of all that may be compared, made once
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(keyed.select(F.col("rep").alias("doc_id"))).distinct()
+    sets = store.keep(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
-        ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = store.keep(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>"))
         p = pairs.join(sets.selectExpr("id as a", "s as sa"), "a").join(sets.selectExpr("id as b", "s as sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        out = store.keep(p.where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b"))
-        store.drop(sets)
-        return out
+        return store.keep(p.where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b"))
 
     def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of different groups."""
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     groups = store.keep(connected_components(links, store))
     known = reps.select("key", "rep").join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("key", "coalesce(component, rep) component_id")
     known = store.keep(known)
-    store.drop(reps, pairs, keyed)
+    store.drop(reps, pairs, keyed, sets)
     full = rows.where("key is not null").join(known, "key", "left").select("doc_id", "n", "component_id")
     out = full.unionByName(rows.where("key is null").selectExpr("doc_id", "n", "doc_id as component_id"))
     return out.selectExpr("doc_id", "n as n_shingles", "component_id", "coalesce(doc_id = component_id, component_id is null) as kept")
