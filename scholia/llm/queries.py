@@ -12,6 +12,7 @@ from scholia.llm.mixing import mix_sources
 from scholia.llm.near_dup import near_duplicates
 from scholia.llm.packing import pack
 from scholia.llm.pii import find_pii
+from scholia.llm.quality import quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,8 +49,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op5_language_id, op7_mix_sources, op8_pii)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op5_language_id, op7_mix_sources, op8_pii, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
