@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scholia.llm.embed_dup import near_duplicate_vectors
+from scholia.llm.html_text import extract_text
 from scholia.llm.language import language_id
 from scholia.llm.mixing import mix_sources
 from scholia.llm.near_dup import near_duplicates
@@ -54,8 +55,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op5_language_id, op7_mix_sources, op8_pii, op9_quality)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op5_language_id, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
