@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from scholia.llm.embed_dup import near_duplicate_vectors
 from scholia.llm.html_text import extract_text
 from scholia.llm.language import language_id
+from scholia.llm.licences import oracle as licence_sql
+from scholia.llm.licences import scan_licences
 from scholia.llm.mixing import mix_sources
 from scholia.llm.near_dup import near_duplicates
 from scholia.llm.packing import pack
@@ -23,6 +25,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in all documents."""
+    return scan_licences(_read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     return language_id(_read(spark, sf_dir, "documents"))
@@ -70,8 +77,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op5_language_id, op6_exact_topk, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_license_scan, op5_language_id, op6_exact_topk, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": search_sql(10)}
+    return {"op4_license_scan": licence_sql(), "op6_exact_topk": search_sql(10)}
