@@ -173,7 +173,7 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return out, letters
 
 
-def _label(model: Model | None):
+def _label(model: Model | None, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from scholia.llm.textvec import slices
 
@@ -192,8 +192,8 @@ def _label(model: Model | None):
                 p = 1 / np.exp2(-(need - need.min(1, keepdims=True)) / 8).sum(1)
                 pred += [m.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 score += [float(s) if ok else 0.0 for s, ok in zip(p, letters, strict=True)]
-            kept = [i for i, n in enumerate(b.schema.names) if n not in ("lang_pred", "score")]
-            yield pa.record_batch([b.column(i) for i in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[b.schema.names[i] for i in kept] + ["lang_pred", "score"])
+            kept = [i for i, n in enumerate(b.schema.names) if n not in names]
+            yield pa.record_batch([b.column(i) for i in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[b.schema.names[i] for i in kept] + list(names))
 
     return run
 
@@ -224,12 +224,12 @@ def learn(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int
     return fit(samples, sample_chars)
 
 
-def identify_languages(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` (any columns, with text) with lang_pred and score; columns of these names are replaced."""
+def identify_languages(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` (any columns, with text) with the language and its score under `names`; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    kept = [f for f in docs.schema.fields if f.name not in names]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(_label(sent), f"{ddl}, lang_pred string, score double")
+    return docs.mapInArrow(_label(sent, names), f"{ddl}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_id(docs: DataFrame, **bounds: int) -> DataFrame:
