@@ -3,10 +3,10 @@
 1. One hash function orders the shingles of a document; the k smallest are its sketch. Documents with equal sets are one
    class from here on, so groups of exact copies, however large, cost one member.
 2. Inverted lists of the retained values generate overlaps: lists of at most `list_rows` members give all their pairs.
-3. A longer list belongs to a value that many texts share. A document most of whose values stand in short lists shares
-   one of those with every partner and needs no long list. The others are compared by runs of three values that follow
-   each other in the sketch (a link of at most one miss in five cannot break all runs): first every member with one
-   leader of the run, then, once links are grouped, only members of different groups.
+3. A longer list belongs to a value that many texts share. A document half of whose values stand in short lists shares
+   one of those with every partner and needs no long list. The others are compared by the rarest shingles of their full
+   sets, of which linked ones must share one: first every document with one leader for the shingle, then, once links are
+   grouped, only documents of different groups.
 4. The share of the union's bottom k that both hold estimates the similarity; pairs far below the threshold go.
 5. The rest is confirmed on full sets: the best partner of each document first, then only pairs of different groups.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.components import connected_components
@@ -100,19 +100,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     cold = cold.join(meta.selectExpr("rep as a", "n as na", "long as la"), "a").join(meta.selectExpr("rep as b", "n as nb", "long as lb"), "b")
     # both hold at least as many values as the union's sketch shows; those of long lists may all be common
     cold = cold.where(_fits(percent)).where(f"overlap + least(la, lb) >= {percent / 100 - SLACK} * least({sketch}, greatest(na, nb))")
+    pairs = store.keep(estimated(cold.select("a", "b")))
     # documents that live in long lists
-    crowd = reps.join(meta.where("long > 0").select("rep", "long"), "rep").where(F.col("long") > (1 - ENOUGH_SHORT) * F.size("sketch"))
-    runs = F.expr("transform(sequence(1, greatest(1, size(sketch) - 2)), i -> xxhash64(slice(sketch, i, 3)))")
-    runs = F.when(F.size("sketch") <= 5, F.concat(runs, F.expr("transform(sequence(1, greatest(1, size(sketch) - 1)), i -> xxhash64(slice(sketch, i, 2)))"))).otherwise(runs)
-    keyed = store.keep(crowd.select("rep", "n", F.explode(F.array_distinct(runs)).alias("run")))
-    led = keyed.where("pmod(run, 8) = 0").withColumn("band", F.expr(f"floor(ln(n) / ln(100 / {percent}))"))
-    leaders = led.groupBy("run", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("run", "rep")).alias("l"))
-    star = led.join(leaders, ["run", "band"]).selectExpr("least(rep, l.rep) a", "greatest(rep, l.rep) b", "n as na", "l.n as nb").where((F.col("a") < F.col("b")) & _fits(percent))
-    pairs = store.keep(estimated(cold.select("a", "b").unionByName(star.select("a", "b")).distinct()))
+    crowd = store.keep(meta.where(f"long > {1 - ENOUGH_SHORT} * least({sketch}, n)").select("rep", "n"))
     store.drop(listed, meta)
     # full sets of all that may be compared, made once
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(keyed.select(F.col("rep").alias("doc_id"))).distinct()
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowd.select(F.col("rep").alias("doc_id"))).distinct()
     sets = store.keep(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>"))
+    # their rarest shingles: linked ones share one of the first n - ceil(n * similarity) + 1
+    tokens = crowd.join(sets, F.col("rep") == F.col("id")).select("rep", "n", F.explode("s").alias("t"))
+    tokens = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("m")), "t")
+    tokens = tokens.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("m", "t"))).where(f"pos <= n - (n * {percent} + 99) div 100 + 1 and m > 1")
+    keyed = store.keep(tokens.select("rep", "n", "t", "pos"))
+    led = keyed.where("pmod(t, 4) = 0").withColumn("band", F.expr(f"floor(ln(n) / ln(100 / {percent}))"))
+    leaders = led.groupBy("t", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("t", "rep")).alias("l"))
+    star = led.join(leaders, ["t", "band"]).selectExpr("least(rep, l.rep) a", "greatest(rep, l.rep) b", "n as na", "l.n as nb").where((F.col("a") < F.col("b")) & _fits(percent))
+    pairs = pairs.unionByName(store.keep(estimated(star.select("a", "b").distinct()))).dropDuplicates(["a", "b"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
@@ -128,20 +131,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     best = both.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
     links = confirmed(best)
     groups = store.keep(connected_components(links, store))
-    # members of the same run that are not joined yet
-    g = keyed.join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("run", "rep", "n", "coalesce(component, rep) g")
-    split = g.groupBy("run").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("run")
-    g = g.join(split, "run")
+    # documents of one rare shingle that are not joined yet, as far as what follows it in both can make a link
+    g = keyed.join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("t", "pos", "rep", "n", "coalesce(component, rep) g")
+    split = g.groupBy("t").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("t")
+    g = g.join(split, "t")
     late = (
-        g.selectExpr("run", "rep as a", "n as na", "g as ga").join(g.selectExpr("run", "rep as b", "n as nb", "g as gb"), "run")
-        .where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _fits(percent)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+        g.selectExpr("t", "pos as pa", "rep as a", "n as na", "g as ga").join(g.selectExpr("t", "pos as pb", "rep as b", "n as nb", "g as gb"), "t")
+        .where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _fits(percent))
+        .where(f"(least(na - pa, nb - pb) + 1) * {100 + percent} >= {percent} * (na + nb)").select("a", "b").distinct()
     )
     rest = apart(pairs, groups).select("a", "b").unionByName(estimated(late.select("a", "b")).select("a", "b")).distinct()
     links = links.unionByName(confirmed(store.keep(rest)))
     groups = store.keep(connected_components(links, store))
     known = reps.select("key", "rep").join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("key", "coalesce(component, rep) component_id")
     known = store.keep(known)
-    store.drop(reps, pairs, keyed, sets)
+    store.drop(reps, keyed, sets)
     full = rows.where("key is not null").join(known, "key", "left").select("doc_id", "n", "component_id")
     out = full.unionByName(rows.where("key is null").selectExpr("doc_id", "n", "doc_id as component_id"))
     return out.selectExpr("doc_id", "n as n_shingles", "component_id", "coalesce(doc_id = component_id, component_id is null) as kept")
