@@ -158,7 +158,7 @@ def examples(seed: int = 11, rows: int = 4000) -> tuple[np.ndarray, np.ndarray]:
 
     def negative() -> tuple[int, str, str]:
         cue = r.choice(OTHER_CUES) if r.random() < 0.7 else word()
-        pick = r.randrange(9)
+        pick = r.randrange(10)
         if pick == 0:
             return 3, f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 31):02d}", cue
         if pick == 1:
@@ -172,6 +172,9 @@ def examples(seed: int = 11, rows: int = 4000) -> tuple[np.ndarray, np.ndarray]:
         if pick == 5:
             d = n(16)
             return 2, r.choice([".", "/", "_"]).join(d[i : i + 4] for i in range(0, 16, 4)), cue
+        if pick == 9:
+            d = card() if r.random() < 0.5 else n(16)
+            return 3, r.choice([" ", "-"]).join(d[i : i + 4] for i in range(0, len(d), 4)), r.choice((cue, *CUES[2]))
         if pick == 6:
             return 1, " . ".join(str(r.randint(0, 40)) for _ in range(4)), cue
         if pick == 7:
@@ -320,7 +323,7 @@ def _find(model: Boosted, cut: tuple[float, ...], redact: bool):
             kinds_ = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             out = [pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)]
             kept = [i for i, n in enumerate(b.schema.names) if n != "_suspect"]
-            yield pa.record_batch([b.column(i) for i in kept] + out + ([pa.array(texts, pa.string())] if redact else []), names=[b.schema.names[i] for i in kept] + _NAMES + ["_redacted"] * redact)
+            yield pa.record_batch([b.column(i) for i in kept] + out + ([pa.array(texts, pa.string())] if redact else []), names=[b.schema.names[i] for i in kept] + ([f"_{n}" for n in _NAMES] + ["_redacted"] if redact else _NAMES))
 
     return run
 
@@ -345,7 +348,7 @@ def redact_pii(docs: DataFrame, *, precision: float = PRECISION) -> DataFrame:
     names = docs.columns
     suspect = F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("_suspect")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.select("*", suspect).mapInArrow(_find(model, cut, True), f"{ddl}, {_TYPES}, _redacted string")
+    out = docs.select("*", suspect).mapInArrow(_find(model, cut, True), f"{ddl}, {', '.join('_' + t for t in _TYPES.split(', '))}, _redacted string")
     out = out.withColumn("text", F.coalesce("_redacted", "text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("_redacted").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
