@@ -97,7 +97,7 @@ def scoring_key(text: Column) -> Column:
     row = r"(?:Algebra I{1,2}|Geometry)\s+\w+\.?\s+['’]?[0-9]{2}\s+([0-9]{1,2})\s+([0-9])\s+MC\s+[0-9]"
     q, a = F.regexp_extract_all(text, F.lit(row), F.lit(1)), F.regexp_extract_all(text, F.lit(row), F.lit(2))
     pairs = F.arrays_zip(F.transform(q, lambda x: x.cast("int")).alias("q"), F.transform(a, lambda x: x.cast("int")).alias("a"))
-    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(F.transform(pairs, lambda p: p["0"]), F.lit(1), i), x["0"])))
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(F.transform(pairs, lambda p: p["q"]), F.lit(1), i), x["q"])))
 
 
 def with_answers(questions: DataFrame, keys: DataFrame, last_choice: int = 24) -> DataFrame:
@@ -180,7 +180,7 @@ def unit_lessons(html: Column, prefix: str) -> Column:
     """Distinct (unit, lesson) pairs in the links of an index page."""
     pattern = rf'href="{prefix}/unit-([0-9]+)/lesson-([0-9]+)'
     u, n = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    return F.sort_array(F.array_distinct(F.transform(F.arrays_zip(u.alias("u"), n.alias("n")), lambda x: F.struct(x["0"].cast("int").alias("unit"), x["1"].cast("int").alias("lesson")))))
+    return F.sort_array(F.array_distinct(F.transform(F.arrays_zip(u.alias("u"), n.alias("n")), lambda x: F.struct(x["u"].cast("int").alias("unit"), x["n"].cast("int").alias("lesson")))))
 
 
 def place_in_book(books: DataFrame, modules: DataFrame) -> DataFrame:
