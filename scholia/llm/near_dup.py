@@ -8,7 +8,8 @@
    sets, of which linked ones must share one: first every document with one leader for the shingle, then, once links are
    grouped, only documents of different groups.
 4. The share of the union's bottom k that both hold estimates the similarity; pairs far below the threshold go.
-5. The rest is confirmed on full sets: the best partner of each document first, then only pairs of different groups.
+5. The rest is confirmed on full sets: leaders and the best partner of each document first, then only pairs of different
+   groups.
 
 Full sets are 64-bit hashes of the shingles. No pair of a group that is already joined is looked at, so a group of m
 near copies costs about m comparisons. Nothing but counts reaches the driver.
@@ -37,7 +38,7 @@ from scholia.llm.textvec import shingles, slices
 SKETCH = 48
 #: Subtracted from the threshold for the estimate: five standard deviations.
 SLACK = 0.29
-LIST_ROWS = 32
+LIST_ROWS = 16
 #: A document with at least this share of its values in short lists needs no long list: five standard deviations more
 #: than the share of them that a partner may lack.
 ENOUGH_SHORT = 0.5
@@ -112,10 +113,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     tokens = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("m")), "t")
     tokens = tokens.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("m", "t"))).where(f"pos <= n - (n * {percent} + 99) div 100 + 1 and m > 1")
     keyed = store.keep(tokens.select("rep", "n", "t", "pos"))
-    led = keyed.where("pmod(t, 4) = 0").withColumn("band", F.expr(f"floor(ln(n) / ln(100 / {percent}))"))
-    leaders = led.groupBy("t", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("t", "rep")).alias("l"))
+    # one document leads all the lists that it is in, so that copies of one text get one leader
+    led = keyed.withColumn("band", F.expr(f"floor(ln(n) / ln(100 / {percent}))"))
+    leaders = led.groupBy("t", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep")).alias("l"))
     star = led.join(leaders, ["t", "band"]).selectExpr("least(rep, l.rep) a", "greatest(rep, l.rep) b", "n as na", "l.n as nb").where((F.col("a") < F.col("b")) & _fits(percent))
-    pairs = pairs.unionByName(store.keep(estimated(star.select("a", "b").distinct()))).dropDuplicates(["a", "b"])
+    star = store.keep(estimated(star.select("a", "b").distinct()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
@@ -129,7 +131,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
 
     both = pairs.unionByName(pairs.selectExpr("b as a", "a as b", "est"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
-    links = confirmed(best)
+    links = confirmed(best.unionByName(star.select("a", "b")).distinct())
     groups = store.keep(connected_components(links, store))
     # documents of one rare shingle that are not joined yet, as far as what follows it in both can make a link
     g = keyed.join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("t", "pos", "rep", "n", "coalesce(component, rep) g")
