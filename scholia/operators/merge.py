@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.standards import tier_rank
+from scholia.sources.columns import item_id
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, key: list[str], *, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -116,6 +117,20 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(key), key, "left_anti")
 
 
+def upsert_crosswalk(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Crosswalk rows by standard prefix and exam."""
+    return merge_by_key(old, new, ["standard_id", "exam_series"])
+
+
+def insert_items(chunks: DataFrame, items: DataFrame, *, score: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """Chunks and publisher alignments of the items (style, standard_id, exam_series, item_type, dok_level, difficulty,
+    grade_band, question, answer_key) that the chunks don't have yet; an unknown exam series raises."""
+    new = items.withColumn("family", series_family(F.col("exam_series"))).withColumn("chunk_id", F.concat_ws("-", "family", item_id(F.col("style"), F.col("standard_id"), F.col("question"))))
+    new = insert_absent(chunks, new.dropDuplicates(["chunk_id"]), "chunk_id")
+    rows = new.select("chunk_id", F.concat("family", F.lit("-items")).alias("book_id"), F.concat_ws(": ", "exam_series", "standard_id").alias("title"), F.col("question").alias("content"), F.lit("assessment").alias("content_type"), "item_type", "dok_level", "answer_key", "exam_series", "difficulty", "grade_band", F.lit("style_generated").alias("item_generation"), F.lit(0).alias("stale"))
+    return rows, new.select("chunk_id", "standard_id", F.lit(score).alias("alignment_score"), F.lit("publisher_guide").alias("alignment_source"))
+
+
 def series_family(series):
     """Slug of an exam series' family; unknown series raise."""
     return (

@@ -73,10 +73,10 @@ def q4_filtered_content(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT q.question_id, q.standard_id, 'no_aligned_content' reason, (SELECT string_agg(DISTINCT source_id, ',' ORDER BY source_id) FROM fx_chunks WHERE stale = 0) available_sources
-FROM fx_questions q WHERE NOT EXISTS (SELECT 1 FROM ({_ANCESTORS}) p JOIN fx_alignments a USING (standard_id) JOIN fx_chunks c USING (chunk_id) WHERE p.question_id = q.question_id AND a.stale = 0 AND c.stale = 0 AND c.content_type = 'assessment' AND c.dok_level = 2 AND c.source_id = 'src-3')""")
+FROM fx_questions q WHERE NOT EXISTS (SELECT 1 FROM ({_ANCESTORS}) p JOIN fx_alignments a USING (standard_id) JOIN fx_chunks c USING (chunk_id) WHERE p.question_id = q.question_id AND a.stale = 0 AND c.stale = 0 AND c.content_type = 'assessment' AND c.dok_level = 2 AND c.source_id = 'src-3' AND c.ord % 6 = 0)""")
 def q6_unanswered(s: SparkSession, d: str) -> DataFrame:
     chunks = view(s, d, "fx_chunks")
-    hits = retrieve.content_for_standards(view(s, d, "fx_questions"), view(s, d, "fx_alignments"), chunks, k=1, dok_level=2, source="src-3")
+    hits = retrieve.content_for_standards(view(s, d, "fx_questions"), view(s, d, "fx_alignments"), chunks.where("ord % 6 = 0"), k=1, dok_level=2, source="src-3")
     return retrieve.unanswered(view(s, d, "fx_questions"), hits, chunks)
 
 
@@ -277,11 +277,11 @@ def a5_outliers(s: SparkSession, d: str) -> DataFrame:
 
 
 _LEVELS = """SELECT s.standard_id, s.domain, s.grade, coalesce(n, 0) chunks, avg_score, max_score, CASE WHEN coalesce(n, 0) >= 3 THEN 'strong' WHEN coalesce(n, 0) >= 1 THEN 'weak' ELSE 'none' END AS level FROM fx_standards s LEFT JOIN
-(SELECT standard_id, count(DISTINCT chunk_id) n, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, max(alignment_score) max_score FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.source_id = 'src-1' AND c.grade_band = '6-8' GROUP BY standard_id) g USING (standard_id)"""
+(SELECT standard_id, count(DISTINCT chunk_id) n, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, max(alignment_score) max_score FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.source_id = 'src-1' AND c.grade_band = '6-8' AND c.ord % 7 = 0 GROUP BY standard_id) g USING (standard_id)"""
 
 
 def _narrow(s: SparkSession, d: str) -> DataFrame:
-    chunks = view(s, d, "fx_chunks").where("source_id = 'src-1' and grade_band = '6-8'")
+    chunks = view(s, d, "fx_chunks").where("source_id = 'src-1' and grade_band = '6-8' and ord % 7 = 0")
     return audit.standard_coverage(view(s, d, "fx_standards"), view(s, d, "fx_alignments"), chunks)
 
 
@@ -537,9 +537,9 @@ def v12_flagged_left(s: SparkSession, d: str) -> DataFrame:
     return review.flagged_left(review.flag_band(a), view(s, d, "fx_chunks"))
 
 
-@query("""SELECT standard_id, standard_text FROM fx_standards WHERE standard_id IN (SELECT standard_id FROM fx_alignments WHERE stale = 0) AND standard_id NOT IN (SELECT a.standard_id FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.exam_series = 'SAT' AND c.ord % 10 = 0)""")
+@query("""SELECT standard_id, standard_text FROM fx_standards WHERE standard_id IN (SELECT standard_id FROM fx_alignments WHERE stale = 0) AND standard_id NOT IN (SELECT a.standard_id FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.exam_series = 'SAT' AND c.ord % 250 = 0)""")
 def v13_generation_candidates(s: SparkSession, d: str) -> DataFrame:
-    c = view(s, d, "fx_chunks").withColumn("exam_series", F.expr("if(ord % 10 = 0, exam_series, null)"))
+    c = view(s, d, "fx_chunks").withColumn("exam_series", F.expr("if(ord % 250 = 0, exam_series, null)"))
     return review.generation_candidates(view(s, d, "fx_alignments"), c, view(s, d, "fx_standards"), "SAT")
 
 
@@ -596,3 +596,72 @@ def b2_build_pairs(s: SparkSession, d: str) -> DataFrame:
 def b7_tally(s: SparkSession, d: str) -> DataFrame:
     text = F.expr("case when quality = 1 and doc_id % 3 > 0 then 'Yes.' when quality = 1 then 'partial, mostly' when doc_id % 2 = 0 then ' no' else '?' end")
     return evals.tally(view(s, d, "labels").select(evals.parse_grade(text).alias("grade")))
+
+
+@query("""SELECT coalesce(o.standard_id, n.standard_id) standard_id, coalesce(o.exam_series, n.exam_series) exam_series, CASE WHEN n.exam_series IS NOT NULL THEN n.skill_domain ELSE o.skill_domain END skill_domain, CASE WHEN n.exam_series IS NULL THEN 'kept' WHEN o.exam_series IS NULL THEN 'added' ELSE 'updated' END _change
+FROM fx_crosswalk o FULL OUTER JOIN (SELECT standard_id, 'SAT' exam_series, lower(skill_domain) skill_domain FROM fx_crosswalk) n ON o.standard_id = n.standard_id AND o.exam_series = n.exam_series""")
+def l8_crosswalk_upsert(s: SparkSession, d: str) -> DataFrame:
+    w = view(s, d, "fx_crosswalk")
+    return merge.upsert_crosswalk(w, w.selectExpr("standard_id", "'SAT' as exam_series", "lower(skill_domain) skill_domain"))
+
+
+@query("""WITH i AS (SELECT standard_id, concat('Question on ', standard_text) question, CASE std_num % 3 WHEN 0 THEN 'SAT' WHEN 1 THEN 'NAEP Grade 8' ELSE 'Smarter Balanced 7' END exam_series FROM fx_standards),
+c AS (SELECT *, concat(CASE exam_series WHEN 'SAT' THEN 'sat' WHEN 'NAEP Grade 8' THEN 'naep' ELSE 'smarter-balanced' END, '-', substr(sha256(concat('st:', standard_id, ':', substr(question, 1, 80))), 1, 12)) chunk_id FROM i)
+SELECT chunk_id, standard_id, 0.95e0 alignment_score, 'publisher_guide' alignment_source FROM c""")
+def l9_insert_items(s: SparkSession, d: str) -> DataFrame:
+    items = view(s, d, "fx_standards").selectExpr("'st' as style", "standard_id", "case std_num % 3 when 0 then 'SAT' when 1 then 'NAEP Grade 8' else 'Smarter Balanced 7' end exam_series", "'mc' as item_type", "1 as dok_level", "0.5D as difficulty", "'6-8' as grade_band", "concat('Question on ', standard_text) question", "'A' as answer_key")
+    return merge.insert_items(view(s, d, "fx_chunks"), items)[1]
+
+
+@query("SELECT chunk_id, coalesce(CASE WHEN ord % 2 = 0 THEN grade_band END, CASE WHEN CAST(substr(book_id, 6) AS INTEGER) % 3 > 0 THEN '9-12' END) grade_band FROM fx_chunks")
+def l3_inherited_grades(s: SparkSession, d: str) -> DataFrame:
+    c = view(s, d, "fx_chunks").selectExpr("chunk_id", "book_id", "if(ord % 2 = 0, grade_band, null) grade_band")
+    books = c.select("book_id").distinct().selectExpr("book_id as id", "if(int(substr(book_id, 6)) % 3 > 0, '9-12', null) grade_band")
+    return merge.inherit_grades(c, books).select("chunk_id", "grade_band")
+
+
+@query(f"""{_BM25.replace("stale = 0 GROUP", "stale = 0 AND chunk_id IN (SELECT chunk_id FROM fx_docs WHERE content_type = 'summary' AND grade_band = '6-8' AND ord % 3 = 0) GROUP")} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) rank FROM k WHERE rank <= 5""")
+def q14_filtered_search(s: SparkSession, d: str) -> DataFrame:
+    docs = view(s, d, "fx_docs")
+    ok = search.filtered(docs, content_type="summary", grade_band="6-8", aligned_to=docs.where("ord % 3 = 0"))
+    return search.keyword_hits(view(s, d, "fx_queries"), docs, ok, limit=5)
+
+
+_TAGS = "concat(CAST(o_orderkey % 10 AS VARCHAR), '.', CASE o_orderkey % 3 WHEN 0 THEN 'NF' WHEN 1 THEN 'RP' ELSE 'G' END, CASE WHEN o_orderkey % 4 > 0 THEN '.A' ELSE '' END, '.', CAST(o_orderkey % 7 AS VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN '.b' ELSE '' END)"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_TAGS} tag FROM orders), p AS (SELECT *, string_split(tag, '.') p FROM t), q AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN list_slice(p, 1, len(p) - 1) ELSE p END low, CASE WHEN o_orderkey % 4 > 0 THEN list_concat(list_slice(p, 1, 2), list_slice(p, 4, len(p))) ELSE p END cut FROM p)
+SELECT o_orderkey, tag, CASE WHEN o_orderkey % 10 <= 5 THEN CASE WHEN len(low) >= 3 THEN concat('CCSS.MATH.', array_to_string(low, '.')) END
+ELSE CASE WHEN len(CASE WHEN o_orderkey % 5 = 0 THEN list_slice(cut, 1, len(cut) - 1) ELSE cut END) >= 3 THEN concat('CCSS.MATH.', array_to_string(CASE WHEN o_orderkey % 5 = 0 THEN list_slice(cut, 1, len(cut) - 1) ELSE cut END, '.')) END END lesson_id,
+CASE WHEN o_orderkey % 10 > 5 AND o_orderkey % 4 > 0 THEN concat('CCSS.MATH.', array_to_string(cut, '.')) ELSE concat('CCSS.MATH.', tag) END item_id FROM q""")
+def p11_standard_ids(s: SparkSession, d: str) -> DataFrame:
+    tags = view(s, d, "orders").selectExpr("o_orderkey", f"{_TAGS.replace('VARCHAR', 'STRING')} tag")
+    return tags.select("o_orderkey", "tag", S.id_from_lesson_tag(F.col("tag")).alias("lesson_id"), S.id_from_item_tag(F.col("tag")).alias("item_id"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'K-5' WHEN 1 THEN CASE WHEN c_custkey % 12 <= 5 THEN 'K-5' WHEN c_custkey % 12 <= 8 THEN '6-8' ELSE '9-12' END WHEN 2 THEN '9-12' END band FROM customer""")
+def p13_grade_bands(s: SparkSession, d: str) -> DataFrame:
+    title = F.expr("case c_custkey % 4 when 0 then 'Kindergarten math' when 1 then concat(c_custkey % 12, 'th grade') when 2 then 'Pre-algebra' else 'Arithmetic' end")
+    return view(s, d, "customer").select("c_custkey", C.grade_band(title).alias("band"))
+
+
+@query("""SELECT align_id, chunk_id, standard_id, round(CASE align_id % 5 WHEN 0 THEN least(0.95e0, alignment_score + 0.05e0) WHEN 1 THEN least(0.65e0, alignment_score - 0.10e0) ELSE alignment_score END, 6) alignment_score, CASE WHEN align_id % 5 <= 1 THEN 'llm_verified' ELSE alignment_source END alignment_source,
+CASE align_id % 5 WHEN 0 THEN 'aligned' WHEN 1 THEN 'not_aligned' WHEN 2 THEN 'error' ELSE 'unasked' END outcome FROM fx_alignments WHERE align_id IN (SELECT align_id FROM fx_alignments GROUP BY align_id HAVING count(*) = 1)""")
+def v9_rescored(s: SparkSession, d: str) -> DataFrame:
+    a = view(s, d, "fx_alignments")
+    a = a.join(a.groupBy("align_id").count().where("count = 1").select("align_id"), "align_id")
+    answers = a.where("align_id % 5 <= 2").selectExpr("align_id", """case align_id % 5 when 0 then '{"aligned": true, "reason": "x"}' when 1 then '{"aligned": false}' else 'sorry' end answer""")
+    return review.rescore(a, answers).select("align_id", "chunk_id", "standard_id", "alignment_score", "alignment_source", "outcome")
+
+
+@query("""SELECT d.chunk_id, concat('Does this content teach the standard? Answer YES or NO.', chr(10), 'Standard ', s.standard_id, ': ', s.standard_text, chr(10), 'Parts: (none)', chr(10), 'Title: ', d.title, chr(10), substr(d.content, 1, 1500)) prompt FROM fx_docs d JOIN fx_standards s ON s.std_num = d.ord""")
+def v5_prompts(s: SparkSession, d: str) -> DataFrame:
+    j = view(s, d, "fx_docs").join(view(s, d, "fx_standards"), F.col("std_num") == F.col("ord"))
+    return j.select("chunk_id", review.verify_prompt(F.col("standard_id"), F.col("standard_text"), F.lit("(none)"), F.col("title"), F.col("content")).alias("prompt"))
+
+
+@query("""SELECT new_part AS part, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after FROM (SELECT part new_part, 1 b, 0 a FROM fx_chunks UNION ALL SELECT CASE WHEN part = 'core' AND CAST(substr(book_id, 6) AS INTEGER) % 2 = 0 THEN 'ncsa' ELSE part END, 0, 1 FROM fx_chunks) GROUP BY 1""")
+def l11_split_counts(s: SparkSession, d: str) -> DataFrame:
+    c = view(s, d, "fx_chunks")
+    books = c.select("book_id").distinct().selectExpr("book_id as id", "if(int(substr(book_id, 6)) % 2 = 0, 'CC BY-NC 4.0', 'CC BY 4.0') license")
+    return merge.split_counts(merge.split_by_licence(books, c))
