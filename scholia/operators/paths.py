@@ -11,18 +11,17 @@ from scholia.operators.coverage import best_alignments
 
 def prerequisites(questions: DataFrame, standards: DataFrame, edges: DataFrame, *, depth: int = 1) -> DataFrame:
     """(question_id, standard_id, distance): every question's standard and what leads up to it within `depth` steps, at its
-    least distance. Each step joins only what the step before has found, and a standard already found is not found again,
-    so cycles end. The edges have source_id (needs) and target_id (is needed)."""
+    least distance. Each step joins the distinct (question, standard) pairs of the step before with the edges of the
+    catalogue, so a level never holds more than one row for each pair and cycles end with the depth. The edges have
+    source_id (needs) and target_id (is needed)."""
     known = standards.select("system", "standard_id")
-    start = questions.join(known, ["system", "standard_id"]).select("question_id", "system", "standard_id", F.lit(0).alias("distance"))
-    pre = edges.where("relationship = 'prerequisite'").select(F.col("source_id").alias("standard_id"), "target_id")
-    seen = front = start
+    level = questions.join(known, ["system", "standard_id"]).select("question_id", "system", "standard_id").distinct()
+    pre = edges.where("relationship = 'prerequisite'").select(F.col("source_id").alias("standard_id"), "target_id").join(known.select("system", F.col("standard_id").alias("target_id")), "target_id").distinct()
+    seen = level.withColumn("distance", F.lit(0))
     for d in range(1, depth + 1):
-        step = front.join(pre, "standard_id").select("question_id", "system", F.col("target_id").alias("standard_id")).distinct()
-        step = step.join(known, ["system", "standard_id"], "left_semi").join(seen.select("question_id", "standard_id"), ["question_id", "standard_id"], "left_anti")
-        front = step.select("question_id", "system", "standard_id", F.lit(d).alias("distance"))
-        seen = seen.unionByName(front)
-    return seen.select("question_id", "standard_id", "distance")
+        level = level.join(pre, ["standard_id", "system"]).select("question_id", "system", F.col("target_id").alias("standard_id")).distinct()
+        seen = seen.unionByName(level.withColumn("distance", F.lit(d)))
+    return seen.groupBy("question_id", "standard_id").agg(F.min("distance").alias("distance"))
 
 
 def learning_paths(questions: DataFrame, standards: DataFrame, edges: DataFrame, alignments: DataFrame, chunks: DataFrame, *, depth: int = 1, k: int = 2) -> DataFrame:
