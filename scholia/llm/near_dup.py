@@ -42,6 +42,10 @@ LIST_ROWS = 16
 #: A document with at least this share of its values in short lists needs no long list: five standard deviations more
 #: than the share of them that a partner may lack.
 ENOUGH_SHORT = 0.5
+#: Leaders that a document of long lists is compared with before the rest of its lists.
+LEADERS = 6
+#: Ids (of 8 bytes) that may be sent to every task to find their texts; more are joined by a shuffle.
+MOST_BROADCAST_IDS = 2_000_000
 
 
 def _longs(values: list[np.ndarray]) -> pa.Array:
@@ -107,6 +111,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     store.drop(listed, meta)
     # full sets of all that may be compared, made once
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowd.select(F.col("rep").alias("doc_id"))).distinct()
+    ends = store.keep(ends)
+    ends = F.broadcast(ends) if ends.count() <= MOST_BROADCAST_IDS else ends
     sets = store.keep(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>"))
     # their rarest shingles: linked ones share one of the first n - ceil(n * similarity) + 1
     tokens = crowd.join(sets, F.col("rep") == F.col("id")).select("rep", "n", F.explode("s").alias("t"))
@@ -116,8 +122,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     # one document leads all the lists that it is in, so that copies of one text get one leader
     led = keyed.withColumn("band", F.expr(f"floor(ln(n) / ln(100 / {percent}))"))
     leaders = led.groupBy("t", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep")).alias("l"))
-    star = led.join(leaders, ["t", "band"]).selectExpr("least(rep, l.rep) a", "greatest(rep, l.rep) b", "n as na", "l.n as nb").where((F.col("a") < F.col("b")) & _fits(percent))
-    star = store.keep(estimated(star.select("a", "b").distinct()))
+    # and each document is compared with a few of its leaders, those first that lead most
+    mine = led.join(leaders, ["t", "band"]).where("rep <> l.rep").where(F.expr(f"least(n, l.n) * 100 >= {percent} * greatest(n, l.n)"))
+    mine = mine.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("l.rep").alias("h"), F.col("l.rep").alias("r")))), 1, LEADERS).alias("ls")).select("rep", F.explode("ls.r").alias("r"))
+    star = store.keep(estimated(mine.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
