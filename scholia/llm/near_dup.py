@@ -98,13 +98,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     values = reps.select("rep", F.explode("sketch").alias("v"))
     lists = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
     listed = store.keep(values.join(lists, "v"))
-    crowded = listed.where(F.col("m") > list_rows).groupBy("rep").agg(F.count("*").alias("long"))
-    meta = store.keep(reps.select("rep", "n").join(crowded, "rep", "left").selectExpr("rep", "n", "coalesce(long, 0) long"))
+    long = listed.where(F.col("m") > list_rows).groupBy("rep").agg(F.count("*").alias("long"))
+    meta = store.keep(reps.select("rep", "n").join(long, "rep", "left").selectExpr("rep", "n", "coalesce(long, 0) long"))
     short = listed.where(F.col("m") <= list_rows)
     cold = short.selectExpr("v", "rep as a").join(short.selectExpr("v", "rep as b"), "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
     cold = cold.join(meta.selectExpr("rep as a", "n as na", "long as la"), "a").join(meta.selectExpr("rep as b", "n as nb", "long as lb"), "b")
     # both hold at least as many values as the union's sketch shows; those of long lists may all be common
     cold = cold.where(_fits(percent)).where(f"overlap + least(la, lb) >= {percent / 100 - SLACK} * least({sketch}, greatest(na, nb))")
+    # two documents that live in long lists are compared below
+    crowded = lambda x: f"l{x} > {1 - ENOUGH_SHORT} * least({sketch}, n{x})"
+    cold = cold.where(f"not ({crowded('a')} and {crowded('b')})")
     pairs = store.keep(estimated(cold.select("a", "b")))
     # documents that live in long lists
     crowd = store.keep(meta.where(f"long > {1 - ENOUGH_SHORT} * least({sketch}, n)").select("rep", "n"))
