@@ -7,16 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.standards import FLAG_SCORE, grade_distance
 
 TOP_K, THRESHOLD, PENALTY = 5, 0.65, 0.02
-#: Standards scored at once against a batch of chunks; larger catalogues go block by block.
-BLOCK_STANDARDS = 4096
-#: Bytes of a catalogue's vectors that may be sent to every task; a larger catalogue is scored block by block.
-MOST_BROADCAST = 256 << 20
+#: Rows and bytes of vectors in a block, at most; each task compares one block of either side.
+BLOCK_ROWS = 4096
+MOST_BLOCK = 16 << 20
 
 
 def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -75,93 +75,76 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-9)
 
 
-def cosine_top_k(left: DataFrame, right: DataFrame, *, k: int, threshold: float, block: int = BLOCK_STANDARDS, most: int = MOST_BROADCAST) -> DataFrame:
-    """(left_id, right_id, score) of the k right rows with the highest cosine of each left row (id, vector), from `threshold`.
-
-    The right side goes to every task, in blocks of at most `most` bytes: one pass over the left side for each block. A
-    task multiplies Arrow batches and keeps k of each row, so nothing but results is shuffled, and only if there are
-    several blocks."""
-    size = right.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    parts = max(1, -(-int(size["n"] or 0) * int(size["d"] or 0) * 8 // most))
-    out = None
-    for part in range(parts):
-        some = right.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part) if parts > 1 else right
-        rows = some.select("id", "vector").orderBy("id").collect()
-        if not rows:
-            continue
-        ids, matrix = np.array([r["id"] for r in rows]), unit_rows(np.array([r["vector"] for r in rows], float))
-        sent = left.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, m = sent.value
-            for pdf in batches:
-                keep = [(v is not None and len(v) == m.shape[1]) for v in pdf["vector"]]
-                pdf = pdf[keep]
-                for at in range(0, len(pdf), 1024):
-                    x = unit_rows(np.stack(pdf["vector"].iloc[at : at + 1024].to_numpy()).astype(float))
-                    own = pdf["id"].iloc[at : at + 1024].to_numpy()
-                    got = []
-                    for c in range(0, len(ids), block):
-                        s = x @ m[c : c + block].T
-                        n = min(k, s.shape[1])
-                        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                        floor = np.take_along_axis(s, top, 1).min(1, keepdims=True)
-                        i, j = np.nonzero((s >= threshold) & (s >= floor - 1e-12))  # ties at the edge stay for the ranking
-                        got.append(pd.DataFrame({"left_id": own[i], "right_id": ids[c + j], "score": s[i, j]}))
-                    g = pd.concat(got)
-                    g["score"] = g["score"].round(9)
-                    g = g.sort_values(["score", "right_id"], ascending=[False, True])
-                    yield g.groupby("left_id", sort=False).head(k)
-
-        lt, rt = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-        found = left.select("id", "vector").mapInPandas(run, f"left_id {lt}, right_id {rt}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("there are no rows to compare with")
-    if parts > 1:
-        w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-        out = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
-    return out
-
-
-def align(chunks: DataFrame, vectors: DataFrame, standards: DataFrame, standard_vectors: DataFrame, *, k: int = TOP_K, threshold: float = THRESHOLD, flag: float = FLAG_SCORE, penalty: float = PENALTY, system: str | None = None, books: list[str] | None = None) -> DataFrame:
+def _matrix(t: pa.Table) -> np.ndarray:
+    flat = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return unit_rows(flat.reshape(len(t), -1))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table, pa.Table], np.ndarray | float], *, k: int, threshold: float, digits: int, block: int, most: int) -> DataFrame:
+    """(left_id, right_id, score) of the k best right rows of each left row (id, vector, ...): cosine less `penalty`.
+
+    Both sides are dealt into blocks by a hash, every pair of blocks is one group, and k of each row are kept in each and
+    merged by a window; only counts come to the driver. Vectors of different lengths are not compared."""
+    count = lambda df: df.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    n, m = count(left), count(right)
+    rows = max(1, min(block, most // (8 * max(n["d"] or 1, m["d"] or 1, 1))))
+    own, other = max(1, -(-n["n"] // rows)), max(1, -(-m["n"] // rows))
+
+    def dealt(df: DataFrame, parts: int, name: str, against: int, to: str) -> DataFrame:
+        df = df.where("vector is not null").withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int"))
+        return df.withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(against - 1)))).withColumn("d", F.size("vector"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        got = [pd.DataFrame({"left_id": [], "right_id": [], "score": []})]
+        if len(a) and len(b):
+            y, right_id = _matrix(b), b["id"].to_numpy()
+            for at in range(0, len(a), 1024):
+                some = a.slice(at, 1024)
+                s = _matrix(some) @ y.T - penalty(some, b)
+                c = min(k, s.shape[1])
+                floor = np.partition(s, s.shape[1] - c, axis=1)[:, s.shape[1] - c, None]
+                i, j = np.nonzero((s >= threshold) & (s >= floor - 1e-9))  # ties at the edge stay for the ranking
+                g = pd.DataFrame({"left_id": some["id"].to_numpy()[i], "right_id": right_id[j], "score": s[i, j]})
+                g["score"] = g["score"].round(digits)
+                got.append(g.sort_values(["score", "right_id"], ascending=[False, True]).groupby("left_id", sort=False).head(k))
+        out = pd.concat(got[1:]) if len(got) > 1 else got[0]
+        return pa.table({"left_id": pa.array(out["left_id"], a.schema.field("id").type), "right_id": pa.array(out["right_id"], b.schema.field("id").type), "score": pa.array(out["score"], pa.float64())})
+
+    lt, rt = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    pairs = dealt(left, own, "own", other, "other").groupBy("own", "other", "d").cogroup(dealt(right, other, "other", own, "own").groupBy("own", "other", "d"))
+    out = pairs.applyInArrow(run, f"left_id {lt}, right_id {rt}, score double")
+    w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def cosine_top_k(left: DataFrame, right: DataFrame, *, k: int, threshold: float, block: int = BLOCK_ROWS, most: int = MOST_BLOCK) -> DataFrame:
+    """(left_id, right_id, score) of the k right rows with the highest cosine of each left row (id, vector), from `threshold`."""
+    return _block_pairs(left.select("id", "vector"), right.select("id", "vector"), lambda a, b: 0.0, k=k, threshold=threshold, digits=9, block=block, most=most)
+
+
+def align(chunks: DataFrame, vectors: DataFrame, standards: DataFrame, standard_vectors: DataFrame, *, k: int = TOP_K, threshold: float = THRESHOLD, flag: float = FLAG_SCORE, penalty: float = PENALTY, system: str | None = None, books: list[str] | None = None, block: int = BLOCK_ROWS, most: int = MOST_BLOCK) -> DataFrame:
     """Every live chunk's k best standards by cosine less `penalty` for each year outside its grade band, from `threshold`.
 
     chunks: chunk_id, title, content_type, grade_band, book_id, stale; vectors: chunk_id, vector; standards: standard_id,
-    system, grade; standard_vectors: standard_id, vector. The penalty is the same for all chunks of a band, so each band
-    (a fixed few) is scored by one product with its own penalties inside the task.
+    system, grade; standard_vectors: standard_id, vector. The penalty is the same for all chunks of a band, so a standard
+    carries its years for each band (a fixed few).
     """
     s = standards.where(F.col("system") == system) if system else standards
-    s = s.join(standard_vectors, "standard_id").select("standard_id", "grade", "vector")
-    rows = s.orderBy("standard_id").collect()
-    size = sum(len(r["vector"]) * 8 for r in rows)
-    if size > MOST_BROADCAST:
-        raise ValueError(f"the catalogue's vectors take {size} bytes: align it system by system")
+    names = ("K-5", "K-8", "6-8", "9-12", "college")
+    years = F.array(*[grade_distance(F.lit(b), F.col("grade")).cast("double") for b in names])
+    s = s.join(standard_vectors, "standard_id").select(F.col("standard_id").alias("id"), years.alias("years"), "vector")
     c = chunks.where("stale = 0").where(~F.coalesce(is_generic_exercise(F.col("content_type"), F.col("title")), F.lit(False)))
     c = c.where(F.col("book_id").isin(books)) if books else c
-    c = c.select("chunk_id", "grade_band").join(vectors, "chunk_id")
-    bands = F.array(*[F.lit(b) for b in ("K-5", "K-8", "6-8", "9-12", "college")])
-    distance = s.select("standard_id", F.transform(bands, lambda b: grade_distance(b, F.col("grade"))).alias("d")).orderBy("standard_id").collect()
-    ids, m = np.array([r["standard_id"] for r in rows]), unit_rows(np.array([r["vector"] for r in rows], float)) if rows else np.zeros((0, 1))
-    years = np.array([r["d"] for r in distance], float).reshape(len(rows), 5).T * penalty
-    sent = chunks.sparkSession.sparkContext.broadcast((ids, m, years))
-    place = {"k-5": 0, "k-8": 1, "6-8": 2, "9-12": 3, "college": 4}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m, years = sent.value
-        for pdf in batches:
-            for at in range(0, len(pdf) if len(ids) else 0, 1024):
-                part = pdf.iloc[at : at + 1024]
-                x = unit_rows(np.stack(part["vector"].to_numpy()).astype(float))
-                band = np.array([place.get((b or "").strip().lower(), -1) for b in part["grade_band"]])
-                score = x @ m.T - np.where(band[:, None] >= 0, years[band], 0)
-                i, j = np.nonzero(score >= threshold)
-                g = pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy()[i], "standard_id": ids[j], "raw": score[i, j]})
-                g = g.sort_values(["raw", "standard_id"], ascending=[False, True]).groupby("chunk_id", sort=False).head(k)
-                yield g.assign(flagged=g["raw"] >= flag)
-
-    found = c.mapInPandas(run, "chunk_id string, standard_id string, raw double, flagged boolean")
-    return found.select("chunk_id", "standard_id", F.round("raw", 4).alias("alignment_score"), "flagged")
+    c = c.join(vectors, "chunk_id").select(F.col("chunk_id").alias("id"), "grade_band", "vector")
+    place = {b.lower(): i for i, b in enumerate(names)}
+
+    def less(a: pa.Table, b: pa.Table) -> np.ndarray:
+        band = np.array([place.get((x or "").strip().lower(), -1) for x in a["grade_band"].to_pylist()])
+        far = np.array(b["years"].to_pylist(), float).reshape(len(b), len(names)).T * penalty
+        return np.where(band[:, None] >= 0, far[band], 0)
+
+    found = _block_pairs(c, s, less, k=k, threshold=threshold, digits=12, block=block, most=most)
+    return found.select(F.col("left_id").alias("chunk_id"), F.col("right_id").alias("standard_id"), F.round("score", 4).alias("alignment_score"), (F.col("score") >= flag).alias("flagged"))
 
 
 def alignment_summary(chunks: DataFrame, aligned: DataFrame) -> DataFrame:

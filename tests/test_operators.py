@@ -157,6 +157,32 @@ def test_alignment(spark):
     assert one(spark, F.get(IO.decode_vectors(IO.encode_vectors(F.array(F.lit(0.5), F.lit(2.0)))), F.lit(1))) == 2.0
 
 
+def test_alignment_in_blocks_sends_no_vectors(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(90, 6)), r.normal(size=(70, 6))
+    y[40:50] = y[:10]
+    left = spark.createDataFrame([(f"c{i:02}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, vector array<double>").repartition(3)
+    sv = spark.createDataFrame([(f"s{i:02}", v.tolist()) for i, v in enumerate(y)], "standard_id string, vector array<double>")
+    st = sv.selectExpr("standard_id", "'ccss' system", "'7' grade")
+    chunks = left.selectExpr("chunk_id", "'t' title", "'exposition' content_type", "'K-5' grade_band", "'b' book_id", "0 stale")
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    best = lambda s, k, low: {(f"c{i:02}", f"s{j:02}") for i in range(90) for j in sorted((j for j in range(70) if s[i, j] >= low), key=lambda j: (-round(s[i, j], 9), j))[:k]}
+
+    collect = type(left).collect
+
+    def counts_only(df, *_):
+        assert "vector" not in getattr(df, "columns", ["vector"]), "vectors must not go through the driver"
+        return collect(df)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counts_only)
+    monkeypatch.setattr(type(left), "collect", counts_only)
+    rows = lambda df: df.toPandas().itertuples(index=False, name=None)
+    ids = lambda df: df.selectExpr(f"{df.columns[0]} id", "vector")
+    for block in (4096, 16):
+        assert {(a, b) for a, b, _ in rows(align.cosine_top_k(ids(left), ids(sv), k=4, threshold=0.3, block=block))} == best(cos, 4, 0.3)
+        assert {(a, b) for a, b, *_ in rows(align.align(chunks, left, st, sv, k=4, threshold=0.3, block=block))} == best(cos - 0.04, 4, 0.3)
+
+
 def test_search(spark):
     rows = [chunk("c-frac", title="dividing fractions", part=p) for p in ("core", "ncsa")] + [chunk("c-ratio", title="ratios and rates"), chunk("c-int", "worked_example", title="integers")]
     q = spark.createDataFrame([(1, "Dividing FRACTIONS"), (2, "!!!"), (3, "ratios")], "query_id long, query_text string")
