@@ -5,7 +5,8 @@ probability that the cube method turns into 0 or 1. The flight phase moves the p
 time along the null space of the two balancing equations (words and documents of the source), so that both totals stay
 as they were; it runs in blocks of a bounded number of documents. What is left undecided in a block (two documents at
 most) goes into blocks of the next level, until one block of a source is left, where the last ones and a few more
-documents land on the choice whose words come nearest to the target.
+documents land on the choice whose words come nearest to the target. A source of few blocks keeps a few documents out of
+the flight for that, and each source lands in its own last block, whatever the size of others.
 
 Defined results: a null or empty text has size 0 and is taken 0 times or more without changing any total; a null source
 is a source of its own, after all others; repeated rows are documents of their own; an empty table gives no rows; more
@@ -109,14 +110,17 @@ def land(prob: np.ndarray, landed: np.ndarray, size: np.ndarray, most: int = LAN
     return p
 
 
-def _fly(last: bool):
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last")
-        size, prob = pdf["size"].to_numpy(), pdf["p"].to_numpy()
-        p = flight(prob, size)
-        return pdf.assign(p=land(prob, p, size) if last else p)
-
-    return block
+def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block: the only one of its source lands; one of few leaves some documents as they are, to land with."""
+    pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last")
+    size, prob, blocks = pdf["size"].to_numpy(), pdf["p"].to_numpy(float), int(pdf["blocks"].iloc[0])
+    if blocks == 1:
+        return pdf.assign(p=land(prob, flight(prob, size), size))
+    p, wait = prob.copy(), np.zeros(len(prob), bool)
+    if blocks <= LANDING_ROWS:
+        wait[np.flatnonzero((prob > 0) & (prob < 1))[: -(-LANDING_ROWS // blocks)]] = True
+    p[~wait] = flight(prob[~wait], size[~wait])
+    return pdf.assign(p=p)
 
 
 def mix_sources(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST_REPEATS, seed: int = 7, block_rows: int = BLOCK_ROWS, max_sources: int = MAX_SOURCES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -146,9 +150,9 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST_REPEATS,
     while blocks:
         last = blocks == 1
         level = level.withColumn("block", F.pmod(F.xxhash64("h", F.lit(blocks)), "blocks"))
-        done = store.keep(level.groupBy("source", "block").applyInPandas(_fly(last), level.schema))
+        done = store.keep(level.groupBy("source", "block").applyInPandas(_fly, level.schema))
         decided.append(done.where("p = 0 or p = 1") if not last else done)
-        # two undecided documents at most of each block go on
+        # two undecided documents at most of each block go on, and those left to land with
         per = max(2, block_rows // 2)
         level = done.where("p > 0 and p < 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") / per)).cast("long"))
         blocks = 0 if last else max(1, -(-blocks // per))

@@ -40,3 +40,17 @@ def test_sources_come_near_their_targets(spark):
     key = lambda x: sorted((str(r["doc_id"]), r["taken"]) for r in x)
     assert key(mix_sources(df.repartition(7), block_rows=100).collect()) == key(got)
     assert mix_sources(df.where("false")).collect() == []
+
+
+def test_small_sources_land_with_others_beside_a_large_one(spark):
+    r = np.random.default_rng(9)
+    small = [(f"s{k}", int(r.integers(1, 400))) for k in range(12) for _ in range(40)]
+    two_blocks = [("t", int(r.integers(1, 400))) for _ in range(150)]
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(small + two_blocks + [("z", 30)] * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    miss, source = {}, {i: s for i, _, s in rows}
+    for g in mix_sources(df, block_rows=100, weights=(1, 2, 3, 1.5, 2.5)).collect():
+        s = source[g["doc_id"]]
+        miss[s] = miss.get(s, -g["target"]) + g["taken"]
+    assert all(abs(x) <= 10 for s, x in miss.items() if s != "z"), miss
+    assert abs(miss["z"]) <= 30
