@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 1024 tokens."""
-    return pack(docs)
+    return pack(docs, special=True)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("pii", personal_data), ("mixing", mixing), ("packing", packing)]

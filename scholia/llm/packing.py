@@ -37,22 +37,29 @@ class Encoder:
     """Ids of a text by a byte-level vocabulary (`<name>.json`, its ranks beside it as `<name>.tiktoken`).
 
     The ranks hold the same vocabulary as the JSON file and give the same ids about four times as fast; `same_ids`
-    checks that. Strings of special tokens in a text are ordinary text.
+    checks that. With `special`, a special token's string in a text is its one id, as the JSON file's defaults have it;
+    without, it is ordinary text.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, special: bool = False):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokens = {}
+        if special:
+            with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+                tokens = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.special = set(tokens)
+        self.encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.encoding.encode_to_numpy(text, allowed_special=self.special, disallowed_special=()).astype("<u4").tobytes()
 
 
 def same_ids(vocabulary: str, texts: list[str]) -> bool:
@@ -66,9 +73,9 @@ def same_ids(vocabulary: str, texts: list[str]) -> bool:
     return all(np.frombuffer(e.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for x in texts)
 
 
-def _pieces(vocabulary: str, capacity: int, end_id: int):
+def _pieces(vocabulary: str, capacity: int, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, special)
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -95,9 +102,9 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
     return run
 
 
-def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of `docs` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, capacity, end_id), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, capacity, end_id, special), PIECES)
 
 
 def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -231,12 +238,12 @@ def _place(before: dict[tuple[int, int], int], ranges: list[tuple[int, int, int,
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = BUCKETS, special: bool = False) -> DataFrame:
     """Every piece of `docs` with its sequence_id and offset. Only counts by (length, bucket) come to the driver and only
     they and the plan go to the tasks; the size of both is set by `capacity` and `buckets` alone."""
     spark = docs.sparkSession
     store = Stored(spark)
-    p = store.keep(pieces(docs, vocabulary, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
+    p = store.keep(pieces(docs, vocabulary, capacity, end_id, special).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
     per = {(r["length"], r["bucket"]): r["n"] for r in p.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()}
     counts: dict[int, int] = defaultdict(int)
     before = {}

@@ -68,7 +68,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens."""
-    return pack(_read(spark, sf_dir, "documents"))
+    return pack(_read(spark, sf_dir, "documents"), special=True)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from scholia.llm.packing import pack, reduce_and_fit, same_ids
+from scholia.llm.queries import queries
 
 TEXTS = ["", None, "Hello world", "  two  spaces\t", "é" * 30, "a<|endoftext|>b", "word " * 3000, "x" * 4000, "It's 12,345.", "Hello world"]
 
@@ -85,3 +87,16 @@ def test_plan_against_all_ways(seed):
 
 def test_ranks_give_the_ids_of_the_vocabulary():
     assert same_ids("byte_bpe_50k.json", [t or "" for t in TEXTS] + ["\n\n a b　c", "don't WON'T 'll", "日本語のテキスト"])
+
+
+def test_registered_packing_has_the_ids_of_the_tokenizer_with_its_defaults(spark, tmp_path):
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x " * 1500 + "<|endoftext|>", "<|endoftext|", " <|endoftext|> \n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries()["op3_best_fit_packing"](spark, str(tmp_path)).collect(), corpus_pipeline.packing(spark, d, str(tmp_path)).collect()):
+        for i, text in enumerate(texts):
+            ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+            own = [r for r in rows if r["doc_id"] == i]
+            assert sum(r["length"] for r in own) == len(ids)
+            assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
