@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from scholia.llm.store import Stored
 
 
+#: Ends that a task holds at once: bounds its memory.
+HELD_IDS = 1_000_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces a partition's links by a spanning star of each of its own components."""
+    """Replaces a partition's links by spanning stars of their components, some links at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -23,15 +27,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent.get(x, x)
         return top
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        ids = list(parent)
+        for i in range(0, len(ids), 50_000):
+            part = ids[i : i + 50_000]
+            yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+        parent.clear()
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             u, v = root(u), root(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-    ids = list(parent)
-    for i in range(0, len(ids), 50_000):
-        part = ids[i : i + 50_000]
-        yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+        if len(parent) > HELD_IDS:
+            yield from stars()
+    yield from stars()
 
 
 def connected_components(links: DataFrame, store: Stored) -> DataFrame:

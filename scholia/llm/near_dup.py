@@ -1,33 +1,37 @@
 """Near-duplicate documents by bottom-k sketches of word shingles.
 
 1. One hash function orders the shingles of a document; the k smallest are its sketch. Documents with equal sets are one
-   class from here on, so groups of exact copies, however large, cost one member.
-2. Inverted lists of the retained values generate overlaps: lists of at most `list_rows` members give all their pairs.
-3. A longer list belongs to a value that many texts share. A document half of whose values stand in short lists shares
-   one of those with every partner and needs no long list. The others are compared by the rarest shingles of their full
-   sets, of which linked ones must share one: first every document with one leader for the shingle, then, once links are
-   grouped, only documents of different groups.
-4. The share of the union's bottom k that both hold estimates the similarity; pairs far below the threshold go.
-5. The rest is confirmed on full sets: leaders and the best partner of each document first, then only pairs of different
-   groups.
-
-Full sets are 64-bit hashes of the shingles. No pair of a group that is already joined is looked at, so a group of m
-near copies costs about m comparisons. Nothing but counts reaches the driver.
+   node from here on, so groups of exact copies, however large, cost one member.
+2. Inverted lists of the retained values generate overlaps. Two sketches whose overlap can pass step 4 have one of their
+   rarest values in common (a prefix in the order of list length), so only those are listed, and a value that many texts
+   share is no one's candidate unless almost all that a text retains is as common.
+3. In each list all members meet one leader of their size first; what that links is one group, and then only members of
+   different groups meet, dealt into blocks of a bounded size where a list is long. So a group of m near copies costs
+   about m comparisons, not m * m. A pair is let through only if its sizes and its parity signatures can reach the
+   threshold: each shingle flips one bit of 512, so signatures differ in no more bits than the sets in shingles, an exact
+   bound that loses nothing.
+4. The share of the union's bottom k that both hold estimates the similarity; pairs five standard deviations below the
+   threshold go.
+5. The rest is confirmed on full sets.
+
+Full sets are 64-bit hashes of the shingles. Nothing but counts reaches the driver.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and links with nothing; a text with
-fewer words than a shingle has one, of all its words; rows with one doc_id and one text are alike in every column; a row
+fewer words than a shingle has one, of all its words; rows with one doc_id and one text are alike in every column; rows
+with one doc_id and different texts are one document that is linked with whatever any of its texts is linked with; a row
 without doc_id has its text's component (null if no other row has one) and is kept only then; an empty table gives no
-rows; other columns of the input are ignored.
+rows; other columns of the input are ignored; a very long text is hashed alone and costs memory for its own set.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.components import connected_components
@@ -36,16 +40,18 @@ from scholia.llm.textvec import shingles, slices
 
 #: Retained values: at similarity 0.8 the estimate from 48 has a standard deviation of 0.058.
 SKETCH = 48
-#: Subtracted from the threshold for the estimate: five standard deviations.
-SLACK = 0.29
-LIST_ROWS = 16
-#: A document with at least this share of its values in short lists needs no long list: five standard deviations more
-#: than the share of them that a partner may lack.
-ENOUGH_SHORT = 0.5
-#: Leaders that a document of long lists is compared with before the rest of its lists.
+#: Standard deviations below the threshold at which an estimate ends a pair.
+DEVIATIONS = 5
+#: 64-bit words of a parity signature.
+SIGNATURE = 8
+#: Leaders that a document meets before groups are formed; what they leave apart meets in its lists.
 LEADERS = 6
-#: Ids (of 8 bytes) that may be sent to every task to find their texts; more are joined by a shuffle.
-MOST_BROADCAST_IDS = 2_000_000
+#: Members of a list that one task compares with others at once.
+BLOCK_ROWS = 1024
+#: Ids (of 32 bytes) that may be sent to every task to find their texts; more are joined by a shuffle.
+MOST_BROADCAST_IDS = 1_000_000
+
+_SIG = [f"s{i}" for i in range(SIGNATURE)]
 
 
 def _longs(values: list[np.ndarray]) -> pa.Array:
@@ -54,13 +60,23 @@ def _longs(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
 
 
+def _keys(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount(s & (64 * SIGNATURE - 1), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in slices(b.column(1)):
                 sets = shingles(texts, width)
-                key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), _longs([s[:k] for s in sets])], names=["doc_id", "n", "key", "sketch"])
+                sig = np.stack([_parity(s) for s in sets])
+                fixed = [b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), _keys(sets), _longs([s[:k] for s in sets])]
+                yield pa.record_batch([*fixed, *(pa.array(sig[:, i]) for i in range(SIGNATURE))], names=["doc_id", "n", "key", "sketch", *_SIG])
 
     return run
 
@@ -68,97 +84,95 @@ def _sketches(width: int, k: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, texts in slices(b.column(1)):
-                yield pa.record_batch([b.column(0).slice(at, len(texts)), _longs(shingles(texts, width))], names=["id", "s"])
+            for _, texts in slices(b.column(1)):
+                sets = shingles(texts, width)
+                yield pa.record_batch([_keys(sets), _longs(sets)], names=["key", "s"])
 
     return run
 
 
-def _fits(percent: int) -> Column:
-    """Sizes na, nb that can reach the threshold."""
-    return F.expr(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)")
+def _can_link(na: str, nb: str, sa: str, sb: str, percent: int) -> Column:
+    """Sizes and signatures that can reach the threshold: of na + nb shingles that two sets have together, linked ones
+    have (100 - percent) / (100 + percent) at most on one side only."""
+    apart = " + ".join(f"bit_count({sa}{x} ^ {sb}{x})" for x in _SIG)
+    return F.expr(f"least({na}, {nb}) * 100 >= {percent} * greatest({na}, {nb}) and ({apart}) * {100 + percent} <= {100 - percent} * ({na} + {nb})")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketch: int = SKETCH, list_rows: int = LIST_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketch: int = SKETCH, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
     Documents are linked if 100 * common shingles >= `percent` * shingles of either.
     """
     store = Stored(docs.sparkSession)
-    rows = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(width, sketch), "doc_id long, n long, key binary, sketch array<long>"))
-    reps = store.keep(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"))
+    share = percent / 100
+    least = share - DEVIATIONS * math.sqrt(share * (1 - share) / sketch)
+    sig = ", ".join(f"{x} long" for x in _SIG)
+    rows = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(width, sketch), f"doc_id long, n long, key binary, sketch array<long>, {sig}"))
+    nodes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "sketch", *_SIG)).alias("x"))
+    nodes = store.keep(nodes.select("key", "rep", "x.*", F.monotonically_increasing_id().alias("node")))
+
+    # inverted lists of the rarest values of each sketch
+    values = nodes.select("node", F.explode("sketch").alias("v"))
+    lists = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+    listed = values.join(lists, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("l"))
+    # a pair needs so many common values; all partners of a small set have all their shingles in the sketch
+    needed = f"if(n * 100 <= {percent * sketch}, ceil(n * {percent} / 100), ceil(size(sketch) * {least!r}D))"
+    prefix = nodes.join(listed, "node").withColumn("take", F.expr(f"int(size(l) - {needed} + 1)"))
+    keyed = prefix.where("take > 0").select("node", "n", *_SIG, F.explode(F.expr("slice(l, 1, take).v")).alias("t"))
+    keyed = store.keep(keyed.withColumn("band", F.expr(f"int(floor(ln(n) / ln(100 / {percent})))")))
+
     estimate = F.expr(f"size(array_intersect(slice(array_sort(array_union(sa, sb)), 1, {sketch}), array_intersect(sa, sb))) / least({sketch}, size(array_union(sa, sb)))")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that the union sketch leaves, with the estimate."""
-        p = pairs.join(reps.selectExpr("rep as a", "sketch as sa"), "a").join(reps.selectExpr("rep as b", "sketch as sb"), "b")
-        return p.select("a", "b", estimate.alias("est")).where(F.col("est") >= percent / 100 - SLACK)
-
-    # inverted lists
-    values = reps.select("rep", F.explode("sketch").alias("v"))
-    lists = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    listed = store.keep(values.join(lists, "v"))
-    long = listed.where(F.col("m") > list_rows).groupBy("rep").agg(F.count("*").alias("long"))
-    meta = store.keep(reps.select("rep", "n").join(long, "rep", "left").selectExpr("rep", "n", "coalesce(long, 0) long"))
-    short = listed.where(F.col("m") <= list_rows)
-    cold = short.selectExpr("v", "rep as a").join(short.selectExpr("v", "rep as b"), "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
-    cold = cold.join(meta.selectExpr("rep as a", "n as na", "long as la"), "a").join(meta.selectExpr("rep as b", "n as nb", "long as lb"), "b")
-    # both hold at least as many values as the union's sketch shows; those of long lists may all be common
-    cold = cold.where(_fits(percent)).where(f"overlap + least(la, lb) >= {percent / 100 - SLACK} * least({sketch}, greatest(na, nb))")
-    # two documents that live in long lists are compared below
-    crowded = lambda x: f"l{x} > {1 - ENOUGH_SHORT} * least({sketch}, n{x})"
-    cold = cold.where(f"not ({crowded('a')} and {crowded('b')})")
-    pairs = store.keep(estimated(cold.select("a", "b")))
-    # documents that live in long lists
-    crowd = store.keep(meta.where(f"long > {1 - ENOUGH_SHORT} * least({sketch}, n)").select("rep", "n"))
-    store.drop(listed, meta)
-    # full sets of all that may be compared, made once
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowd.select(F.col("rep").alias("doc_id"))).distinct()
-    ends = store.keep(ends)
-    ends = F.broadcast(ends) if ends.count() <= MOST_BROADCAST_IDS else ends
-    sets = store.keep(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>"))
-    # their rarest shingles: linked ones share one of the first n - ceil(n * similarity) + 1
-    tokens = crowd.join(sets, F.col("rep") == F.col("id")).select("rep", "n", F.explode("s").alias("t"))
-    tokens = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("m")), "t")
-    tokens = tokens.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("m", "t"))).where(f"pos <= n - (n * {percent} + 99) div 100 + 1 and m > 1")
-    keyed = store.keep(tokens.select("rep", "n", "t", "pos"))
-    # one document leads all the lists that it is in, so that copies of one text get one leader
-    led = keyed.withColumn("band", F.expr(f"floor(ln(n) / ln(100 / {percent}))"))
-    leaders = led.groupBy("t", "band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep")).alias("l"))
-    # and each document is compared with a few of its leaders, those first that lead most
-    mine = led.join(leaders, ["t", "band"]).where("rep <> l.rep").where(F.expr(f"least(n, l.n) * 100 >= {percent} * greatest(n, l.n)"))
-    mine = mine.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("l.rep").alias("h"), F.col("l.rep").alias("r")))), 1, LEADERS).alias("ls")).select("rep", F.explode("ls.r").alias("r"))
-    star = store.keep(estimated(mine.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()))
+        """Of pairs (a, b), those that the union sketch leaves."""
+        p = pairs.join(nodes.selectExpr("node as a", "sketch as sa"), "a").join(nodes.selectExpr("node as b", "sketch as sb"), "b")
+        return store.keep(p.where(estimate >= least).select("a", "b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
-        p = pairs.join(sets.selectExpr("id as a", "s as sa"), "a").join(sets.selectExpr("id as b", "s as sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return store.keep(p.where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b"))
-
-    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of different groups."""
-        p = pairs.join(groups.selectExpr("id as a", "component as ga"), "a", "left").join(groups.selectExpr("id as b", "component as gb"), "b", "left")
-        return p.where("coalesce(ga, a) <> coalesce(gb, b)")
-
-    both = pairs.unionByName(pairs.selectExpr("b as a", "a as b", "est"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
-    links = confirmed(best.unionByName(star.select("a", "b")).distinct())
-    groups = store.keep(connected_components(links, store))
-    # documents of one rare shingle that are not joined yet, as far as what follows it in both can make a link
-    g = keyed.join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("t", "pos", "rep", "n", "coalesce(component, rep) g")
-    split = g.groupBy("t").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("t")
-    g = g.join(split, "t")
-    late = (
-        g.selectExpr("t", "pos as pa", "rep as a", "n as na", "g as ga").join(g.selectExpr("t", "pos as pb", "rep as b", "n as nb", "g as gb"), "t")
-        .where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _fits(percent))
-        .where(f"(least(na - pa, nb - pb) + 1) * {100 + percent} >= {percent} * (na + nb)").select("a", "b").distinct()
-    )
-    rest = apart(pairs, groups).select("a", "b").unionByName(estimated(late.select("a", "b")).select("a", "b")).distinct()
-    links = links.unionByName(confirmed(store.keep(rest)))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = store.keep(nodes.select("node", "key", "rep").join(ends, "node"))
+        small = F.broadcast if ends.count() <= MOST_BROADCAST_IDS else lambda x: x
+        texts = docs.select("doc_id", "text").join(small(ends.selectExpr("rep as doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+        sets = store.keep(texts.mapInArrow(_sets(width), "key binary, s array<long>").join(small(ends.select("key", "node")), "key").select("node", "s"))
+        p = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        links = store.keep(p.where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b"))
+        store.drop(ends, sets)
+        return links
+
+    # every member of a list meets a leader of its size: one for all lists of equal members, so that copies have one
+    leaders = keyed.groupBy("t", "band").agg(F.min_by(F.struct("node", "n", *_SIG), F.xxhash64("node")).alias("l"), F.count("*").alias("m")).where("m > 1").drop("m")
+    led = keyed.join(leaders, ["t", "band"]).where("node <> l.node").where(_can_link("n", "l.n", "", "l.", percent))
+    led = led.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("l.node").alias("h"), F.col("l.node").alias("r")))), 1, LEADERS).alias("ls"))
+    star = led.select("node", F.explode("ls.r").alias("r")).select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct()
+    links = confirmed(estimated(star))
     groups = store.keep(connected_components(links, store))
-    known = reps.select("key", "rep").join(groups.selectExpr("id as rep", "component"), "rep", "left").selectExpr("key", "coalesce(component, rep) component_id")
-    known = store.keep(known)
-    store.drop(reps, keyed, sets)
+
+    # members of a list that are in different groups: those outside of its largest group meet all
+    g = keyed.join(groups.selectExpr("id as node", "component"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component", "band")
+    g = store.keep(g)
+    parts = g.groupBy("t", "g").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    g = g.join(parts.selectExpr("t", "main", f"1 + m div {block_rows} as blocks"), "t")
+    few = g.where("g <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "blocks")
+    every = g.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("in_main", F.expr("g = main")).drop("main", "blocks")
+    x, y = few.alias("x"), every.alias("y")
+    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.g") != F.col("y.g")) & F.expr("y.in_main or x.node < y.node")
+    late = x.join(y, meet & _can_link("x.n", "y.n", "x.", "y.", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    links = groups.selectExpr("id as a", "component as b").unionByName(confirmed(estimated(late)))
+
+    # texts of one doc_id are one document
+    texts = rows.where("key is not null and doc_id is not null").select("doc_id", "key", F.xxhash64("key").alias("h"))
+    several = store.keep(texts.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id"))
+    if several.take(1):
+        own = texts.join(several, "doc_id").join(nodes.select("key", "node"), "key").select("doc_id", "node")
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").selectExpr("node as a", "b"))
+    groups = connected_components(links, store)
+    # a component is named by its smallest doc_id
+    member = store.keep(nodes.select("key", "rep", "node").join(groups.selectExpr("id as node", "component"), "node", "left"))
+    names = member.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
+    known = store.keep(member.join(names, "component", "left").selectExpr("key", "coalesce(name, rep) component_id"))
+    store.drop(nodes, keyed, several, member)
     full = rows.where("key is not null").join(known, "key", "left").select("doc_id", "n", "component_id")
     out = full.unionByName(rows.where("key is null").selectExpr("doc_id", "n", "doc_id as component_id"))
     return out.selectExpr("doc_id", "n as n_shingles", "component_id", "coalesce(doc_id = component_id, component_id is null) as kept")

@@ -56,7 +56,7 @@ def corpus(seed, docs=150):
 def test_equals_brute_force(spark, width, seed):
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \n "), (903, "One"), (904, "one"), (905, "É" * 50_000), (906, "É" * 50_000)]
     df = spark.createDataFrame([(i, t, 7, "k", "s") for i, t in rows], DDL)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, width=width, percent=80, list_rows=6).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, width=width, percent=80, block_rows=4).collect()}
     assert got == brute(rows, width, 80)
 
 
@@ -67,6 +67,25 @@ def test_no_rows_and_rows_without_id(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", True), ("None", "None", True)]
 
 
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    rows = [(5, "a b c d e f"), (5, "q r s t u v"), (2, "a b c d e f"), (9, "q r s t u v"), (7, "k l m n o p")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(2, 2, True), (5, 2, False), (5, 2, False), (7, 7, True), (9, 2, False)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(90)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 5])):
+            w[r.randrange(len(w))] = r.choice(["x", "y", f"z{i}"])
+        rows.append((i, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=16).collect()}
+    assert got == brute(rows, 5, 80)
+
+
 def test_components_of_paths_and_cliques(spark):
     links = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + j) for i in range(5) for j in range(i)] + [(7, 7), (None, 3), (200, 201)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(5), Stored(spark)).collect()}
