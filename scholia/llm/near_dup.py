@@ -5,9 +5,10 @@
 2. Inverted lists of the retained values generate overlaps. Two sketches whose overlap can pass step 4 have one of their
    rarest values in common (a prefix in the order of list length), so only those are listed, and a value that many texts
    share is no one's candidate unless almost all that a text retains is as common.
-3. In each list all members meet one leader of their size first; what that links is one group, and then only members of
-   different groups meet, dealt into blocks of a bounded size where a list is long. So a group of m near copies costs
-   about m comparisons, not m * m. A pair is let through only if its sizes and its parity signatures can reach the
+3. In each list all members meet one leader of their size first; what that links is one group. Then members outside of a
+   list's largest group meet a few members of other groups, are grouped anew, meet more, and at last all that are still
+   in other groups, dealt into blocks of a bounded size where a list is long. A member with many links finds one among
+   few, so a group of m near copies costs about m comparisons, not m * m. A pair is let through only if its sizes and its parity signatures can reach the
    threshold: each shingle flips one bit of 512, so signatures differ in no more bits than the sets in shingles, an exact
    bound that loses nothing.
 4. The share of the union's bottom k that both hold estimates the similarity; pairs five standard deviations below the
@@ -46,6 +47,8 @@ DEVIATIONS = 5
 SIGNATURE = 8
 #: Leaders that a document meets before groups are formed; what they leave apart meets in its lists.
 LEADERS = 6
+#: Members of a list that those outside of its largest group meet in the first round, and how many times more in each next.
+ROUND_ROWS, ROUND_GROWTH = 32, 16
 #: Members of a list that one task compares with others at once.
 BLOCK_ROWS = 1024
 #: Ids (of 32 bytes) that may be sent to every task to find their texts; more are joined by a shuffle.
@@ -132,7 +135,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
         """Of pairs (a, b), those whose full sets are similar enough."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ends = store.keep(nodes.select("node", "key", "rep").join(ends, "node"))
-        small = F.broadcast if ends.count() <= MOST_BROADCAST_IDS else lambda x: x
+        count = ends.count()
+        if not count:
+            return pairs
+        small = F.broadcast if count <= MOST_BROADCAST_IDS else lambda x: x
         texts = docs.select("doc_id", "text").join(small(ends.selectExpr("rep as doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
         sets = store.keep(texts.mapInArrow(_sets(width), "key binary, s array<long>").join(small(ends.select("key", "node")), "key").select("node", "s"))
         p = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
@@ -148,26 +154,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     links = confirmed(estimated(star))
     groups = store.keep(connected_components(links, store))
 
-    # members of a list that are in different groups: those outside of its largest group meet all
-    g = keyed.join(groups.selectExpr("id as node", "component"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component", "band")
-    g = store.keep(g)
-    parts = g.groupBy("t", "g").agg(F.count("*").alias("m"))
-    parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("groups")).where("groups > 1")
-    g = g.join(parts.selectExpr("t", "main", f"1 + m div {block_rows} as blocks"), "t")
-    few = g.where("g <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "blocks")
-    every = g.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("in_main", F.expr("g = main")).drop("main", "blocks")
-    x, y = few.alias("x"), every.alias("y")
-    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.g") != F.col("y.g")) & F.expr("y.in_main or x.node < y.node")
-    late = x.join(y, meet & _can_link("x.n", "y.n", "x.", "y.", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = groups.selectExpr("id as a", "component as b").unionByName(confirmed(estimated(late)))
+    longest = keyed.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    met = 0
+    while met < longest:
+        before, met = met, met * ROUND_GROWTH or ROUND_ROWS
+        # in lists that no round had whole yet, those outside of the largest group meet members of other groups
+        g = store.keep(keyed.join(groups.selectExpr("id as node", "component"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component", "band"))
+        parts = g.groupBy("t", "g").agg(F.count("*").alias("m"))
+        parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("groups")).where(f"groups > 1 and m > {before}")
+        split = g.join(parts.select("t", "main", "m", F.expr(f"1 + least(m, {met}) div {block_rows} as blocks")), "t")
+        few = split.where("g <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "blocks")
+        some = split.where(f"m <= {met} or pmod(xxhash64(node, 1), m) < {met}").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("in_main", F.expr("g = main"))
+        x, y = few.alias("x"), some.drop("main", "blocks", "m").alias("y")
+        # where all members are in the round, once is enough for two that are both outside of the largest group
+        meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.g") != F.col("y.g")) & F.expr(f"y.in_main or x.m > {met} or x.node < y.node")
+        late = x.join(y, meet & _can_link("x.n", "y.n", "x.", "y.", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        links = confirmed(estimated(late))
+        store.drop(g)
+        if links.take(1):
+            groups = store.keep(connected_components(groups.selectExpr("id as a", "component as b").unionByName(links), store))
 
     # texts of one doc_id are one document
     texts = rows.where("key is not null and doc_id is not null").select("doc_id", "key", F.xxhash64("key").alias("h"))
     several = store.keep(texts.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id"))
     if several.take(1):
         own = texts.join(several, "doc_id").join(nodes.select("key", "node"), "key").select("doc_id", "node")
-        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").selectExpr("node as a", "b"))
-    groups = connected_components(links, store)
+        links = groups.selectExpr("id as a", "component as b").unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").selectExpr("node as a", "b"))
+        groups = connected_components(links, store)
     # a component is named by its smallest doc_id
     member = store.keep(nodes.select("key", "rep", "node").join(groups.selectExpr("id as node", "component"), "node", "left"))
     names = member.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
