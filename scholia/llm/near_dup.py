@@ -154,15 +154,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     links = confirmed(estimated(star))
     groups = store.keep(connected_components(links, store))
 
-    longest = keyed.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    sizes = store.keep(keyed.groupBy("t").agg(F.count("*").alias("m")).where("m > 1"))
+    longest = sizes.agg(F.max("m")).first()[0] or 0
+    member = store.keep(keyed.drop("band").join(sizes, "t"))
+    store.drop(keyed, sizes)
     met = 0
     while met < longest:
         before, met = met, met * ROUND_GROWTH or ROUND_ROWS
         # in lists that no round had whole yet, those outside of the largest group meet members of other groups
-        g = store.keep(keyed.join(groups.selectExpr("id as node", "component"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component", "band"))
+        g = member.where(f"m > {before}").join(groups.selectExpr("id as node", "component"), "node", "left").withColumn("g", F.coalesce("component", "node"))
+        g = store.keep(g.drop("component"))
         parts = g.groupBy("t", "g").agg(F.count("*").alias("m"))
-        parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("groups")).where(f"groups > 1 and m > {before}")
-        split = g.join(parts.select("t", "main", "m", F.expr(f"1 + least(m, {met}) div {block_rows} as blocks")), "t")
+        parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        split = g.join(parts.select("t", "main"), "t").withColumn("blocks", F.expr(f"1 + least(m, {met}) div {block_rows}"))
         few = split.where("g <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "blocks")
         some = split.where(f"m <= {met} or pmod(xxhash64(node, 1), m) < {met}").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("in_main", F.expr("g = main"))
         x, y = few.alias("x"), some.drop("main", "blocks", "m").alias("y")
@@ -182,10 +186,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
         links = groups.selectExpr("id as a", "component as b").unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").selectExpr("node as a", "b"))
         groups = connected_components(links, store)
     # a component is named by its smallest doc_id
-    member = store.keep(nodes.select("key", "rep", "node").join(groups.selectExpr("id as node", "component"), "node", "left"))
-    names = member.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
-    known = store.keep(member.join(names, "component", "left").selectExpr("key", "coalesce(name, rep) component_id"))
-    store.drop(nodes, keyed, several, member)
+    named = store.keep(nodes.select("key", "rep", "node").join(groups.selectExpr("id as node", "component"), "node", "left"))
+    names = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
+    known = store.keep(named.join(names, "component", "left").selectExpr("key", "coalesce(name, rep) component_id"))
+    store.drop(nodes, member, several, named)
     full = rows.where("key is not null").join(known, "key", "left").select("doc_id", "n", "component_id")
     out = full.unionByName(rows.where("key is null").selectExpr("doc_id", "n", "doc_id as component_id"))
     return out.selectExpr("doc_id", "n as n_shingles", "component_id", "coalesce(doc_id = component_id, component_id is null) as kept")
