@@ -8,7 +8,7 @@ likelihood of labelled pages; Viterbi decoding gives the labels of a page's bloc
 No table has labelled pages, so `labelled_pages` writes them with a fixed seed: articles of many layouts between menus,
 headers, notices, adverts, forms, sidebars, reader comments and footers, under the names such parts have on the web.
 
-Scripts, styles, templates and the head never are text. Character references are decoded, white space inside a block
+Scripts, styles, templates, frames, drawings, choices of forms and the head never are text. Character references are decoded, white space inside a block
 becomes one space, blocks of main text are joined by an empty line.
 
 Defined results: a null or empty page has an empty text; a page cut off anywhere is read as far as it goes; an element
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea".split())
+SKIPPED = frozenset("script style noscript template iframe svg head title select textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -125,7 +125,7 @@ class Blocks(HTMLParser):
         own = {tag} if tag in TAGS else set()
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                own |= {"cue:" + _CUE[w] for w in (x.lower() for x in _PART.findall(v[:200])) if w in _CUE}
+                own |= {"cue:" + _CUE[w] for w in (x.lower() for x in _PART.findall(v)) if w in _CUE}
                 if k == "class" and "hidden" in v or k == "role" and v in ("navigation", "banner", "contentinfo", "complementary", "search"):
                     own.add("cue:" + {"navigation": "menu", "banner": "header", "contentinfo": "footer", "complementary": "side", "search": "form"}.get(v, "notice"))
         self.stack.append((tag, up | own if own - up else up))
@@ -372,7 +372,7 @@ def field(seed: int = 17, pages: int = 400) -> Field:
         for k, (text, *_) in enumerate(found):
             labels.append(int(want[text] > 0 or (k == len(found) - 1 and any(w.startswith(text) for w in want))))
             want[text] -= 1
-        if 0 < len(found) <= 60:
+        if found:
             data.append((features(found), labels))
     index = {f: i for i, f in enumerate(sorted({f for names, _ in data for fs in names for f in fs}))}
     return Field(index).fit(data)

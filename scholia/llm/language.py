@@ -31,6 +31,8 @@ SAMPLE_ROWS = 96
 SAMPLE_CHARS = 12_000
 TABLE_CHARS = 400_000
 MAX_LANGUAGES = 500
+#: Parts of a language's rows that the sample is drawn from one by one.
+SAMPLE_PARTS = 16
 PIECE = 1024
 #: Bytes of text parsed in step.
 STEP_BYTES = 2 << 20
@@ -207,8 +209,11 @@ def learn(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int
     bounded by the parameters."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").distinct().withColumn("k", first).where(F.col("k") <= sample_rows).limit(sample_rows * MAX_LANGUAGES + 1).collect()
+    # first in each of a language's parts, so that no task has all of its rows
+    first = lambda *of: F.row_number().over(Window.partitionBy("lang", *of).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    parts = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SAMPLE_PARTS)).alias("part")).distinct()
+    some = parts.withColumn("k", first("part")).where(F.col("k") <= sample_rows).select("doc_id", "lang")
+    ids = some.withColumn("k", first()).where(F.col("k") <= sample_rows).limit(sample_rows * MAX_LANGUAGES + 1).collect()
     if len(ids) > sample_rows * MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not ids:

@@ -1,7 +1,7 @@
 """Personal data: exact base patterns, and boosted trees that add spans which look like them.
 
 Base patterns of four kinds (email, ip, card, phone) always stand. High-recall generators propose further, overlapping
-spans: written-out or bracketed mail addresses, telephone numbers without a leading plus, card numbers with unusual
+spans: mail addresses with a bracketed at or dot, telephone numbers without a leading plus, card numbers with unusual
 separators, addresses with bracketed dots. Gradient-boosted trees score each from its format (digits, groups,
 separators, checksum) and its context (words and characters beside it); Platt scaling turns scores into probabilities and
 a threshold for each kind, set on examples held out of training to a stated precision, selects what is added. Of
@@ -106,9 +106,9 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all that might be personal data beside the base spans; they may overlap."""
     out = []
     for kind, pattern in _GENERATORS:
-        if kind == 0 and not _OBFUSCATED.search(text):
+        if kind == 0 and not _OBFUSCATED.search(text):  # no match can hold one
             continue
-        out += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+        out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if kind or _OBFUSCATED.search(m[0])]
     return out
 
 

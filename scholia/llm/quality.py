@@ -6,7 +6,8 @@ log-count ratio of the two labels; on these a linear hinge-loss model is fitted
 mean magnitude as naive Bayes would weigh, and Platt scaling on a fold of the training rows turns margins into scores.
 
 Training reads a bounded sample: `TRAIN_ROWS` labelled rows that are not held out (crc32 of doc_id as text, modulo 5, is
-not 0), chosen by a hash of doc_id, of texts up to `TRAIN_CHARS` characters. Every text is scored whole.
+not 0), chosen by a hash of doc_id, with their whole texts; what comes to the driver of a text, however long, are its
+distinct codes, of which there are 2 ** BITS. Every text is scored whole, scaled to unit length as in training.
 
 Defined results: a null or empty text has no n-grams and the score of the intercept; without labels of both kinds every
 score is the share of label 1 (0.5 without any); a row without doc_id is not held out; of several labels of a doc_id the
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from scholia.llm.textvec import mix, slices, words
 
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 20_000
 BITS = 18
 COST = 1.0
 ROUNDS = 12
@@ -77,11 +77,13 @@ def grams(texts: list[bytes | None], bits: int = BITS) -> list[np.ndarray]:
 class Model:
     weights: np.ndarray
     bias: float
+    scale: np.ndarray  # log-count ratios
     slope: float = 1.0
     shift: float = 0.0
 
     def margins(self, sets: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weights[s].sum() + self.bias for s in sets])
+        """Of texts as the fit sees them: rows of unit length."""
+        return np.array([self.weights[s].sum() / (np.linalg.norm(self.scale[s]) or 1.0) + self.bias for s in sets])
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(sets) + self.shift, -40, 40)))
@@ -115,7 +117,7 @@ def fit(x: list[np.ndarray], label: np.ndarray, bits: int = BITS) -> Model:
     share = float(label.mean()) if len(label) else 0.5
     if share in (0.0, 1.0) or len(label) < 10:
         share = min(max(share, 0.01), 0.99)
-        return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))))
+        return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))), np.zeros(1 << bits))
     fold = np.arange(len(label)) % 4 == 3
     if len(set(label[fold])) < 2 or len(set(label[~fold])) < 2:
         fold = np.zeros(len(label), bool)
@@ -128,14 +130,14 @@ def fit(x: list[np.ndarray], label: np.ndarray, bits: int = BITS) -> Model:
         r = np.log((p / p.sum()) / (q / q.sum()))
         w, bias = hinge(some, r, np.where(y > 0, 1.0, -1.0))
         mean = np.abs(w).mean()
-        return Model(((1 - BLEND) * w + BLEND * mean * np.sign(w)) * r, bias)
+        return Model(((1 - BLEND) * w + BLEND * mean * np.sign(w)) * r, bias, r)
 
     part = learned(np.flatnonzero(~fold))
     check = np.flatnonzero(fold) if fold.any() else np.arange(len(label))
     f = part.margins([x[i] for i in check])
     a, b = _platt(f, label[check])
     whole = learned(np.arange(len(label))) if fold.any() else part
-    return Model(whole.weights, whole.bias, a, b)
+    return Model(whole.weights, whole.bias, whole.scale, a, b)
 
 
 def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -167,14 +169,14 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array([g.astype("<u4").tobytes() for g in grams(texts)], pa.binary())], names=["doc_id", "codes"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from `docs` (doc_id, text) and `labels` (doc_id, quality 0/1). The collected sample is bounded by the parameters."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = {r["doc_id"]: r["quality"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()}
     if not chosen:
         return fit([], np.array([]))
     ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long"))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").where(F.length("text") <= train_chars).mapInArrow(_grams, "doc_id long, codes binary").groupBy("doc_id").agg(F.min("codes").alias("codes")).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(_grams, "doc_id long, codes binary").groupBy("doc_id").agg(F.min("codes").alias("codes")).orderBy("doc_id").collect()
     return fit([np.frombuffer(r["codes"], "<u4").astype(np.int64) for r in rows], np.array([float(chosen[r["doc_id"]]) for r in rows]))
 
 
