@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,19 +126,40 @@ def passed(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and(F.col("ok") | ~F.col("hard")).alias("passed"))
 
 
-def benchmark_counts(chunks: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Aligned live chunks for each second-level prefix of the standards, of the benchmark's coverage query."""
-    prefix = F.array_join(F.slice(F.split("standard_id", r"\."), 1, 2), ".").alias("prefix")
-    live = alignments.where("stale = 0").join(chunks.where("stale = 0").select("chunk_id"), "chunk_id")
-    return live.groupBy(prefix).agg(F.countDistinct("standard_id").alias("standards"), F.countDistinct("chunk_id").alias("chunks"))
+def benchmark_counts(alignments: DataFrame) -> DataFrame:
+    """Live alignments of each standard, of the benchmark's coverage query."""
+    return alignments.where("stale = 0").groupBy("standard_id").agg(F.count("*").alias("n"))
 
 
-def validation_report(chunks: DataFrame) -> DataFrame:
-    """For each source: chunks by type, blank contents, with a standard, answer or grade; `ok` if there are chunks and no blanks."""
-    blank = F.trim(F.coalesce("content", F.lit(""))) == ""
-    types = [F.count_if(F.col("content_type") == t).alias(t) for t in ("exposition", "worked_example", "exercise_set", "summary", "assessment")]
-    return chunks.groupBy("source_id").agg(F.count("*").alias("chunks"), *types, F.count_if(blank).alias("empty"), F.count("grade_band").alias("graded"), F.count("dok_level").alias("with_dok"), (F.count_if(blank) == 0).alias("ok"))
+def benchmark_top(questions: DataFrame, alignments: DataFrame, chunks: DataFrame, *, k: int = 5, source: str | None = None, grade_band: str | None = None) -> DataFrame:
+    """The k best chunks for each question by score alone, with the filters of the benchmark's content queries."""
+    c = chunks.where("stale = 0")
+    c = c.where(F.col("source_id") == source) if source is not None else c
+    c = c.where(F.col("grade_band") == grade_band) if grade_band is not None else c
+    hits = questions.select("question_id", "standard_id").join(alignments.where("stale = 0"), "standard_id").join(c.select("chunk_id", "title"), "chunk_id")
+    w = Window.partitionBy("question_id").orderBy(F.desc("alignment_score"), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "title", "alignment_score")
+
 
+def benchmark_inventory(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Live chunks of every source, also of those without any."""
+    return sources.select("source_id").distinct().join(chunks.where("stale = 0").groupBy("source_id").agg(F.countDistinct("chunk_id").alias("n")), "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("chunks"))
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+
+def validation_report(chunks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """For each source (of `sources`, else those that chunks have): chunks by type, blank contents and attributions, how many
+    have a grade, level, answer and standard (`standards`, a number), errors and warnings; `ok` without errors."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    have = lambda c: (F.count_if(~blank(c)) if c in chunks.columns else F.lit(0).cast("long"))
+    types = [F.count_if(F.col("content_type") == t).alias(t) for t in ("exposition", "worked_example", "exercise_set", "summary", "assessment")]
+    n = chunks.groupBy("source_id").agg(
+        F.count("*").alias("chunks"), *types, F.count_if(blank("content")).alias("empty"), (F.count("*") - have("attribution")).alias("unattributed"), F.count("grade_band").alias("graded"),
+        F.count("dok_level").alias("with_dok"), have("answer_key").alias("with_answer"), (F.count_if(F.col("standards") > 0) if "standards" in chunks.columns else F.lit(0).cast("long")).alias("with_standard"),
+    )
+    n = n if sources is None else sources.select("source_id").distinct().join(n, "source_id", "left").na.fill(0)
+    some = lambda c, text: F.when(c, text)
+    said = lambda *x: F.array_join(F.filter(F.array(*x), lambda e: e.isNotNull()), "; ")
+    c = F.col
+    errors = said(some(c("chunks") == 0, "no chunks produced"), some(c("empty") > 0, F.concat(c("empty").cast("string"), F.lit(" with empty content"))), some(c("unattributed") > 0, F.concat(c("unattributed").cast("string"), F.lit(" with empty attribution"))))
+    warnings = said(some((c("chunks") > c("assessment")) & (c("exposition") == 0), "no exposition chunks"), some((c("assessment") > 0) & (c("chunks") > c("with_standard")), F.concat((c("chunks") - c("with_standard")).cast("string"), F.lit(" items without standard alignment"))))
+    return n.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("ok", F.col("errors") == "")

@@ -28,11 +28,10 @@ def build_pairs(topics: DataFrame, *, seed: int = 7, pairs: tuple[tuple[str, str
 
 
 def parse_preference(text: Column) -> Column:
-    """A, B or TIE: the first word if it is one of them, else TIE anywhere, else a lone A or B; else null."""
+    """A, B or TIE: the first run of letters if it is one of them, else the word TIE anywhere, else the first lone A or B; else null."""
     t = F.upper(F.trim(F.coalesce(text, F.lit(""))))
-    first = F.regexp_extract(t, r"^[^A-Z]*([A-Z]+)", 1)
-    a, b = t.rlike(r"\bA\b"), t.rlike(r"\bB\b")
-    return F.when(first.isin("A", "B", "TIE"), first).when(t.contains("TIE"), "TIE").when(a & ~b, "A").when(b & ~a, "B")
+    first, lone = F.regexp_extract(t, "[A-Z]+", 0), F.regexp_extract(t, r"\b([AB])\b", 1)
+    return F.when(first.isin("A", "B", "TIE"), first).when(t.rlike(r"\bTIE\b"), "TIE").otherwise(F.nullif(lone, F.lit("")))
 
 
 def winner(pref: Column, a: Column, b: Column) -> Column:
@@ -67,3 +66,12 @@ def tally(graded: DataFrame) -> DataFrame:
     g = F.col("grade")
     n = graded.agg(F.count("*").alias("n"), F.count_if(g == "YES").alias("passed"), F.count_if(g == "PARTIAL").alias("partial"), F.count_if(g == "NO").alias("failed"), F.count_if(g == "ERR").alias("errors"))
     return n.withColumn("pass_rate", F.round(F.try_divide(F.col("passed").cast("double"), F.col("n")), 3))
+
+
+def head_to_head(compared: DataFrame) -> DataFrame:
+    """Tally of two systems over scenarios (a_ok, b_ok: passed without a judge; answer of a judge or null): wins of each, ties,
+    and passes. An answer's first line decides by how it begins; one that begins otherwise is a tie; no answer, no match."""
+    line = F.upper(F.get(F.filter(F.transform(F.split("answer", r"\R"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)))
+    won = F.when(F.col("answer").isNotNull(), F.when(line.startswith("B"), "B").when(line.startswith("A"), "A").otherwise("TIE"))
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return compared.select("a_ok", "b_ok", won.alias("w")).agg(count(F.col("w") == "A").alias("a_wins"), count(F.col("w") == "B").alias("b_wins"), count(F.col("w") == "TIE").alias("ties"), count(F.col("a_ok")).alias("a_passed"), count(F.col("b_ok")).alias("b_passed"), F.count("*").alias("n"))

@@ -30,7 +30,3 @@ def capabilities(chunks: DataFrame, alignments: DataFrame) -> DataFrame:
 
 def items_per_exam(chunks: DataFrame) -> DataFrame:
     return chunks.where("stale = 0 and exam_series is not null").groupBy("part", "exam_series").agg(F.count("*").alias("items"))
-
-
-def alignments_per_tier(alignments: DataFrame) -> DataFrame:
-    return alignments.where("stale = 0").groupBy("alignment_source").agg(F.count("*").alias("alignments"))

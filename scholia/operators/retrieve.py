@@ -59,7 +59,3 @@ def chunk_details(ids: DataFrame, chunks: DataFrame, alignments: DataFrame, *, i
         out = out.join(neighbours(chunks).select("chunk_id", "part", "previous", "next"), ["chunk_id", "part"], "left")
     status = F.when(F.col("book_id").isNull() & F.col("title").isNull(), "not_found").otherwise("found")
     return out.withColumn("result", status)
-
-
-def is_known(value: Column, vocabulary: tuple[str, ...]) -> Column:
-    return value.isin(*vocabulary)

@@ -69,11 +69,11 @@ def standard_level(standard_id: Column) -> Column:
     return F.when(F.size(p) >= 4, F.when(g == "K", 0).when(g == "HS", 9).when(g.rlike("^[0-9]+$"), g.try_cast("int")))
 
 
-def heuristic_verification(alignments: DataFrame, chunks: DataFrame, standards: DataFrame, *, low: float = 0.70, high: float = 0.78) -> DataFrame:
-    """Embedding alignments from `low` to `high` checked by grade, content type, catalogue and title: the adjusted score
+def heuristic_verification(alignments: DataFrame, chunks: DataFrame, standards: DataFrame, *, system: str = "ccss", low: float = 0.70, high: float = 0.78) -> DataFrame:
+    """Embedding alignments from `low` to `high` checked by grade, content type, the catalogue of `system` and title: the adjusted score
     within 0.65 and 0.95, whether it is aligned (0.70), and the reasons. All of them become llm_verified."""
     a = alignments.where("stale = 0 and alignment_source = 'embedding'").where(F.col("alignment_score").between(low, high))
-    j = a.join(chunks.where("stale = 0").select("chunk_id", "title", "content_type", "grade_band"), "chunk_id").join(standards.select("standard_id", F.lit(True).alias("_known")), "standard_id", "left")
+    j = a.join(chunks.where("stale = 0").select("chunk_id", "title", "content_type", "grade_band"), "chunk_id").join(standards.where(F.col("system") == system).select("standard_id", F.lit(True).alias("_known")).distinct(), "standard_id", "left")
     level = standard_level(F.col("standard_id"))
     apart = F.abs(band_level(F.col("grade_band")) - level)
     weak = (F.col("content_type") == "exercise_set") & (F.col("alignment_score") < 0.75)

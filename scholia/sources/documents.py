@@ -9,15 +9,18 @@ import html
 import json
 import re
 import xml.etree.ElementTree as ET
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_GAPS = re.compile(r"[ \t\r\f\v]+")
-_LINES = re.compile(r"\n\s*\n+")
+from scholia.functions import standards as S
+from scholia.sources import columns as C
 
 
 def _local(tag: str) -> str:
@@ -35,255 +38,311 @@ def _job(raw: DataFrame, parse: Callable[[dict], list[tuple]], columns: list[str
 
 # ---- math and text of textbook markup ----
 
-# Operators and their commands.
-OPERATORS = {"×": r"\times", "÷": r"\div", "≤": r"\le", "≥": r"\ge", "≠": r"\ne", "±": r"\pm", "π": r"\pi", "∞": r"\infty", "·": r"\cdot", "−": "-"}
-_BREAKS = frozenset("para title item list note equation section example exercise problem solution row".split())
-_DROPPED = frozenset("media figure image metadata".split())
+# Symbols and their commands.
+SYMBOLS = {
+    "−": "-", "–": "-", "×": r"\times ", "·": r"\cdot ", "÷": r"\div ", "≤": r"\le ", "≥": r"\ge ", "≠": r"\ne ", "≈": r"\approx ",
+    "±": r"\pm ", "∞": r"\infty ", "→": r"\to ", "…": r"\ldots ", "∙": r"\cdot ", "π": r"\pi ", "°": r"^\circ ",
+}
+# Elements that end a line, and elements that are no text.
+LINES = frozenset("para item title caption entry row".split())
+NO_TEXT = frozenset("media image figure labeled-item".split())
+#: Layouts of an element with so many operands: {n} is operand n, {bn} is it in braces unless it is one character.
+LAYOUTS = {
+    ("mfrac", 2): r"\frac{{{0}}}{{{1}}}", ("msup", 2): "{b0}^{{{1}}}", ("msub", 2): "{b0}_{{{1}}}", ("msubsup", 3): "{b0}_{{{1}}}^{{{2}}}", ("mroot", 2): r"\sqrt[{1}]{{{0}}}",
+}
 
 
 def latex(e: ET.Element) -> str:
-    """A math element in LaTeX; an element of another name gives what is in it."""
-    tag, kids = _local(e.tag), [latex(k) for k in e]
-    text = (e.text or "").strip()
-    if tag == "mfrac" and len(kids) == 2:
-        return rf"\frac{{{kids[0]}}}{{{kids[1]}}}"
-    if tag in ("msup", "msub") and len(kids) == 2:
-        return f"{kids[0]}{'^' if tag == 'msup' else '_'}{{{kids[1]}}}"
-    if tag == "msubsup" and len(kids) == 3:
-        return f"{kids[0]}_{{{kids[1]}}}^{{{kids[2]}}}"
-    if tag == "msqrt":
-        return rf"\sqrt{{{''.join(kids)}}}"
-    if tag == "mroot" and len(kids) == 2:
-        return rf"\sqrt[{kids[1]}]{{{kids[0]}}}"
-    if tag == "mo":
-        return OPERATORS.get(text, text)
-    if tag == "mtext":
-        return rf"\text{{{text}}}" if text else ""
-    return text + "".join(kids)
-
-
-def flat_text(e: ET.Element, skip: Callable[[ET.Element], bool] = lambda e: False) -> str:
-    """Text of an element: blocks break lines, media go, math is $...$, one blank line at most."""
-    out: list[str] = []
-
-    def walk(x: ET.Element) -> None:
-        tag = _local(x.tag)
-        if tag in _DROPPED or skip(x):
-            return
-        if tag == "math":
-            out.append(f"${latex(x)}$")
-            return
-        if tag in _BREAKS:
-            out.append("\n")
-        out.append(x.text or "")
-        for k in x:
-            walk(k)
-            out.append(k.tail or "")
-        if tag in _BREAKS:
-            out.append("\n")
-
-    walk(e)
-    lines = [_GAPS.sub(" ", line).strip() for line in "".join(out).split("\n")]
-    return _LINES.sub("\n\n", "\n".join(lines)).strip()
-
-
-#: Class tokens of a section by role.
-PROFILE = {"summary": ("summary", "key-concepts", "key-equations"), "set": ("section-exercises", "practice", "exercises", "review-exercises", "practice-test"), "skip": ("media", "references")}
-
-
-def split_module(xml: str, prefix: str, profile: dict[str, tuple[str, ...]] = PROFILE) -> list[tuple[str, str, str, str]]:
-    """(chunk_id, content_type, title, content) of a textbook module: prose (`expo`), worked examples lifted out of it (`ex`), the
-    summary and exercise sets (`set`), numbered within the module; empty ones are left out. Broken markup gives no rows."""
+    """A math element in LaTeX; an element without a layout of its own gives what is in it."""
+    tag, own = _local(e.tag), (e.text or "").strip()
+    parts = [(_local(k.tag), latex(k)) for k in e]
+    inside = "".join(x for _, x in parts)
+    if layout := LAYOUTS.get((tag, len(parts))):
+        braced = {f"b{i}": x if len(x) == 1 else f"{{{x}}}" for i, (_, x) in enumerate(parts)}
+        return layout.format(*(x for _, x in parts), **braced)
+    match tag:
+        case "mi" | "mn" | "mo":
+            return SYMBOLS.get(own, own)
+        case "mtext":
+            return rf"\text{{{own}}}" if own else ""
+        case "mspace":
+            return r"\ "
+        case "msqrt":
+            return rf"\sqrt{{{inside}}}"
+        case "munder" | "mover" | "munderover":
+            return "".join(x for t, x in parts if t != "mspace")
+        case "mfenced":
+            return e.get("open", "(") + ", ".join(x for _, x in parts) + e.get("close", ")")
+        case "mtable":
+            rows = (" & ".join(map(latex, row)) for row in e if _local(row.tag) == "mtr")
+            return r"\begin{matrix}" + r" \\ ".join(rows) + r"\end{matrix}"
+        case "math" | "mrow" | "mstyle" | "semantics":
+            return inside
+    return inside if parts else own
+
+
+def _runs(e: ET.Element) -> Iterator[str]:
+    """Runs of text of an element; space between elements alone is none."""
+    tag = _local(e.tag)
+    if tag == "math":
+        if x := latex(e).strip():
+            yield f"${x}$"
+    elif tag not in NO_TEXT:
+        yield e.text if (e.text or "").strip() else ""
+        for k in e:
+            yield from _runs(k)
+            yield k.tail if (k.tail or "").strip() else ""
+        if tag in LINES:
+            yield "\n"
+
+
+def flat_text(e: ET.Element) -> str:
+    """Text of an element: blocks end lines, media go, math is $...$, one blank line at most between lines."""
+    lines = "\n".join(" ".join(line.split()) for line in "".join(_runs(e)).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
+
+
+class Roles(NamedTuple):
+    """Class tokens of sections: the summary, the container whose sections are exercise sets, and exercise sets themselves."""
+
+    summary: str
+    container: str
+    sets: tuple[str, ...] = ()
+
+
+# The classes that the books of a discipline use.
+PROFILES = {
+    "math": Roles("key-concepts", "section-exercises"),
+    "social-studies": Roles("summary", "", ("review-questions", "critical-thinking", "problems", "self-check-questions")),
+    "social-studies-section": Roles("section-summary", "", ("review-questions", "critical-thinking", "check-understanding", "reflection-questions", "own-words", "section-quiz", "short-answer")),
+    "science": Roles("summary", "", ("critical-thinking", "multiple-choice", "exercises", "problems", "self-check-questions", "review-questions", "review", "science-practice")),
+    "science-section": Roles("section-summary", "", ("problems-exercises", "conceptual-questions", "ap-test-prep", "check-understanding")),
+    "science-key-concepts": Roles("key-concepts", "", ("review-problems", "review-conceptual-questions", "review-additional-problems", "review-challenge", "check-understanding")),
+}
+
+
+def _named(e: ET.Element, name: str) -> list[ET.Element]:
+    return [k for k in e if _local(k.tag) == name]
+
+
+def _heading(e: ET.Element) -> str | None:
+    """What stands first in an element's title; None without a title."""
+    found = _named(e, "title")
+    return (found[0].text or "").strip() if found else None
+
+
+def _pieces(body: ET.Element, title: str, roles: Roles) -> Iterator[tuple[str, str, ET.Element]]:
+    """(kind, title, element) of the pieces of a module, in page order; examples are taken out of their section."""
+    examples = 0
+    for section in _named(body, "section"):
+        tokens, name = (section.get("class") or "").split(), _heading(section) or ""
+        exercise = [t for t in tokens if t in roles.sets]
+        if roles.summary in tokens:
+            yield "summary", f"{title} — Key Concepts", section
+        elif roles.container and roles.container in tokens:
+            for group in _named(section, "section"):
+                yield "set", f"{title} — {'Exercises' if (g := _heading(group)) is None else g}", group
+        elif exercise:
+            yield "set", f"{title} — {name or exercise[0].replace('-', ' ').title()}", section
+        else:
+            for example in _named(section, "example"):
+                section.remove(example)
+                examples += 1
+                yield "ex", f"{title} — Example {examples}", example
+            yield "expo", f"{title}: {name}" if name else title, section
+
+
+# Content types of the kinds of pieces.
+KINDS = {"expo": "exposition", "ex": "worked_example", "set": "exercise_set", "summary": "summary"}
+
+
+def split_module(xml: str, module_id: str, prefix: str, profile: str = "math") -> list[tuple[str, str, str, str, str]]:
+    """(chunk_id, content_type, title, content, classes) of the pieces of a textbook module, numbered by kind within the module
+    (a module has one summary); empty ones count but are left out. `classes` are all class attributes in a piece, for tag
+    codes. Broken markup and a module without content give no rows."""
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
         return []
-    title = next((flat_text(t) for t in root if _local(t.tag) == "title"), "")
-    body = next((c for c in root.iter() if _local(c.tag) == "content"), root)
-    out: list[tuple[str, str, str, str]] = []
-    count = {"expo": 0, "ex": 0, "set": 0}
-    kinds = {"expo": "exposition", "ex": "worked_example", "set": "exercise_set"}
-
-    def role(e: ET.Element) -> str:
-        tokens = (e.get("class") or "").split()
-        return next((r for r, names in profile.items() if any(t in names for t in tokens)), "")
-
-    def add(kind: str, name: str, text: str) -> None:
-        if text:
-            count[kind] += 1
-            out.append((f"{prefix}-{kind}{count[kind]}", kinds[kind], name, text))
-
-    def name_of(e: ET.Element, default: str) -> str:
-        return next((flat_text(t) for t in e if _local(t.tag) == "title"), "") or default
-
-    def prose(e: ET.Element, name: str, held: list[ET.Element]) -> None:
-        inner = lambda x: x is not e and (_local(x.tag) in ("section", "example") or x in held or _local(x.tag) == "title")
-        add("expo", name, flat_text(e, inner))
-        for x in e.iter():
-            if _local(x.tag) == "example" and not any(x in list(s.iter()) for s in held):
-                add("ex", name_of(x, name), flat_text(x, lambda y, x=x: y is not x and _local(y.tag) == "title"))
-
-    def section(e: ET.Element, name: str) -> None:
-        own = name_of(e, name)
-        r = role(e)
-        if r == "skip":
-            return
-        if r == "summary":
-            text = flat_text(e, lambda x: _local(x.tag) == "title")
-            if text:
-                out.append((f"{prefix}-summary", "summary", own, text))
-            return
-        if r == "set":
-            add("set", own, flat_text(e, lambda x: x is not e and _local(x.tag) == "title"))
-            return
-        held = [s for s in e if _local(s.tag) == "section"]
-        prose(e, own, held)
-        for s in held:
-            section(s, own)
-
-    section(body, title)
+    title = _heading(root)
+    numbers: Counter[str] = Counter()
+    out = []
+    for body in _named(root, "content")[:1]:
+        for kind, name, e in _pieces(body, module_id if title is None else title, PROFILES[profile]):
+            numbers[kind] += 1
+            if text := flat_text(e):
+                number = "" if kind == "summary" else numbers[kind]
+                out.append((f"{prefix}-{kind}{number}", KINDS[kind], name, text, " ".join(x.get("class") or "" for x in e.iter()).strip()))
     return out
 
 
 def parse_modules(raw: DataFrame, source: str) -> DataFrame:
-    """Chunks of raw modules (slug, module_id, payload)."""
-    parse = lambda r: [(r["slug"], r["module_id"], *c) for c in split_module(r["payload"] or "", f"{source}-{r['slug']}-{r['module_id']}")]
-    names = ["slug", "module_id", "chunk_id", "content_type", "title", "content"]
-    return _job(raw, parse, names, ", ".join(f"{n} string" for n in names), ["slug", "module_id", "payload"])
+    """Chunks of raw modules (slug, module_id, profile, payload)."""
+    parse = lambda r: [(r["slug"], r["module_id"], *c) for c in split_module(r["payload"] or "", r["module_id"], f"{source}-{r['slug']}-{r['module_id']}", r["profile"])]
+    names = ["slug", "module_id", "chunk_id", "content_type", "title", "content", "classes"]
+    return _job(raw, parse, names, ", ".join(f"{n} string" for n in names), ["slug", "module_id", "profile", "payload"])
 
 
 # ---- pages ----
 
 
-class _Parts(HTMLParser):
-    """Texts of elements whose class holds one of some names, list items under labels, links by heading, title and tags."""
+class Node:
+    """An element of a page: tag, attributes, and its texts and elements in order."""
 
-    def __init__(self, wanted: tuple[str, ...]):
+    def __init__(self, tag: str, attrs: dict[str, str | None], up: Node | None):
+        self.tag, self.attrs, self.up = tag, attrs, up
+        self.kids: list[Node | str] = []
+
+    def has(self, name: str) -> bool:
+        return name in (self.attrs.get("class") or "")
+
+    def walk(self) -> Iterator[Node]:
+        todo = [self]
+        while todo:
+            x = todo.pop()
+            yield x
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
+
+    def text(self) -> str:
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif x.tag not in ("script", "style"):
+                todo += reversed(x.kids)
+        return " ".join("".join(out).split())
+
+    def after(self, tag: str) -> Node | None:
+        """The next element of a tag beside it."""
+        beside = self.up.kids if self.up else []
+        at = next((i for i, k in enumerate(beside) if k is self), len(beside))
+        return next((k for k in beside[at + 1 :] if isinstance(k, Node) and k.tag == tag), None)
+
+
+class _Tree(HTMLParser):
+    """Reads a page; an element left open ends with its parent."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.depth, self.buffer = wanted, 0, []
-        self.parts: list[str] = []
-        self.stack: list[tuple[str, bool]] = []
-        self.hidden = 0
-        self.heading: list[str] | None = None
-        self.title = ""
+        self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("br", "img", "input", "meta", "link", "hr"):
-            self.buffer.append(" ")
-            return
-        tokens = (dict(attrs).get("class") or "").split()
-        hit = any(t in self.wanted for t in tokens)
-        self.stack.append((tag, hit))
-        if tag in ("script", "style"):
-            self.hidden += 1
-        if hit:
-            if not self.depth:
-                self.buffer = []
-            self.depth += 1
-        if tag in ("h1", "title") and not self.title:
-            self.heading = []
+        node = Node(tag, dict(attrs), self.at)
+        self.at.kids.append(node)
+        if tag not in self.VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.kids.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
-        while self.stack:
-            t, hit = self.stack.pop()
-            if t in ("script", "style"):
-                self.hidden -= 1
-            if hit:
-                self.depth -= 1
-                if not self.depth:
-                    self.parts.append(" ".join("".join(self.buffer).split()))
-            if t == tag:
-                break
-        if tag in ("h1", "title") and self.heading is not None:
-            self.title = " ".join("".join(self.heading).split())
-            self.heading = None
+        x = self.at
+        while x.up and x.tag != tag:
+            x = x.up
+        if x.up:
+            self.at = x.up
 
     def handle_data(self, data):
-        if self.hidden:
-            return
-        if self.depth:
-            self.buffer.append(data)
-        if self.heading is not None:
-            self.heading.append(data)
+        self.at.kids.append(data)
 
 
-def lesson_blocks(page: str, classes: tuple[str, ...]) -> list[str]:
-    p = _Parts(classes)
-    p.feed(page)
-    p.close()
-    return p.parts
+def tree(page: str) -> Node:
+    t = _Tree()
+    t.feed(page)
+    t.close()
+    return t.root
 
 
-def lesson_text(page: str, classes: tuple[str, ...] = ("im-c-content", "content"), least: int = 40) -> str:
-    """Blocks of a content class, from `least` characters, each once, by an empty line."""
-    return "\n\n".join(dict.fromkeys(b for b in lesson_blocks(page, classes) if len(b) >= least))
+# Classes of lesson pages.
+CONTENT_CLASS, LABEL_CLASS, HEADING_CLASS = "im-c-content", "im-c-hero__underline", "hero__heading"
 
 
-def paragraphs(page: str, least: int = 40) -> str:
-    """Paragraph texts of a page, from `least` characters, each once, by an empty line."""
-    found = re.findall(r"<p>(.*?)</p>", page, re.S)
-    texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in found]
-    return "\n\n".join(dict.fromkeys(t for t in texts if len(t) >= least))
+def lesson_text(page: Node, least: int = 40) -> str:
+    """Blocks of the content class, nested ones too, from `least` characters, each once, by an empty line."""
+    return "\n\n".join(dict.fromkeys(t for n in page.walk() if n.has(CONTENT_CLASS) and len(t := n.text()) >= least))
 
 
-def labelled_standards(page: str) -> dict[str, list[str]]:
-    """Identifiers in the list that follows each label (Addressing, Building On, Building Towards)."""
-    out: dict[str, list[str]] = {}
-    for label, body in re.findall(r"(Addressing|Building On|Building Towards)\s*(?:</[^>]+>\s*)*<ul[^>]*>(.*?)</ul>", page, re.S):
-        out.setdefault(label, []).extend(" ".join(re.sub(r"<[^>]+>", " ", x).split()) for x in re.findall(r"<li[^>]*>(.*?)</li>", body, re.S))
-    return out
+def labelled_standards(page: Node) -> dict[str, list[str]]:
+    """Tags in the links of the list that follows each label; of a label that stands twice, the last."""
+    labels = [n for n in page.walk() if n.tag == "p" and n.has(LABEL_CLASS)]
+    lists = [(n.text(), n.after("ul")) for n in labels]
+    return {label: tags for label, ul in lists if ul and (tags := [a.text() for a in ul.walk() if a.tag == "a"])}
+
+
+def lesson(page: str) -> tuple[str, list[str], dict[str, list[str]]]:
+    """Text, headings and labelled tags of a lesson page."""
+    t = tree(page)
+    return lesson_text(t), [n.text() for n in t.walk() if n.has(HEADING_CLASS)], labelled_standards(t)
 
 
 def parse_lessons(raw: DataFrame, *, least_words: int = 30) -> DataFrame:
-    """(key, title, content, addressing) of lesson pages (key, payload) with at least `least_words`."""
+    """(key, title, content, standards, addressing) of lesson pages (key, base, payload) with at least `least_words` words.
 
-    def parse(r: dict) -> list[tuple]:
-        page = r["payload"] or ""
-        text = lesson_text(page)
-        p = _Parts(())
-        p.feed(page)
-        return [(r["key"], p.title, text, labelled_standards(page).get("Addressing", []))] if len(text.split()) >= least_words else []
+    The title is the structured `base` and the page's first heading that can be one; `standards` maps every label to its
+    normalised identifiers, `addressing` are those that become alignments."""
+    pages = _job(raw, lambda r: [(r["key"], r["base"], *lesson(r["payload"] or ""))], ["key", "base", "content", "headings", "tags"], "key string, base string, content string, headings array<string>, tags map<string,array<string>>", ["key", "base", "payload"])
+    ids = F.transform_values("tags", lambda _, v: F.filter(F.transform(v, S.id_from_lesson_tag), lambda x: x.isNotNull()))
+    out = pages.where(C.words(F.col("content")) >= least_words).withColumn("standards", F.map_filter(ids, lambda _, v: F.size(v) > 0))
+    return out.select("key", C.page_title(F.col("headings"), F.col("base")).alias("title"), "content", "standards", F.coalesce(F.try_element_at("standards", F.lit("Addressing")), F.array().cast("array<string>")).alias("addressing"))
 
-    return _job(raw, parse, ["key", "title", "content", "addressing"], "key string, title string, content string, addressing array<string>", ["key", "payload"])
 
+# What ends the directions and the hint of a problem page; tags that are no author.
+DIRECTIONS = r"Directions?:?\s*(.*?)(?:Hint|Answer|Source|Use this problem|Print)"
+HINT = r"(?:Hint|Answer)\s*(.*?)(?:Source|Use this problem|Print|Embedded)"
+NO_AUTHOR = ("Open Middle", "Illustrative Mathematics")
 
-def problem(page: str) -> tuple[str, str, list[str]]:
-    """Directions, hint and tags of a problem page."""
-    text = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"<(script|style).*?</\1>", " ", page, flags=re.S))).split())
-    directions = re.search(r"Directions:\s*(.*?)\s*(?=Hint\b|Answer\b|Source:|$)", text)
-    hint = re.search(r"Hint\s*:?\s*(.*?)\s*(?=Answer\b|Source:|$)", text)
-    tags = list(dict.fromkeys(html.unescape(t).strip() for t in re.findall(r'<a[^>]*rel="[^"]*tag[^"]*"[^>]*>([^<]+)</a>', page)))
-    return (directions[1] if directions else "", hint[1] if hint else "", tags)
+
+def problem(page: str) -> tuple[str, str, list[str]] | None:
+    """Directions, hint and tags (links marked as tags, then keywords) of a problem page; None without an article."""
+    t = tree(page)
+    article = next((n for n in t.walk() if n.tag == "article"), None)
+    if article is None:
+        return None
+    text = article.text()
+    directions, hint = (m[1].strip() if (m := re.search(p, text, re.I)) else "" for p in (DIRECTIONS, HINT))
+    tags = [n.text() for n in t.walk() if n.tag == "a" and n.attrs.get("rel") == "tag"]
+    words = next((n.attrs.get("content") or "" for n in t.walk() if n.tag == "meta" and n.attrs.get("name") == "keywords"), "")
+    return directions, hint, list(dict.fromkeys(tags + [w.strip() for w in words.split(",") if w.strip()]))
 
 
 def parse_problems(raw: DataFrame, *, least: int = 10) -> DataFrame:
-    """(key, directions, hint, standards tags, dok, author) of problem pages (key, url, payload), one for each URL."""
+    """(key, url, content, standards, dok_level, author) of problem pages (key, url, payload), one for each URL, with
+    directions of at least `least` characters."""
+    one = raw.groupBy("url").agg(F.min_by(F.struct("key", "payload"), "key").alias("r")).select("url", "r.*")
 
     def parse(r: dict) -> list[tuple]:
-        d, h, tags = problem(r["payload"] or "")
-        dok = next((int(m[1]) for t in tags if (m := re.search(r"DOK\s*(\d)", t, re.I))), None)
-        author = next((t for t in tags if not re.search(r"\d", t)), None)
-        return [(r["key"], r["url"], d, h or None, [t for t in tags if re.search(r"\d", t) and "DOK" not in t.upper()], dok, author)] if len(d) >= least else []
+        found = problem(r["payload"] or "")
+        return [(r["key"], r["url"], *found)] if found and len(found[0]) >= least else []
 
-    names = ["key", "url", "directions", "hint", "tags", "dok_level", "author"]
-    return _job(raw.dropDuplicates(["url"]), parse, names, "key string, url string, directions string, hint string, tags array<string>, dok_level int, author string", ["key", "url", "payload"])
+    got = _job(one, parse, ["key", "url", "directions", "hint", "tags"], "key string, url string, directions string, hint string, tags array<string>", ["key", "url", "payload"])
+    standard = lambda x: S.id_from_problem_tag(x)
+    dok = lambda x: F.regexp_extract(x, r"(?i)DOK\s*(\d)", 1)
+    rest = F.filter("tags", lambda x: standard(x).isNull())
+    author = F.filter(rest, lambda x: (dok(x) == "") & ~x.rlike("[0-9]") & ~x.isin(*NO_AUTHOR))
+    content = F.concat(F.lit("Directions: "), "directions", F.when(F.col("hint") != "", F.concat(F.lit("\n\nAnswer/Hint: "), "hint")).otherwise(""))
+    return got.select("key", "url", content.alias("content"), F.filter(F.transform("tags", standard), lambda x: x.isNotNull()).alias("standards"), F.try_element_at(F.filter(F.transform(rest, dok), lambda x: x != ""), F.lit(-1)).cast("int").alias("dok_level"), F.get(author, F.lit(0)).alias("author"))
 
 
 # ---- exams ----
 
-_START = re.compile(r"^\s{0,2}(\d{1,2})\s+(?=[A-Z(“\"])")
-_PART = re.compile(r"^Part\s+(?:I{1,3}V?|IV)\b")
-# Lines of exam booklets that are no text, and what begins the reference sheet.
-NOISE = (r"^Use this space for(?: computations\.?)?\s*$", r"^computations\.?\s*$", r"^\s*\[\s*\d+\s*\]\s*(?:\[OVER\])?\s*$", r"^\s*\[OVER\]\s*$", r"^(?i:Algebra I|Geometry|Algebra II)\s*[–—-]\s*(?i:Jan|June|Aug)", r"^(?i:GO RIGHT ON TO THE NEXT PAGE)")
+# How a question and a part begin, lines of exam booklets that are no text, and what begins the reference sheet.
+START = r"^\s{0,2}(\d{1,2})\s+(?=[A-Z(“\"])"
+PART = r"^Part\s+(I{1,3}V?|IV)\b"
+NOISE = (r"^Use this space for\s*$", r"^computations\.?\s*$", r"^Use this space for computations\.?\s*$", r"^\s*\[\s*\d+\s*\]\s*(\[OVER\])?\s*$", r"^\s*\[OVER\]\s*$")
+NOISE_IN_ANY_CASE = (r"^(Algebra I|Geometry|Algebra II)\s*[–—-]\s*(Jan|June|Aug)", r"^GO RIGHT ON TO THE NEXT PAGE")
 SHEET = ("High School Math Reference Sheet", "Tear Here")
-_NOISE = re.compile("|".join(NOISE))
+_START, _PART = re.compile(START), re.compile(PART)
+_NOISE = [re.compile(p) for p in NOISE] + [re.compile(p, re.I) for p in NOISE_IN_ANY_CASE]
 
 
 def split_exam(text: str, least: int = 8) -> list[tuple[int, str]]:
     """(number, text) of the questions of an exam: one begins only where a line starts with the next number in turn."""
     found: list[list[str]] = []
     for line in text.split("\n"):
-        if _NOISE.match(line):
+        if any(p.match(line) for p in _NOISE):
             continue
         m = _START.match(line)
         if m and int(m[1]) == len(found) + 1:
@@ -305,45 +364,54 @@ def parse_exams(raw: DataFrame) -> DataFrame:
 # ---- item JSON ----
 
 
-def plain(text: str) -> str:
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", unquote(text))).split())
+def plain(fragment: str) -> str:
+    """The text of an encoded fragment of markup."""
+    return " ".join(re.sub(r"<[^>]+>", " ", unquote(fragment)).split())
+
+
+def _nodes(x: object) -> Iterator[dict]:
+    """All objects of a JSON value, each before what is in it."""
+    if isinstance(x, dict):
+        yield x
+    for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+        yield from _nodes(y)
 
 
 def item_content(raw: str) -> tuple[str, list[tuple[str, str]]]:
-    """Prompt and choices of an item's JSON: texts under prompt or html at any depth, each once, and options of distractors."""
-    prompts: dict[str, None] = {}
-    choices: list[tuple[str, str]] = []
+    """Prompt and choices of an item's JSON: texts under prompt or html at any depth but in STYLE nodes, each once, by an empty
+    line; and of each distractor its letter, else id, else nothing, and content."""
     try:
-        todo = [json.loads(raw)]
-    except (TypeError, ValueError):
+        nodes = list(_nodes(json.loads(raw)))
+    except (TypeError, ValueError, RecursionError):
         return "", []
-    while todo:
-        x = todo.pop()
-        if isinstance(x, list):
-            todo += reversed(x)
-        elif isinstance(x, dict):
-            for k in ("prompt", "html"):
-                v = x.get(k)
-                if isinstance(v, str) and "<style" not in v.lower() and len(t := plain(v)) > 2:
-                    prompts.setdefault(t)
-            for i, o in enumerate(x.get("distractors") or [] if isinstance(x.get("distractors"), list) else []):
-                if isinstance(o, dict) and isinstance(o.get("content"), str):
-                    choices.append((str(o.get("letter") or o.get("id") or chr(65 + i)), plain(o["content"])))
-            todo += reversed([v for k, v in x.items() if k not in ("prompt", "html", "distractors") and isinstance(v, dict | list)])
-    return "\n".join(prompts), choices
+    said = [plain(v) for n in nodes if n.get("tag") != "STYLE" for v in (n.get("prompt"), n.get("html")) if isinstance(v, str)]
+    options = [o for n in nodes if isinstance(n.get("distractors"), list) for o in n["distractors"] if isinstance(o, dict) and o.get("content")]
+    return "\n\n".join(dict.fromkeys(t for t in said if len(t) > 2)), [(str(o.get("letter") or o.get("id") or ""), plain(str(o["content"]))) for o in options]
 
 
 def parse_items(raw: DataFrame) -> DataFrame:
-    """(key, prompt, choices map) of item JSON (key, payload)."""
-    return _job(raw, lambda r: [(r["key"], p, dict(c)) for p, c in [item_content(r["payload"])]], ["key", "prompt", "choices"], "key string, prompt string, choices map<string,string>", ["key", "payload"])
+    """(key, prompt, choices array of (id, text)) of item JSON (key, payload)."""
+    return _job(raw, lambda r: [(r["key"], *item_content(r["payload"]))], ["key", "prompt", "choices"], "key string, prompt string, choices array<struct<id:string,text:string>>", ["key", "payload"])
+
+
+# Marks in the alternative text of an item's picture.
+SHOT, QUESTION, CHOICES = r"^Screen shot of an interactive question\.\s*", "QUESTION TEXT:", r"\s*ANSWER CHOICES:\s*"
 
 
 def question_text(page: str) -> str:
-    """The longest alternative text with QUESTION TEXT:, else the text without tags."""
-    alts = [html.unescape(a) for a in re.findall(r'alt="([^"]*)"', page) if "QUESTION TEXT:" in a]
-    return " ".join(max(alts, key=len).split()) if alts else plain(page)
+    """The longest alternative text if it holds the question, choices on their own line; else the page without tags."""
+    longest = max(re.findall(r'alt="([^"]+)"', page), key=len, default="")
+    if QUESTION in longest:
+        text = re.sub(CHOICES, "\n", re.sub(SHOT, "", longest).replace(QUESTION, "").strip())
+    else:
+        text = " ".join(re.sub(r"<[^>]+>", " ", page).split())
+    return html.unescape(text.replace("\\r\\n", "\n")).strip()
+
+
+def guide_text(guide: str, limit: int = 500) -> str | None:
+    return html.unescape(" ".join(re.sub(r"<[^>]+>", " ", guide).split()).replace("\\r\\n", "\n")).strip()[:limit] or None
 
 
 def parse_question_pages(raw: DataFrame) -> DataFrame:
-    """(key, question, guide) of item pages (key, payload, guide): the guide in 500 characters."""
-    return _job(raw, lambda r: [(r["key"], question_text(r["payload"] or ""), (plain(r["guide"] or "")[:500].strip() or None))], ["key", "question", "answer_key"], "key string, question string, answer_key string", ["key", "payload", "guide"])
+    """(key, question, answer_key) of item pages (key, payload, guide): the guide in 500 characters."""
+    return _job(raw, lambda r: [(r["key"], question_text(r["payload"] or ""), guide_text(r["guide"] or ""))], ["key", "question", "answer_key"], "key string, question string, answer_key string", ["key", "payload", "guide"])

@@ -216,7 +216,9 @@ def test_evaluation(spark):
     rows = [("x", "y", w) for w in ["x"] * 7 + ["y"] * 2 + ["tie", None]]
     r = evals.win_rates(spark.createDataFrame(rows, "left string, right string, winner string")).first()
     assert (r["win_rate"], r["target_met"], r["ties"], r["unparsed"]) == (0.778, True, 1, 1)
-    assert [one(spark, evals.parse_preference(F.lit(x))) for x in ("A", "b.", "It is a TIE", "I prefer B", "A or B", "none")] == ["A", "B", "TIE", "B", "A", None]
+    assert [one(spark, evals.parse_preference(F.lit(x))) for x in ("A", "b.", "It is a TIE", "I prefer B", "both B and A", "no ties", "1. tie", "none")] == ["A", "B", "TIE", "B", "B", None, "TIE", None]
+    h = spark.createDataFrame([(True, True, "B\nbetter"), (False, True, " \n a wins"), (True, False, "hm"), (None, True, None), (False, False, "")], "a_ok boolean, b_ok boolean, answer string")
+    assert evals.head_to_head(h).first().asDict() == {"a_wins": 1, "b_wins": 1, "ties": 2, "a_passed": 2, "b_passed": 3, "n": 5}
     s = spark.createDataFrame([("s1", ["f"], ["f"], 1, ["Yes"], "oh YES"), ("s2", ["f", "g"], ["f"], 1, [], ""), ("s3", ["f"], ["f"], 2, [], ""), ("s4", [], [], 0, ["no"], "x")], "scenario string, expected_tools array<string>, called_tools array<string>, min_calls int, phrases array<string>, answer string")
     assert {r["scenario"]: r["reason"] for r in evals.check_scenarios(s).collect()} == {"s1": "ok", "s2": "tools not called: g", "s3": "too few calls", "s4": "phrase missing: no"}
     top = spark.createDataFrame([(1, 2, "b", "y"), (1, 1, "a", "x")], "question_id long, rank int, content string, attribution string")
@@ -251,10 +253,20 @@ def test_columns(spark):
     assert one(spark, C.administration(F.lit("62025"))).asDict() == {"month": 6, "year": 2025}
     key = one(spark, C.scoring_key(F.lit("Algebra I June '25 7 1 MC 2\nAlgebra I June '25 8 4 MC 2")))
     assert key == {7: 1, 8: 4}
-    assert one(spark, C.objective_ids(F.lit("x aplo-2-1 aplo-2-1 aplo-3-4"), "BIO")) == ["AP.BIO.2.1", "AP.BIO.3.4"]
-    assert one(spark, C.page_title(F.lit("Warm up (12 minutes)"), F.lit("z"))) == "Warm up" and one(spark, C.page_title(F.lit(""), F.lit("z"))) == "z"
-    assert one(spark, C.rubric_answer(F.lit('[{"states": [{"ids": ["B"]}]}]'), F.create_map(F.lit("B"), F.lit("four")), F.lit("g"))) == "Correct: (B) four"
-    assert one(spark, C.percent_correct(F.lit('[{"data": [{"label": "x", "value": 1}, {"label": "y*", "value": 45}]}]'))) == 0.45 and one(spark, C.percent_correct(F.lit("[]"))) is None
+    assert one(spark, C.objective_ids(F.lit("x aplo-2-01 aplo-2-1 aplo-3-4"), F.lit("ap-bio"))) == ["AP.AP_BIO.2.1", "AP.AP_BIO.3.4"]
+    title = lambda *h: one(spark, C.page_title(F.array(*map(F.lit, h)), F.lit("Unit 1")))
+    assert title("", "x" * 100, "Warm up (12 minutes)", "z") == "Unit 1: Warm up" and title("") == "Unit 1"
+    choices = F.array(F.struct(F.lit("B").alias("id"), F.lit("four").alias("text")))
+    answer = lambda r: one(spark, C.rubric_answer(F.lit(r), choices))
+    assert answer('{"ScoreGroups": [{"RubricStates": [{"id": "B"}, {"val": "7"}]}, {}]}') == "Correct: (B) four; (7)"
+    assert answer('{"HumanScoringGuide": " <p>Give one point</p>"}') == "Give one point" and answer("{}") is None and answer(None) is None
+    perf = '{"result": {"series": [{"dataPoints": [{"AxisLabel": "x", "YValues": [1]}, {"AxisLabel": "y*", "YValues": [45, 2]}]}]}}'
+    assert one(spark, C.percent_correct(F.lit(perf))) == 0.45 and one(spark, C.percent_correct(F.lit('{"result": {}}'))) is None and one(spark, C.percent_correct(F.lit(None).cast("string"))) is None
+    assert [one(spark, C.item_type(F.lit(x), c)) for x, c in (("SR", "state"), ("mc", "national"), ("GI", "consortium"), ("?", "state"))] == ["multiple_choice", "multiple_choice", "performance_task", "constructed_response"]
+    lit = F.lit
+    assert one(spark, C.catalogue_lines(lit(7), lit("Equation"), lit("7.NS.A.1"), lit(""), lit(0), lit("NS"), lit(None), lit("T"), lit("u"))) == "Smarter Balanced Grade 7 Mathematics Assessment Item\nType: Equation\nStandard: CCSS.MATH.Content.7.NS.A.1\nDomain: NS\nTarget: T\n\nView item: u"
+    booklet = "Cover page " * 12 + "\nQuestion 3 " + "solve this now " * 8 + "\nGO ON TO THE NEXT PAGE. 4\n2. Find " + "the value here " * 8 + "© 2024 College Board. Visit collegeboard.org.\nProblem 9 short"
+    assert [(x["number"], x["text"][:10], x["text"][-4:]) for x in one(spark, C.free_response(F.lit(booklet)))] == [(3, "Question 3", " now"), (2, "2. Find th", "here")]
     assert one(spark, C.child_numbers(F.lit('href="/u/10" href="/u/2" href="/u/2"'), "/u")) == [2, 10]
     books = spark.createDataFrame([("b", [["m1", "m2"], ["m3"]])], "slug string, chapters array<array<string>>")
     mods = spark.createDataFrame([("b", "m0"), ("b", "m2"), ("b", "m3")], "slug string, module_id string")
@@ -266,28 +278,46 @@ def test_columns(spark):
     assert C.one_per_content(dup).first()["id"] == "y"
 
 
-MODULE = """<document xmlns="x" xmlns:m="y"><title>Adding</title><content><para>Add <m:math><m:mfrac><m:mn>1</m:mn><m:mn>4</m:mn></m:mfrac></m:math> now.</para>
-<section><title>More</title><para>Prose here.</para><example><title>Try</title><para>Worked out.</para></example><media>no</media></section>
-<section class="x summary"><title>Sum</title><para>In short.</para></section><section class="practice"><para>1. Do it.</para></section><section class="review-exercises"><para>2. Again.</para></section><section class="practice"/></content></document>"""
+MODULE = """<document xmlns="x" xmlns:m="y"><title>Adding</title><content><section class="lead"><para>Add <m:math><m:mfrac><m:mn>1</m:mn><m:mn>4</m:mn></m:mfrac></m:math> now.</para></section>
+<section><title>More</title><para>Prose here.</para><example class="aplo-2-1"><title>Try</title><para>Worked out.</para></example><media>no</media></section>
+<section class="x key-concepts"><title>Sum</title><para>In short.</para></section><section class="section-exercises"><section><title>Verbal</title><para>1. Do it.</para></section><section/><section><para>2. Again.</para></section></section></content></document>"""
 
 
 def test_documents(spark):
-    got = [c[:2] for c in D.split_module(MODULE, "src-b-m1")]
-    assert got == [("src-b-m1-expo1", "exposition"), ("src-b-m1-expo2", "exposition"), ("src-b-m1-ex1", "worked_example"), ("src-b-m1-summary", "summary"), ("src-b-m1-set1", "exercise_set"), ("src-b-m1-set2", "exercise_set")]
-    text = {c[0]: c[3] for c in D.split_module(MODULE, "p")}
-    assert text["p-expo1"] == r"Add $\frac{1}{4}$ now." and text["p-ex1"] == "Worked out." and "Worked" not in text["p-expo2"]
-    assert D.split_module("<broken", "p") == []
-    raw = spark.createDataFrame([("b", "m1", MODULE), ("b", "m2", None)], "slug string, module_id string, payload string")
+    got = D.split_module(MODULE, "m1", "src-b-m1")
+    assert [c[:3] for c in got] == [
+        ("src-b-m1-expo1", "exposition", "Adding"), ("src-b-m1-ex1", "worked_example", "Adding — Example 1"), ("src-b-m1-expo2", "exposition", "Adding: More"),
+        ("src-b-m1-summary", "summary", "Adding — Key Concepts"), ("src-b-m1-set1", "exercise_set", "Adding — Verbal"), ("src-b-m1-set3", "exercise_set", "Adding — Exercises"),
+    ]
+    text = {c[0][9:]: c[3] for c in got}
+    assert text["expo1"] == r"Add $\frac{1}{4}$ now." and text["ex1"] == "Try\nWorked out." and text["expo2"] == "More\nProse here." and got[1][4] == "aplo-2-1"
+    flat = D.split_module(MODULE.replace("section-exercises", "review").replace("key-concepts", "summary"), "m1", "p", "science")
+    assert [c[0] for c in flat] == ["p-expo1", "p-ex1", "p-expo2", "p-summary", "p-set1"] and flat[-1][2] == "Adding — Review"
+    assert D.split_module("<broken", "m", "p") == []
+    math = lambda x: D.latex(D.ET.fromstring(f"<math>{x}</math>"))
+    assert math("<mn>2</mn><mo>×</mo><mi>x</mi>") == r"2\times x" and math("<msup><mi>ab</mi><mn>2</mn></msup>") == "{ab}^{2}" and math("<mtext>cm</mtext><mspace/>") == r"\text{cm}\ "
+    assert math("<mfenced open='['><mi>a</mi><mi>b</mi></mfenced>") == "[a, b)" and math("<munder><mi>x</mi><mspace/></munder>") == "x"
+    assert math("<mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable>") == r"\begin{matrix}1 & 2 \\ 3\end{matrix}"
+    raw = spark.createDataFrame([("b", "m1", "math", MODULE), ("b", "m2", "math", None)], "slug string, module_id string, profile string, payload string")
     assert D.parse_modules(raw, "src").count() == 6
     long = "What is the value of x in this equation here"
     exam = f"Part I\nUse this space for\n1 {long}\n 7 (axis)\n2 {long}\nPart II\n[3]\n3 {long}\nHigh School Math Reference Sheet\n4 inches"
     assert [(n, t.split("\n")[0][:6]) for n, t in D.split_exam(exam)] == [(1, "1 What"), (2, "2 What"), (3, "3 What")] and "Reference" not in D.split_exam(exam)[2][1]
-    item = json.dumps({"a": [{"prompt": "<p>What%20is it?</p>"}, {"html": "<style>x</style>"}], "b": {"distractors": [{"letter": "A", "content": "<b>one</b>"}, {"id": 2, "content": "two"}], "prompt": "What is it?"}})
-    assert D.item_content(item) == ("What is it?", [("A", "one"), ("2", "two")]) and D.item_content("{") == ("", [])
-    page = '<html><title>T</title><h1>Lesson (12 minutes)</h1><div class="content">' + "Forty characters of text or more are here, yes. " * 3 + '</div><div class="content">short</div><h3>Addressing</h3><ul><li>6.RP.A.1</li></ul></html>'
-    r = D.parse_lessons(spark.createDataFrame([("k", page)], "key string, payload string"), least_words=5).first()
-    assert r["addressing"] == ["6.RP.A.1"] and r["content"].startswith("Forty")
-    prob = '<p>Directions: Fill the boxes with digits. Hint Think of ten.</p><a rel="tag" href="#">3.OA.8</a><a rel="tag" href="#">DOK 2: skill</a><a rel="tag" href="#">Ann Lee</a>'
-    p = D.parse_problems(spark.createDataFrame([("k", "u", prob), ("k2", "u", prob)], "key string, url string, payload string")).collect()
-    assert len(p) == 1 and (p[0]["directions"], p[0]["dok_level"], p[0]["author"], p[0]["tags"]) == ("Fill the boxes with digits.", 2, "Ann Lee", ["3.OA.8"])
-    assert D.question_text('<img alt="QUESTION TEXT: What &amp; why?">') == "QUESTION TEXT: What & why?"
+    item = json.dumps({"a": [{"prompt": "<p>What%20is it?</p>"}, {"tag": "STYLE", "html": "no text"}, {"html": "<i>And this.</i>"}], "b": {"distractors": [{"letter": "A", "content": "<b>one</b>"}, {"id": 2, "content": "two"}, {"content": "three"}], "prompt": "What is it?"}})
+    assert D.item_content(item) == ("What is it?\n\nAnd this.", [("A", "one"), ("2", "two"), ("", "three")]) and D.item_content("{") == ("", [])
+    block = "Forty characters of text or more are here, yes."
+    page = f'<h1 class="im-c-hero__heading">Lesson  (12 minutes)</h1><div class="im-c-content"><div class="im-c-content">{block}</div><script>x</script></div><div class="im-c-content">{block}</div><div class="im-c-content">short</div>'
+    page += '<p class="im-c-hero__underline">Addressing</p><span></span><ul><li><a>6.RP.A.1</a> <a>nope</a></li></ul><p class="im-c-hero__underline">Building On</p><ul><li><a>K.CC.A.1</a></li></ul>'
+    r = D.parse_lessons(spark.createDataFrame([("k", "Unit 1", page.replace("hero__heading", "hero__heading", 1))], "key string, base string, payload string"), least_words=5).first()
+    assert (r["title"], r["addressing"], r["content"]) == ("Unit 1: Lesson", ["CCSS.MATH.6.RP.1"], block) and r["standards"]["Building On"] == ["CCSS.MATH.K.CC.A.1"]
+    prob = '<meta name="keywords" content="DOK 3: more, F-IF.4"><article><p>Directions: Fill the boxes with digits. Hint Think of ten. Source x</p></article><a rel="tag" href="#">3.OA.8</a><a rel="tag" href="#">Open Middle</a><a rel="tag" href="#">Ann Lee</a>'
+    p = D.parse_problems(spark.createDataFrame([("k", "u", prob), ("k2", "u", prob), ("k3", "v", "<p>Directions: Fill the boxes.</p>")], "key string, url string, payload string")).collect()
+    assert [tuple(x) for x in p] == [("k", "u", "Directions: Fill the boxes with digits.\n\nAnswer/Hint: Think of ten.", ["CCSS.MATH.3.OA.8", "CCSS.MATH.HSF.IF.4"], 3, "Ann Lee")]
+    shot = '<img alt="x"><img alt="Screen shot of an interactive question. QUESTION TEXT: What &amp; why? ANSWER CHOICES: A. one">'
+    assert D.question_text(shot) == "What & why?\nA. one" and D.question_text("<p>a <b>b</b></p>") == "a b" and D.guide_text("") is None
+
+
+def test_validation(spark):
+    c = spark.createDataFrame([("s", "exercise_set", "x", "by me"), ("s", "assessment", " ", None)], "source_id string, content_type string, content string, attribution string").selectExpr("*", "string(null) grade_band", "1 as dok_level")
+    r = {x["source_id"]: (x["ok"], x["errors"], x["warnings"]) for x in audit.validation_report(c, spark.createDataFrame([("s",), ("t",)], "source_id string")).collect()}
+    assert r == {"s": (False, "1 with empty content; 1 with empty attribution", "no exposition chunks; 2 items without standard alignment"), "t": (False, "no chunks produced", "")}
