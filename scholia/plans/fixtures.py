@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholia.operators.merge import merge_tiers
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Each may read the tables and the views before it; both engines read them alike.
@@ -19,6 +21,10 @@ SELECT concat('STD.', CAST(n.n_regionkey AS STRING), '.', CAST(s.s_nationkey AS
             WHEN s.s_suppkey % 11 = 10 THEN NULL ELSE CAST(s.s_suppkey % 11 AS STRING) END AS grade,
        s.s_name AS standard_text, s.s_suppkey AS std_num
 FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey""",
+    "fx_catalogue": """
+SELECT standard_id, domain, grade FROM fx_standards
+UNION ALL
+SELECT concat('STD.', CAST(n_regionkey AS STRING), '.', CAST(n_nationkey AS STRING)), n_name, NULL FROM nation""",
     "fx_chunks": """
 SELECT concat('chunk-', CAST(p_partkey AS STRING)) AS chunk_id,
        concat('book-', substr(p_brand, 7)) AS book_id,
@@ -31,7 +37,8 @@ SELECT concat('chunk-', CAST(p_partkey AS STRING)) AS chunk_id,
             WHEN 4 THEN 'K-8' ELSE NULL END AS grade_band,
        CASE WHEN p_size % 5 = 4 THEN CAST(1 + p_partkey % 4 AS INT) ELSE NULL END AS dok_level,
        CASE WHEN p_size % 5 = 4 AND p_partkey % 5 = 0 THEN 'SAT' WHEN p_size % 5 = 4 AND p_partkey % 5 = 1 THEN 'ACT'
-            WHEN p_size % 5 = 4 AND p_partkey % 5 = 2 THEN 'NAEP Grade 8' ELSE NULL END AS exam_series,
+            WHEN p_size % 5 = 4 AND p_partkey % 5 = 2 THEN 'NAEP Grade 8'
+            WHEN p_size % 5 = 4 AND p_partkey % 500 = 3 THEN 'AP Precalculus' ELSE NULL END AS exam_series,
        CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS stale,
        p_partkey AS ord
 FROM part""",
@@ -63,9 +70,9 @@ SELECT concat('STD.', CAST(n_regionkey AS STRING), '.', CAST(n_nationkey AS STRI
 UNION ALL
 SELECT concat('STD.', CAST(r_regionkey AS STRING)), 'NAEP Grade 8', concat('Region ', r_name) FROM region""",
     "fx_questions": """
-SELECT std_num AS question_id, standard_id, system FROM fx_standards WHERE std_num % 4 = 0""",
+SELECT std_num AS question_id, standard_id, system FROM fx_standards""",
     "fx_queries": """
-SELECT item_id AS query_id, substr(text, 1, 30) AS query_text FROM benchmark""",
+SELECT item_id AS query_id, text AS query_text FROM benchmark""",
     "fx_verdicts": """
 SELECT a.chunk_id, a.standard_id, CASE l.quality WHEN 1 THEN 'verified' ELSE 'reject' END AS verdict,
        concat('judged ', CAST(l.doc_id AS STRING)) AS note
@@ -82,8 +89,14 @@ SELECT concat('doc-', CAST(doc_id AS STRING)) AS chunk_id, source AS source_id,
        CASE doc_id % 5 WHEN 0 THEN 'exposition' WHEN 1 THEN 'worked_example' WHEN 2 THEN 'exercise_set' WHEN 3 THEN 'summary' ELSE 'assessment' END AS content_type,
        CASE doc_id % 4 WHEN 0 THEN 'K-5' WHEN 1 THEN '6-8' WHEN 2 THEN '9-12' ELSE NULL END AS grade_band,
        CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 0 END AS stale, doc_id AS ord
+FROM documents""",
+    "fx_places": """
+SELECT concat('doc-', CAST(doc_id AS STRING)) AS chunk_id,
+       CASE doc_id % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'ncsa' WHEN 2 THEN 'ap' ELSE 'state' END AS part
 FROM documents""",
 }
+#: Views that Spark builds by the library's own aggregate; a query of its own checks that against the view's SQL.
+_BUILT = {"fx_alignments": ("fx_alignments_raw", lambda raw: merge_tiers(raw.drop("created_at")))}
 
 
 def needed(sql: str) -> list[str]:
@@ -109,6 +122,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view over the Parquet tables in sf_dir."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in _BUILT:
+        source, build = _BUILT[name]
+        return build(view(spark, sf_dir, source))
     sql = VIEWS[name]
     inputs = [t for t in [*TABLES, *VIEWS] if t != name and re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)]
     for t in inputs:

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import standards as S
 from scholia.operators import align, assess, audit, coverage, evals, inventory, merge, paths, retrieve, review, search
-from scholia.plans.fixtures import view, with_views
+from scholia.plans.fixtures import view
+from scholia.plans.registry import query
 from scholia.sources import columns as C
-from scholia.sources import documents as D
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
 # pieces of SQL
 _TIER = "CASE {} WHEN 'human' THEN 4 WHEN 'publisher_guide' THEN 3 WHEN 'llm_verified' THEN 2 ELSE 1 END"
@@ -36,24 +30,6 @@ _HI = "CASE grade_band WHEN 'K-5' THEN 5 WHEN 'K-8' THEN 8 WHEN '6-8' THEN 8 WHE
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = with_views(sql)
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # ---- retrieval ----
 
 
@@ -73,10 +49,10 @@ def q4_filtered_content(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT q.question_id, q.standard_id, 'no_aligned_content' reason, (SELECT string_agg(DISTINCT source_id, ',' ORDER BY source_id) FROM fx_chunks WHERE stale = 0) available_sources
-FROM fx_questions q WHERE NOT EXISTS (SELECT 1 FROM ({_ANCESTORS}) p JOIN fx_alignments a USING (standard_id) JOIN fx_chunks c USING (chunk_id) WHERE p.question_id = q.question_id AND a.stale = 0 AND c.stale = 0 AND c.content_type = 'assessment' AND c.dok_level = 2 AND c.source_id = 'src-3' AND c.ord % 6 = 0)""")
+FROM fx_questions q WHERE NOT EXISTS (SELECT 1 FROM ({_ANCESTORS}) p JOIN fx_alignments a USING (standard_id) JOIN fx_chunks c USING (chunk_id) WHERE p.question_id = q.question_id AND a.stale = 0 AND c.stale = 0 AND c.content_type = 'assessment' AND c.dok_level = 2 AND c.source_id = 'src-3')""")
 def q6_unanswered(s: SparkSession, d: str) -> DataFrame:
     chunks = view(s, d, "fx_chunks")
-    hits = retrieve.content_for_standards(view(s, d, "fx_questions"), view(s, d, "fx_alignments"), chunks.where("ord % 6 = 0"), k=1, dok_level=2, source="src-3")
+    hits = retrieve.content_for_standards(view(s, d, "fx_questions"), view(s, d, "fx_alignments"), chunks, k=1, dok_level=2, source="src-3")
     return retrieve.unanswered(view(s, d, "fx_questions"), hits, chunks)
 
 
@@ -124,19 +100,43 @@ def q11_semantic_search(s: SparkSession, d: str) -> DataFrame:
     return search.semantic_hits(q, c, limit=5).withColumn("score", F.round("score", 4)).select("query_id", "chunk_id", "rank", "score")
 
 
-@query(f"""{_BM25}, l AS (SELECT chunk_id, query_id, score r FROM k WHERE rank <= 50), arm AS (SELECT query_id, chunk_id, rank FROM k WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) FROM l),
-f AS (SELECT query_id, chunk_id, round(sum(1e0 / (60 + rank)), 9) score FROM arm GROUP BY ALL)
-SELECT query_id, chunk_id, round(score, 6) score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) rank FROM f) WHERE rank <= 10""")
+_ARMS = f"""WITH w AS (SELECT chunk_id, ord, part, stale, {_WORDS.format("concat_ws(' ', title, content)")} w FROM fx_docs JOIN fx_places USING (chunk_id)), st AS (SELECT part, count(*) n, sum(len(w)) / count(*) mean FROM w GROUP BY part),
+q AS (SELECT query_id, term, count(*) times FROM (SELECT query_id, unnest({_WORDS.format('query_text')}) term FROM fx_queries) GROUP BY ALL),
+tf AS (SELECT chunk_id, part, stale, len, term, count(*) tf FROM (SELECT chunk_id, part, stale, len(w) len, unnest(w) term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT part, term, count(*) df FROM tf GROUP BY ALL),
+sc AS (SELECT query_id, part, chunk_id, round(sum(times * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / mean))), 6) score FROM q JOIN tf USING (term) JOIN df USING (part, term) JOIN st USING (part) WHERE stale = 0 GROUP BY ALL),
+kw AS (SELECT query_id, part, chunk_id, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, chunk_id) rank FROM sc),
+cs AS (SELECT query_id, part, chunk_id, round(round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9), 6) score FROM fx_queries JOIN embeddings x ON x.vec_id = query_id, w JOIN embeddings y ON y.vec_id = ord WHERE stale = 0),
+se AS (SELECT query_id, part, chunk_id, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, chunk_id) rank FROM cs),
+f AS (SELECT query_id, part, chunk_id, round(sum(1e0 / (60 + rank)), 9) score FROM (SELECT * FROM kw WHERE rank <= 50 UNION ALL SELECT * FROM se WHERE rank <= 50) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, chunk_id) rank FROM f)"""
+
+
+def _document_vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the search queries and of the documents: those of their numbers."""
+    e = view(s, d, "embeddings")
+    q = view(s, d, "fx_queries").join(e, F.col("query_id") == F.col("vec_id")).selectExpr("query_id as id", "embedding as vector")
+    return q, view(s, d, "fx_docs").join(e, F.col("ord") == F.col("vec_id")).selectExpr("chunk_id as id", "embedding as vector")
+
+
+@query(f"{_ARMS.replace('JOIN fx_places USING (chunk_id)', '').replace('ord, part,', """ord, 'all' part,""")} SELECT query_id, chunk_id, round(score, 6) score, CAST(rank AS INTEGER) rank FROM fr WHERE rank <= 10")
 def q12_fusion(s: SparkSession, d: str) -> DataFrame:
     docs = view(s, d, "fx_docs")
-    one = search.keyword_hits(view(s, d, "fx_queries"), docs, search.filtered(docs))
-    w = search.Window.partitionBy("query_id").orderBy("chunk_id")
-    out = search.fuse(one, one.withColumn("rank", F.row_number().over(w)))
+    q, v = _document_vectors(s, d)
+    live = search.filtered(docs)
+    out = search.fuse(search.keyword_hits(view(s, d, "fx_queries"), docs, live), search.semantic_hits(q, v, live))
     return out.where("rank <= 10").withColumn("score", F.round("score", 6))
 
 
-@query(f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) rank, chunk_id, 'core' part, score, 'keyword_fallback' AS mode FROM k WHERE rank <= 5")
+@query(f"""{_ARMS}, p AS (SELECT query_id, chunk_id, part, round(1e0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY {_PART.format('part')}, rank)), 9) score FROM fr),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) rank FROM p) SELECT query_id, CAST(rank AS INTEGER) rank, chunk_id, part, score, 'hybrid' AS mode FROM t WHERE rank <= 5""")
 def q13_hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    q, v = _document_vectors(s, d)
+    docs = view(s, d, "fx_docs").join(view(s, d, "fx_places"), "chunk_id")
+    return search.hybrid_search(view(s, d, "fx_queries"), docs, query_vectors=q, chunk_vectors=v, limit=5)
+
+
+@query(f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) rank, chunk_id, 'core' part, score, 'keyword_fallback' AS mode FROM k WHERE rank <= 5")
+def q25_search_without_vectors(s: SparkSession, d: str) -> DataFrame:
     docs = view(s, d, "fx_docs").withColumn("part", F.lit("core"))
     return search.hybrid_search(view(s, d, "fx_queries"), docs, limit=5)
 
@@ -165,15 +165,15 @@ def q18_coverage_report(s: SparkSession, d: str) -> DataFrame:
     return coverage.coverage_report(view(s, d, "fx_questions"), view(s, d, "fx_standards"), view(s, d, "fx_alignments"), view(s, d, "fx_chunks"), source="src-1")
 
 
-@query("""SELECT p.r_regionkey question_id, s.standard_id, s.standard_text FROM region p JOIN fx_standards s ON s.system = 'ccss' AND starts_with(s.standard_id, concat('STD.', CAST(p.r_regionkey AS VARCHAR)))""")
+@query("""SELECT p.n_nationkey question_id, s.standard_id, s.standard_text FROM nation p JOIN fx_standards s ON s.system = 'ccss' AND starts_with(s.standard_id, concat('STD.', CAST(p.n_regionkey AS VARCHAR), '.', CAST(p.n_nationkey AS VARCHAR)))""")
 def q15_cluster_by_prefix(s: SparkSession, d: str) -> DataFrame:
-    q = view(s, d, "region").selectExpr("r_regionkey as question_id", "concat('STD.', r_regionkey, '.A') standard_id", "'ccss' as system")
+    q = view(s, d, "nation").selectExpr("n_nationkey as question_id", "concat('STD.', n_regionkey, '.', n_nationkey, '.A') standard_id", "'ccss' as system")
     return coverage.expand_clusters(q, view(s, d, "fx_standards"))
 
 
-@query("""SELECT p.r_regionkey question_id, s.standard_id, 'unavailable_without_catalogue' gap_detection FROM region p JOIN (SELECT DISTINCT standard_id FROM fx_alignments WHERE stale = 0) s ON starts_with(s.standard_id, concat('STD.', CAST(p.r_regionkey AS VARCHAR)))""")
+@query("""SELECT p.n_nationkey question_id, s.standard_id, 'unavailable_without_catalogue' gap_detection FROM nation p JOIN (SELECT DISTINCT standard_id FROM fx_alignments WHERE stale = 0) s ON starts_with(s.standard_id, concat('STD.', CAST(p.n_regionkey AS VARCHAR), '.', CAST(p.n_nationkey AS VARCHAR)))""")
 def q19_coverage_without_catalogue(s: SparkSession, d: str) -> DataFrame:
-    q = view(s, d, "region").selectExpr("r_regionkey as question_id", "concat('STD.', r_regionkey) standard_id")
+    q = view(s, d, "nation").selectExpr("n_nationkey as question_id", "concat('STD.', n_regionkey, '.', n_nationkey) standard_id")
     return coverage.coverage_without_catalogue(q, view(s, d, "fx_alignments"))
 
 
@@ -276,18 +276,17 @@ def a5_outliers(s: SparkSession, d: str) -> DataFrame:
     return audit.outliers(view(s, d, "fx_alignments"), view(s, d, "fx_chunks"))
 
 
-_LEVELS = """SELECT s.standard_id, s.domain, s.grade, coalesce(n, 0) chunks, avg_score, max_score, CASE WHEN coalesce(n, 0) >= 3 THEN 'strong' WHEN coalesce(n, 0) >= 1 THEN 'weak' ELSE 'none' END AS level FROM fx_standards s LEFT JOIN
-(SELECT standard_id, count(DISTINCT chunk_id) n, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, max(alignment_score) max_score FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.source_id = 'src-1' AND c.grade_band = '6-8' AND c.ord % 7 = 0 GROUP BY standard_id) g USING (standard_id)"""
+_LEVELS = """SELECT s.standard_id, s.domain, s.grade, coalesce(n, 0) chunks, avg_score, max_score, CASE WHEN coalesce(n, 0) >= 3 THEN 'strong' WHEN coalesce(n, 0) >= 1 THEN 'weak' ELSE 'none' END AS level FROM fx_catalogue s LEFT JOIN
+(SELECT standard_id, count(DISTINCT chunk_id) n, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, max(alignment_score) max_score FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 GROUP BY standard_id) g USING (standard_id)"""
 
 
-def _narrow(s: SparkSession, d: str) -> DataFrame:
-    chunks = view(s, d, "fx_chunks").where("source_id = 'src-1' and grade_band = '6-8' and ord % 7 = 0")
-    return audit.standard_coverage(view(s, d, "fx_standards"), view(s, d, "fx_alignments"), chunks)
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    return audit.standard_coverage(view(s, d, "fx_catalogue"), view(s, d, "fx_alignments"), view(s, d, "fx_chunks"))
 
 
 @query(f"SELECT * FROM ({_LEVELS}) WHERE chunks = 0 OR (chunks = 1 AND avg_score < 0.75e0)")
 def a6_weak_standards(s: SparkSession, d: str) -> DataFrame:
-    return audit.weak_standards(_narrow(s, d))
+    return audit.weak_standards(_levels(s, d))
 
 
 @query(f"SELECT count(*) alignments, count(DISTINCT chunk_id) chunks, count(DISTINCT standard_id) standards, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, count(*) FILTER (alignment_score >= 0.8e0) strong, {_TIERS} FROM fx_alignments WHERE stale = 0")
@@ -310,12 +309,12 @@ def a9_grade_domain_matrix(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT level, count(*) standards FROM ({_LEVELS}) GROUP BY level")
 def a10_gap_levels(s: SparkSession, d: str) -> DataFrame:
-    return audit.level_totals(_narrow(s, d))
+    return audit.level_totals(_levels(s, d))
 
 
 @query(_LEVELS)
 def a10_gap_analysis(s: SparkSession, d: str) -> DataFrame:
-    return _narrow(s, d)
+    return _levels(s, d)
 
 
 @query(f"""SELECT source_id, count(DISTINCT c.chunk_id) chunks, count(DISTINCT standard_id) standards, count(standard_id) alignments, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, {_TIERS}, count(*) FILTER (alignment_score >= 0.8e0) strong
@@ -335,23 +334,62 @@ def a12_checkpoint_totals(s: SparkSession, d: str) -> DataFrame:
     return audit.checkpoint_totals(view(s, d, "fx_alignments"))
 
 
-@query("""WITH c AS (SELECT count(*) FILTER (stale = 0) live, count(*) total, count(*) FILTER (trim(coalesce(content, '')) = '') empty, count(*) FILTER (trim(coalesce(source_id, '')) = '') unattributed, count(*) FILTER (stale = 0 AND regexp_matches(lower(concat_ws(' ', title, content)), '(^|[^\\p{L}\\p{N}_])steel($|[^\\p{L}\\p{N}_])')) hits FROM fx_chunks),
+@query("""WITH c AS (SELECT count(*) FILTER (stale = 0) live, count(*) total, count(*) FILTER (trim(coalesce(content, '')) = '') empty, count(*) FILTER (trim(coalesce(source_id, '')) = '') unattributed, count(*) FILTER (stale = 0 AND regexp_matches(lower(concat_ws(' ', title, content)), '(^|[^\\p{L}\\p{N}_])widget($|[^\\p{L}\\p{N}_])')) hits FROM fx_chunks),
 a AS (SELECT count(DISTINCT standard_id) standards, count(*) FILTER (standard_id = 'STD.0.0.1') spot FROM fx_alignments WHERE stale = 0), e AS (SELECT count(*) embedded FROM fx_chunks WHERE stale = 0)
 SELECT * FROM (SELECT 'live chunks' AS name, live AS value, live >= 100 AS ok, true AS hard FROM c UNION ALL SELECT 'empty content', empty, empty = 0, true FROM c UNION ALL SELECT 'missing attribution', unattributed, unattributed = 0, true FROM c UNION ALL SELECT 'keyword hits', hits, hits >= 10, true FROM c
 UNION ALL SELECT 'embedded', embedded, embedded >= total, false FROM e, c UNION ALL SELECT 'distinct standards', standards, standards >= 200, false FROM a UNION ALL SELECT 'spot standard', spot, spot >= 2, false FROM a)""".replace("\\\\", "\\"))
 def a13_acceptance(s: SparkSession, d: str) -> DataFrame:
     c = view(s, d, "fx_chunks").withColumn("attribution", F.col("source_id"))
-    return audit.acceptance(c, c.where("stale = 0"), view(s, d, "fx_alignments"), min_chunks=100, word="steel", spot="STD.0.0.1")
+    return audit.acceptance(c, c.where("stale = 0"), view(s, d, "fx_alignments"), min_chunks=100, word="widget", spot="STD.0.0.1")
+
+
+_BENCH_TOP = """SELECT question_id, CAST(rank AS INTEGER) rank, chunk_id, title, alignment_score FROM (SELECT q.question_id, c.chunk_id, c.title, a.alignment_score, row_number() OVER (PARTITION BY q.question_id ORDER BY a.alignment_score DESC, a.chunk_id) rank
+FROM fx_questions q JOIN fx_alignments a USING (standard_id) JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0{}) WHERE rank <= 5"""
+
+
+def _bench_top(s: SparkSession, d: str, **filters: str) -> DataFrame:
+    return audit.benchmark_top(view(s, d, "fx_questions"), view(s, d, "fx_alignments"), view(s, d, "fx_chunks"), **filters)
 
 
-@query("SELECT array_to_string(list_slice(string_split(standard_id, '.'), 1, 2), '.') prefix, count(DISTINCT standard_id) standards, count(DISTINCT a.chunk_id) chunks FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 GROUP BY 1")
+@query(_BENCH_TOP.format(""))
+def a14_benchmark_content(s: SparkSession, d: str) -> DataFrame:
+    return _bench_top(s, d)
+
+
+@query(_BENCH_TOP.format(" AND c.source_id = 'src-1'"))
+def a14_benchmark_source(s: SparkSession, d: str) -> DataFrame:
+    return _bench_top(s, d, source="src-1")
+
+
+@query(_BENCH_TOP.format(" AND c.grade_band = '6-8'"))
+def a14_benchmark_grade(s: SparkSession, d: str) -> DataFrame:
+    return _bench_top(s, d, grade_band="6-8")
+
+
+@query(f"""{_BM25.replace('fx_docs', "(SELECT chunk_id, title, content, stale FROM fx_chunks)").replace('fx_queries', "(SELECT 0 query_id, 'widget' query_text)")} SELECT chunk_id, score, CAST(rank AS INTEGER) rank FROM k WHERE rank <= 50""")
+def a14_benchmark_search(s: SparkSession, d: str) -> DataFrame:
+    c = view(s, d, "fx_chunks")
+    return search.keyword_hits(s.createDataFrame([(0, "widget")], "query_id int, query_text string"), c, search.filtered(c)).drop("query_id")
+
+
+@query("SELECT standard_id, count(*) n FROM fx_alignments WHERE stale = 0 GROUP BY 1")
 def a14_benchmark_counts(s: SparkSession, d: str) -> DataFrame:
-    return audit.benchmark_counts(view(s, d, "fx_chunks"), view(s, d, "fx_alignments"))
+    return audit.benchmark_counts(view(s, d, "fx_alignments"))
+
+
+@query("SELECT source_id, count(DISTINCT chunk_id) FILTER (stale = 0) chunks FROM fx_chunks GROUP BY source_id")
+def a14_benchmark_inventory(s: SparkSession, d: str) -> DataFrame:
+    return audit.benchmark_inventory(view(s, d, "fx_chunks"), view(s, d, "fx_chunks"))
 
 
-@query("SELECT source_id, count(*) chunks, " + ", ".join(f"count(*) FILTER (content_type = '{t}') {t}" for t in S.CONTENT_TYPES) + ", count(*) FILTER (trim(coalesce(content, '')) = '') empty, count(grade_band) graded, count(dok_level) with_dok, count(*) FILTER (trim(coalesce(content, '')) = '') = 0 ok FROM fx_chunks GROUP BY source_id")
+@query("""WITH n AS (SELECT source_id, count(*) chunks, """ + ", ".join(f"count(*) FILTER (content_type = '{t}') {t}" for t in S.CONTENT_TYPES) + """, count(*) FILTER (trim(coalesce(content, '')) = '') empty, count(*) FILTER (trim(coalesce(exam_series, '')) = '') unattributed, count(grade_band) graded, count(dok_level) with_dok, count(*) FILTER (trim(coalesce(exam_series, '')) <> '') with_answer, count(*) FILTER (std.n > 0) with_standard
+FROM fx_chunks LEFT JOIN (SELECT chunk_id, count(*) n FROM fx_alignments GROUP BY 1) std USING (chunk_id) GROUP BY source_id)
+SELECT *, concat_ws('; ', CASE WHEN empty > 0 THEN concat(empty, ' with empty content') END, CASE WHEN unattributed > 0 THEN concat(unattributed, ' with empty attribution') END) errors,
+concat_ws('; ', CASE WHEN chunks > assessment AND exposition = 0 THEN 'no exposition chunks' END, CASE WHEN assessment > 0 AND chunks > with_standard THEN concat(chunks - with_standard, ' items without standard alignment') END) warnings, empty + unattributed = 0 ok FROM n""")
 def p31_validation_report(s: SparkSession, d: str) -> DataFrame:
-    return audit.validation_report(view(s, d, "fx_chunks"))
+    n = view(s, d, "fx_alignments").groupBy("chunk_id").agg(F.count("*").alias("standards"))
+    c = view(s, d, "fx_chunks").join(n, "chunk_id", "left").withColumn("attribution", F.col("exam_series")).withColumn("answer_key", F.col("exam_series"))
+    return audit.validation_report(c)
 
 
 # ---- merges ----
@@ -466,10 +504,11 @@ def e1_pending_inputs(s: SparkSession, d: str) -> DataFrame:
     return align.pending(x, x.where("ord % 3 = 0")).select("chunk_id", align.embed_input(F.col("title"), F.col("content")).alias("text"))
 
 
-@query()
+@query(r"SELECT chunk_id, 'hashing-64' AS model, 64 AS dimensions, true AS filled FROM fx_docs WHERE stale = 0 AND ord % 3 <> 0 AND regexp_matches(content, '\S')")
 def e3_embed_pending(s: SparkSession, d: str) -> DataFrame:
     x = view(s, d, "fx_docs")
-    return align.embed_pending(x, x.where("ord % 3 = 0"), align.hashing_embedder(), model="hashing-64")
+    out = align.embed_pending(x, x.where("ord % 3 = 0"), align.hashing_embedder(), model="hashing-64")
+    return out.select("chunk_id", "model", "dimensions", ((F.size("vector") == 64) & F.exists("vector", lambda v: v != 0)).alias("filled"))
 
 
 # ---- review ----
@@ -479,9 +518,9 @@ def _flagged(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "fx_alignments").withColumn("flagged_for_review", (F.col("alignment_score") >= 0.78).cast("int"))
 
 
-@query("SELECT a.align_id, a.chunk_id, a.standard_id, a.alignment_score FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE c.stale = 0 AND alignment_score >= 0.78e0 AND alignment_source = 'embedding' AND align_id % 3 = 1")
+@query("SELECT a.align_id, a.chunk_id, a.standard_id, a.alignment_score FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE c.stale = 0 AND alignment_score >= 0.78e0 AND alignment_source = 'embedding'")
 def v1_pending_verification(s: SparkSession, d: str) -> DataFrame:
-    return review.pending_verification(_flagged(s, d), view(s, d, "fx_chunks"), shards=3, shard=1).select("align_id", "chunk_id", "standard_id", "alignment_score")
+    return review.pending_verification(_flagged(s, d), view(s, d, "fx_chunks")).select("align_id", "chunk_id", "standard_id", "alignment_score")
 
 
 @query("SELECT align_id, chunk_id, standard_id FROM fx_alignments JOIN fx_chunks USING (chunk_id) WHERE alignment_score >= 0.78e0 AND coverage_notes IS NULL AND alignment_source IN ('embedding', 'llm_verified')")
@@ -512,14 +551,14 @@ def v7_apply_answers(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT a.chunk_id, a.standard_id, a.alignment_score old, c.content_type, c.title, CASE WHEN grade_band IS NULL THEN 6 WHEN contains(grade_band, 'K') THEN 0 WHEN contains(grade_band, '1') AND NOT contains(grade_band, '9') AND NOT contains(grade_band, '10') THEN 1 ELSE coalesce(TRY_CAST(regexp_extract(grade_band, '([0-9]+)', 1) AS INTEGER), 6) END lvl,
-CASE WHEN len(string_split(a.standard_id, '.')) >= 4 THEN TRY_CAST(string_split(a.standard_id, '.')[3] AS INTEGER) END std, s.standard_id IS NULL unknown, string_split(a.standard_id, '.')[4] concept FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) LEFT JOIN (SELECT standard_id FROM fx_standards WHERE std_num % 2 = 0) s USING (standard_id)
+CASE WHEN len(string_split(a.standard_id, '.')) >= 4 THEN TRY_CAST(string_split(a.standard_id, '.')[3] AS INTEGER) END std, s.standard_id IS NULL unknown, string_split(a.standard_id, '.')[4] concept FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) LEFT JOIN (SELECT standard_id FROM fx_standards WHERE system = 'ccss') s USING (standard_id)
 WHERE a.stale = 0 AND c.stale = 0 AND alignment_source = 'embedding' AND alignment_score BETWEEN 0.70e0 AND 0.78e0),
 d AS (SELECT *, content_type = 'exercise_set' AND old < 0.75e0 weak FROM j), k AS (SELECT *, round(least(0.95e0, greatest(0.65e0, old + CASE WHEN std IS NULL THEN 0e0 WHEN abs(lvl - std) <= 1 THEN 0.02e0 WHEN abs(lvl - std) = 2 THEN -0.05e0 ELSE -0.10e0 END
 + CASE WHEN content_type IN ('worked_example', 'exposition', 'assessment') THEN 0.01e0 WHEN weak THEN -0.08e0 WHEN content_type = 'exercise_set' THEN -0.02e0 WHEN content_type = 'summary' THEN -0.01e0 ELSE 0e0 END + CASE WHEN unknown THEN -0.10e0 ELSE 0e0 END + CASE WHEN contains(lower(title), concept) THEN 0.03e0 ELSE 0e0 END)), 6) s FROM d)
 SELECT chunk_id, standard_id, old old_score, s alignment_score, CASE WHEN NOT coalesce(abs(lvl - std) > 1, false) AND NOT weak AND NOT unknown THEN 'Consistent alignment' ELSE concat_ws(' + ', CASE WHEN abs(lvl - std) > 1 THEN 'Grade mismatch' END, CASE WHEN weak THEN 'Weak content type' END, CASE WHEN unknown THEN 'Unknown standard' END) END reason,
 s >= 0.70e0 is_aligned, 'llm_verified' alignment_source FROM k""")
 def v8_heuristic_verification(s: SparkSession, d: str) -> DataFrame:
-    return review.heuristic_verification(view(s, d, "fx_alignments"), view(s, d, "fx_chunks"), view(s, d, "fx_standards").where("std_num % 2 = 0"))
+    return review.heuristic_verification(view(s, d, "fx_alignments"), view(s, d, "fx_chunks"), view(s, d, "fx_standards"))
 
 
 @query("""SELECT chunk_id, standard_id, CASE content_type WHEN 'worked_example' THEN concat('Worked example demonstrating ', w, '. Provides step-by-step solution approach for this standard.') WHEN 'exposition' THEN concat('Teaches ', CASE WHEN contains(t, ':') THEN w ELSE 'this standard' END, ' through explanation and examples. Grade level: ', coalesce(grade_band, 'K-12'), '.')
@@ -537,43 +576,21 @@ def v12_flagged_left(s: SparkSession, d: str) -> DataFrame:
     return review.flagged_left(review.flag_band(a), view(s, d, "fx_chunks"))
 
 
-@query("""SELECT standard_id, standard_text FROM fx_standards WHERE standard_id IN (SELECT standard_id FROM fx_alignments WHERE stale = 0) AND standard_id NOT IN (SELECT a.standard_id FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.exam_series = 'SAT' AND c.ord % 250 = 0)""")
+@query("""SELECT standard_id, standard_text FROM fx_standards WHERE standard_id IN (SELECT standard_id FROM fx_alignments WHERE stale = 0) AND standard_id NOT IN (SELECT a.standard_id FROM fx_alignments a JOIN fx_chunks c USING (chunk_id) WHERE a.stale = 0 AND c.stale = 0 AND c.exam_series = 'AP Precalculus')""")
 def v13_generation_candidates(s: SparkSession, d: str) -> DataFrame:
-    c = view(s, d, "fx_chunks").withColumn("exam_series", F.expr("if(ord % 250 = 0, exam_series, null)"))
-    return review.generation_candidates(view(s, d, "fx_alignments"), c, view(s, d, "fx_standards"), "SAT")
+    return review.generation_candidates(view(s, d, "fx_alignments"), view(s, d, "fx_chunks"), view(s, d, "fx_standards"), "AP Precalculus")
 
 
 # ---- parsing and evaluation ----
 
 
-@query(r"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END::INTEGER word_count, sha256(text) content_hash FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END::INTEGER word_count, sha256(text) content_hash FROM documents")
 def p30_counts_and_hashes(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "documents").where("text is not null").select("doc_id", C.words(F.col("text")).cast("int").alias("word_count"), C.content_hash(F.col("text")).alias("content_hash"))
+    return view(s, d, "documents").select("doc_id", C.words(F.col("text")).cast("int").alias("word_count"), C.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query()
-def p12_transcripts(s: SparkSession, d: str) -> DataFrame:
-    return C.transcripts(view(s, d, "documents").selectExpr("string(doc_id) key", "source as title", "text as payload"))
-
-
-@query()
-def p8_page_paragraphs(s: SparkSession, d: str) -> DataFrame:
-    out = D._job(view(s, d, "pages"), lambda r: [(r["page_id"], D.paragraphs(r["html"] or ""))], ["page_id", "content"], "page_id long, content string", ["page_id", "html"])
-    return out.withColumn("word_count", C.words(F.col("content")))
-
-
-@query()
-def p18_exam_questions(s: SparkSession, d: str) -> DataFrame:
-    return D.parse_exams(view(s, d, "documents").selectExpr("string(doc_id) exam", "text as payload"))
-
-
-@query(r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"/([A-Za-z]+)\"', 1))), ',') links FROM pages")
-def p32_link_harvest(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "pages").select("page_id", F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1)))), ",").alias("links"))
-
-
-@query(r"""SELECT conv_id, turn, CASE WHEN w IN ('A', 'B', 'TIE') THEN w WHEN contains(t, 'TIE') THEN 'TIE' WHEN regexp_matches(t, '\bA\b') AND NOT regexp_matches(t, '\bB\b') THEN 'A' WHEN regexp_matches(t, '\bB\b') AND NOT regexp_matches(t, '\bA\b') THEN 'B' END pref FROM
-(SELECT conv_id, turn, t, regexp_extract(t, '^[^A-Z]*([A-Z]+)', 1) w FROM (SELECT conv_id, turn, upper(trim(coalesce(text, ''))) t FROM conversations))""")
+@query(r"""SELECT conv_id, turn, CASE WHEN first IN ('A', 'B', 'TIE') THEN first WHEN regexp_matches(t, '\bTIE\b') THEN 'TIE' ELSE nullif(regexp_extract(t, '\b([AB])\b', 1), '') END pref FROM
+(SELECT conv_id, turn, t, regexp_extract(t, '[A-Z]+') AS first FROM (SELECT conv_id, turn, upper(trim(coalesce(text, ''))) t FROM conversations))""")
 def b3_preferences(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "conversations").select("conv_id", "turn", evals.parse_preference(F.col("text")).alias("pref"))
 
@@ -587,11 +604,6 @@ def b5_win_rates(s: SparkSession, d: str) -> DataFrame:
     return evals.win_rates(c)
 
 
-@query()
-def b2_build_pairs(s: SparkSession, d: str) -> DataFrame:
-    return evals.build_pairs(view(s, d, "fx_standards").selectExpr("standard_id as topic"))
-
-
 @query("SELECT count(*) n, count(*) FILTER (quality = 1 AND doc_id % 3 > 0) passed, count(*) FILTER (quality = 1 AND doc_id % 3 = 0) \"partial\", count(*) FILTER (quality = 0 AND doc_id % 2 = 0) failed, count(*) FILTER (quality = 0 AND doc_id % 2 = 1) errors, round(count(*) FILTER (quality = 1 AND doc_id % 3 > 0) / count(*)::DOUBLE, 3) pass_rate FROM labels")
 def b7_tally(s: SparkSession, d: str) -> DataFrame:
     text = F.expr("case when quality = 1 and doc_id % 3 > 0 then 'Yes.' when quality = 1 then 'partial, mostly' when doc_id % 2 = 0 then ' no' else '?' end")
@@ -620,10 +632,10 @@ def l3_inherited_grades(s: SparkSession, d: str) -> DataFrame:
     return merge.inherit_grades(c, books).select("chunk_id", "grade_band")
 
 
-@query(f"""{_BM25.replace("stale = 0 GROUP", "stale = 0 AND chunk_id IN (SELECT chunk_id FROM fx_docs WHERE content_type = 'summary' AND grade_band = '6-8' AND ord % 3 = 0) GROUP")} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) rank FROM k WHERE rank <= 5""")
+@query(f"""{_BM25.replace("stale = 0 GROUP", "stale = 0 AND chunk_id IN (SELECT chunk_id FROM fx_docs WHERE content_type = 'summary' AND grade_band = '6-8' AND book_lang = 'en') GROUP")} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) rank FROM k WHERE rank <= 5""")
 def q14_filtered_search(s: SparkSession, d: str) -> DataFrame:
     docs = view(s, d, "fx_docs")
-    ok = search.filtered(docs, content_type="summary", grade_band="6-8", aligned_to=docs.where("ord % 3 = 0"))
+    ok = search.filtered(docs, content_type="summary", grade_band="6-8", aligned_to=docs.where("book_lang = 'en'"))
     return search.keyword_hits(view(s, d, "fx_queries"), docs, ok, limit=5)
 
 
@@ -654,9 +666,10 @@ def v9_rescored(s: SparkSession, d: str) -> DataFrame:
     return review.rescore(a, answers).select("align_id", "chunk_id", "standard_id", "alignment_score", "alignment_source", "outcome")
 
 
-@query("""SELECT d.chunk_id, concat('Does this content teach the standard? Answer YES or NO.', chr(10), 'Standard ', s.standard_id, ': ', s.standard_text, chr(10), 'Parts: (none)', chr(10), 'Title: ', d.title, chr(10), substr(d.content, 1, 1500)) prompt FROM fx_docs d JOIN fx_standards s ON s.std_num = d.ord""")
+@query("""SELECT d.chunk_id, concat('Does this content teach the standard? Answer YES or NO.', chr(10), 'Standard ', s.standard_id, ': ', s.standard_text, chr(10), 'Parts: (none)', chr(10), 'Title: ', d.title, chr(10), substr(d.content, 1, 1500)) prompt FROM fx_docs d JOIN fx_standards s ON s.std_num = 1 + d.ord % (SELECT count(*) FROM fx_standards)""")
 def v5_prompts(s: SparkSession, d: str) -> DataFrame:
-    j = view(s, d, "fx_docs").join(view(s, d, "fx_standards"), F.col("std_num") == F.col("ord"))
+    st = view(s, d, "fx_standards")
+    j = view(s, d, "fx_docs").crossJoin(st.agg(F.count("*").alias("n"))).join(st, F.expr("std_num = 1 + ord % n"))
     return j.select("chunk_id", review.verify_prompt(F.col("standard_id"), F.col("standard_text"), F.lit("(none)"), F.col("title"), F.col("content")).alias("prompt"))
 
 

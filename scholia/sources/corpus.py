@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +19,14 @@ ASSESSMENT = T.StructType([
 ])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; where that is unset (a local test), in a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return f"{(at or 'file://' + tempfile.mkdtemp(prefix='scholia-')).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -50,8 +60,9 @@ def snapshot_paths(raw: DataFrame, *, ext: str = "txt") -> DataFrame:
 
 
 def write_snapshots(raw: DataFrame, root: str) -> None:
-    """Raw records by source and day."""
-    raw.withColumn("fetch_date", F.substring("fetched_at", 1, 10)).write.partitionBy("source_id", "fetch_date").mode("append").parquet(root)
+    """Raw records by source and day; what was there of a source's day is replaced, so a rerun changes nothing."""
+    by_day = raw.withColumn("fetch_date", F.substring("fetched_at", 1, 10)).write.partitionBy("source_id", "fetch_date")
+    by_day.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
 
 
 def without_line_comments(text: Column) -> Column:

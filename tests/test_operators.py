@@ -239,7 +239,9 @@ def test_sources(spark, tmp_path):
     raw = spark.createDataFrame([("s", "a:b/c", "2026-01-02T03:04:05", "x")], "source_id string, key string, fetched_at string, payload string")
     assert IO.snapshot_paths(raw).first()["path"] == "s/2026-01-02/a__b_c.txt"
     IO.write_snapshots(raw, f"{tmp_path}/snap")
-    assert spark.read.parquet(f"{tmp_path}/snap").count() == 1
+    IO.write_snapshots(raw.withColumn("fetched_at", F.lit("2026-01-03")), f"{tmp_path}/snap")
+    IO.write_snapshots(raw.withColumn("fetched_at", F.lit("2026-01-03")), f"{tmp_path}/snap")
+    assert spark.read.parquet(f"{tmp_path}/snap").count() == 2
     IO.write_report(raw, f"{tmp_path}/report")
     IO.write_result(raw, f"{tmp_path}/result")
     assert spark.read.csv(f"{tmp_path}/report", header=True).count() == spark.read.json(f"{tmp_path}/result").count() == 1

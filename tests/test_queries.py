@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from scholia.plans import queries as Q
+from scholia.plans import queries, source_queries  # noqa: F401  both register
+from scholia.plans import registry as Q
 from scholia.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
