@@ -1,7 +1,10 @@
 """The corpus pipeline: language, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns
-of documents. `run` writes each stage as Parquet in the shared folder and rereads it for the next one.
+of documents, whatever they are beside doc_id, text, lang and source; columns that a stage needs for itself get names that
+are not taken. Defined results: an empty table stays empty through all stages; a null or empty text has no letter and goes
+with the first stage; repeated rows with a doc_id are one document from the second stage on, rows without doc_id all stay;
+a very long text is one document like any other, only the last stage cuts it. `run` writes each stage as Parquet in the shared folder and rereads it for the next one.
 """
 
 from __future__ import annotations
@@ -17,10 +20,18 @@ from scholia.llm.pii import redact_pii
 from scholia.llm.store import Stored
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language can't be told: those without a letter."""
-    labelled = identify_languages(docs, learn(docs), ("_predicted", "_score"))
-    return labelled.where("_predicted <> 'und'").select(*docs.columns)
+    predicted, score = _unused(docs, "_predicted"), _unused(docs, "_score")
+    return identify_languages(docs, learn(docs), (predicted, score)).where(F.col(predicted) != "und").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +48,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those that it leaves out go."""
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    plan = mix_sources(keyed.select("doc_id", "text", "source", "_row"), carry=("_row",))
+    row = [_unused(docs, "_row_a"), _unused(docs, "_row_b")]  # 128 bits: no two rows of a corpus are taken for one
+    times, copy = _unused(docs, "_times"), _unused(docs, "_copy")
+    keyed = docs.withColumn(row[0], F.xxhash64(*docs.columns)).withColumn(row[1], F.xxhash64(F.lit(1), *docs.columns))
+    plan = mix_sources(keyed.select("doc_id", "text", "source", *row), carry=tuple(row))
     # equal rows are told apart by nothing: together they stand as often as all of them are taken
-    times = plan.where("copies > 0").groupBy("_row").agg(F.sum("copies").alias("_times"))
-    taken = keyed.join(times, "_row").dropDuplicates(["_row"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    wanted = plan.where("copies > 0").groupBy(*row).agg(F.sum("copies").alias(times))
+    taken = keyed.join(wanted, row).dropDuplicates(row)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ results; an empty table gives no rows; other columns of the input are ignored or
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -274,20 +275,21 @@ def detector(precision: float = PRECISION, seed: int = 11) -> tuple[Boosted, tup
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Boosted, cut: tuple[float, ...]) -> list[tuple[int, int, int]]:
-    found = [c for c in candidates(text) if not any(c[0] < b and a < c[2] for a, _, b in base)] if len(base) < 50 else _free(candidates(text), base)
+    found = _free(candidates(text), base)
     if not found:
         return []
     p = model.probability(np.array([features(text, *c) for c in found], float))
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int]] = []  # in order of their starts; none overlaps another
     for i in np.lexsort(([c[0] for c in found], -p)):
         c = found[i]
-        if p[i] >= cut[c[1]] and not any(c[0] < b and a < c[2] for a, _, b in out):
-            out.append(c)
+        at = bisect.bisect(out, c)
+        if p[i] >= cut[c[1]] and not (at and out[at - 1][2] > c[0]) and not (at < len(out) and out[at][0] < c[2]):
+            out.insert(at, c)
     return out
 
 
 def _free(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates that overlap no base span, for many base spans."""
+    """Candidates that overlap no base span."""
     starts = np.array([a for a, _, _ in base])
     ends = np.maximum.accumulate(np.array([b for _, _, b in base]))
     at = np.searchsorted(starts, [c[2] for c in found])
@@ -304,26 +306,27 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _find(model: Boosted, cut: tuple[float, ...], redact: bool):
+def _find(model: Boosted, cut: tuple[float, ...], at: str, own: str | None = None):
+    """Spans of the texts in column `at`, which goes; with `own`, redacted texts too, under names that begin with it."""
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts = [], []
-            for cell in b.column(b.schema.get_field_index("_suspect")):
+            for cell in b.column(b.schema.get_field_index(at)):
                 text = cell.as_py()
                 base = base_spans(text) if text else []
                 more = added_spans(text, base, model, cut) if text else []
                 spans = sorted(base + more)
                 kinds = [k for _, k, _ in base]
                 rows.append((*map(kinds.count, range(4)), hashlib.sha256(spell(base).encode()).hexdigest() if base else empty, spell(spans), len(more)))
-                if redact:
+                if own:
                     texts.append(redacted(text, spans) if spans else None)
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds_ = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             out = [pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)]
-            kept = [i for i, n in enumerate(b.schema.names) if n != "_suspect"]
-            yield pa.record_batch([b.column(i) for i in kept] + out + ([pa.array(texts, pa.string())] if redact else []), names=[b.schema.names[i] for i in kept] + ([f"_{n}" for n in _NAMES] + ["_redacted"] if redact else _NAMES))
+            kept = [i for i, n in enumerate(b.schema.names) if n != at]
+            yield pa.record_batch([b.column(i) for i in kept] + out + ([pa.array(texts, pa.string())] if own else []), names=[b.schema.names[i] for i in kept] + ([f"{own}{n}" for n in [*_NAMES, "text"]] if own else _NAMES))
 
     return run
 
@@ -339,17 +342,20 @@ def find_pii(docs: DataFrame, *, precision: float = PRECISION) -> DataFrame:
     """
     model, cut = detector(precision)
     suspect = F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("_suspect")
-    return docs.select("doc_id", suspect).mapInArrow(_find(model, cut, False), f"doc_id long, {_TYPES}")
+    return docs.select("doc_id", suspect).mapInArrow(_find(model, cut, "_suspect"), f"doc_id long, {_TYPES}")
 
 
 def redact_pii(docs: DataFrame, *, precision: float = PRECISION) -> DataFrame:
     """`docs` (any columns, with text) with every span of its texts replaced by its kind; n_chars, where it is, follows."""
     model, cut = detector(precision)
     names = docs.columns
-    suspect = F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("_suspect")
+    own = "_pii_"
+    while any(n.startswith(own) for n in names):
+        own += "_"
+    suspect = F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias(f"{own}suspect")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.select("*", suspect).mapInArrow(_find(model, cut, True), f"{ddl}, {', '.join('_' + t for t in _TYPES.split(', '))}, _redacted string")
-    out = out.withColumn("text", F.coalesce("_redacted", "text"))
+    out = docs.select("*", suspect).mapInArrow(_find(model, cut, f"{own}suspect", own), f"{ddl}, {', '.join(own + t for t in _TYPES.split(', '))}, {own}text string")
+    out = out.withColumn("text", F.coalesce(f"{own}text", "text"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_redacted").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(f"{own}text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -19,3 +19,29 @@ def test_stages_one_by_one(spark, tmp_path):
     assert "<EMAIL>" in out["pii"].where("doc_id = 0").first()["text"] and out["pii"].where("doc_id = 0").first()["n_chars"] == len(out["pii"].where("doc_id = 0").first()["text"])
     assert 1 <= out["mixing"].count() <= 9
     assert out["packing"].select("doc_id", "piece", "length").exceptAll(pack(docs).select("doc_id", "piece", "length")).count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    names = "_predicted string, _score double, _row_a long, _row_b long, _times long, _copy long, _pii_suspect string, _pii_text string"
+    ddl = f"doc_id long, text string, lang string, source string, n_chars long, {names}"
+    extra = ("p", 0.5, 1, 2, 3, 4, "s", "t")
+    docs = spark.createDataFrame([(i, f"Ein kurzer Text, Nummer {'abcdef'[i]} von sechs, an {i}@x.de", "de", "s", 40, *extra) for i in range(6)], ddl)
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, "").cache()
+            if name != "packing":
+                assert out.columns == docs.columns and all(tuple(r)[5:] == extra for r in out.collect())
+                some = out
+            assert name == "mixing" or name == "packing" or out.count() == some.count()
+        assert (out.count() > 0) == (some.count() > 0)
+
+
+def test_run_is_the_stages_one_after_the_other(spark, tmp_path):
+    rows = [(i, f"Der Text mit der Nummer {i} handelt von {'Wasser Feuer Erde Luft Holz Eisen'.split()[i % 6]} und Dingen {i * 7}", "de", f"s{i % 2}", 60) for i in range(30)]
+    spark.createDataFrame(rows + [(40, rows[0][1], "de", "s0", 60), (41, "", "de", "s0", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = corpus_pipeline.run(spark, str(tmp_path)).select(*key)
+    assert got.exceptAll(docs.select(*key)).count() == docs.select(*key).exceptAll(got).count() == 0 and got.where("doc_id in (40, 41)").count() == 0
