@@ -28,7 +28,8 @@ from scholia.llm.store import Stored
 
 CAPACITY = 1024
 END_ID = 2
-BUCKETS = 64
+#: Pieces of one length that one task numbers.
+BUCKET_ROWS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -238,18 +239,26 @@ def _place(before: dict[tuple[int, int], int], ranges: list[tuple[int, int, int,
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = BUCKETS, special: bool = False) -> DataFrame:
-    """Every piece of `docs` with its sequence_id and offset. Only counts by (length, bucket) come to the driver and only
-    they and the plan go to the tasks; the size of both is set by `capacity` and `buckets` alone."""
-    spark = docs.sparkSession
-    store = Stored(spark)
-    p = store.keep(pieces(docs, vocabulary, capacity, end_id, special).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
-    per = {(r["length"], r["bucket"]): r["n"] for r in p.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()}
-    counts: dict[int, int] = defaultdict(int)
+def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, bucket_rows: int = BUCKET_ROWS, special: bool = False) -> DataFrame:
+    """Every piece of `docs` with its sequence_id and offset.
+
+    A piece as long as a sequence is one, without any shuffle. Of the others only counts by (length, bucket) come to the
+    driver, and only they and the plan go to the tasks: at most `capacity` and one for each `bucket_rows` pieces.
+    """
+    store = Stored(docs.sparkSession)
+    p = store.keep(pieces(docs, vocabulary, capacity, end_id, special))
+    counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    full = p.where(F.col("length") == capacity)
+    counts.pop(capacity, None)
+    buckets = F.array(*[F.lit(1 + counts.get(x, 0) // bucket_rows) for x in range(capacity)])
+    some = p.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(buckets, F.col("length").cast("int"))).cast("int"))
+    per = {(r["length"], r["bucket"]): r["n"] for r in some.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()}
+    seen: dict[int, int] = defaultdict(int)
     before = {}
     for (length, bucket), n in sorted(per.items()):
-        before[length, bucket] = counts[length]
-        counts[length] += n
+        before[length, bucket] = seen[length]
+        seen[length] += n
     plan = reduce_and_fit(counts, capacity)
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    return p.withColumn("rank", rank).mapInArrow(_place(before, _ranges(plan)), f"{PIECES}, sequence_id long, offset long")
+    placed = some.withColumn("rank", rank).mapInArrow(_place(before, _ranges(plan)), f"{PIECES}, sequence_id long, offset long")
+    return placed.unionByName(full.withColumn("sequence_id", F.lit(sum(n for n, _ in plan)) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
