@@ -1,4 +1,8 @@
-from scholia.llm.html_text import blocks, extract_text, field, labelled_pages, main_text
+import itertools
+
+import numpy as np
+
+from scholia.llm.html_text import Field, blocks, extract_text, field, labelled_pages, main_text
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav>
@@ -39,3 +43,30 @@ def test_rows(spark):
     by = {g["page_id"]: g["text"] for g in got}
     assert by[2] == "" and by[None] == "" and by[3].count("\n\n") == 4999
     assert extract_text(df.where("false")).collect() == []
+
+
+def test_viterbi_equals_the_best_of_all_labellings():
+    r = np.random.default_rng(3)
+    f = Field({})
+    for n in (1, 2, 5, 9):
+        f.pair, f.start, e = r.normal(size=(2, 2)), r.normal(size=2), r.normal(size=n) * 2
+        score = lambda y: f.start[y[0]] + sum(e[i] * y[i] for i in range(n)) + sum(f.pair[y[i - 1], y[i]] for i in range(1, n))
+        assert f.viterbi(e) == list(max(itertools.product((0, 1), repeat=n), key=score))
+
+
+def test_the_fit_finds_a_maximum_of_the_likelihood():
+    """Against all labellings: no small step from the fitted weights makes the pages likelier."""
+    pages = [([["a"], ["b"], ["a", "b"]], [1, 0, 1]), ([["b"], ["b"]], [0, 1]), ([["a"], ["c"], ["c"], ["a"]], [1, 1, 0, 0]), ([["c"]], [0])]
+    f = Field({"a": 0, "b": 1, "c": 2}).fit(pages, rounds=2000, rate=0.05)
+
+    def objective(theta):
+        w, pair, start = theta[:3], theta[3:7].reshape(2, 2), theta[7:]
+        total = 0.0
+        for names, labels in pages:
+            e = [sum(w[f.index[x]] for x in fs) for fs in names]
+            score = lambda y: start[y[0]] + sum(e[i] * y[i] for i in range(len(y))) + sum(pair[y[i - 1], y[i]] for i in range(1, len(y)))
+            total += score(labels) - np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=len(labels))))
+        return total / 10 - 0.02 * (theta @ theta) / (2 * len(theta))
+
+    theta, r = np.concatenate((f.w, f.pair.ravel(), f.start)), np.random.default_rng(1)
+    assert all(objective(theta) >= objective(theta + 0.05 * r.normal(size=9)) for _ in range(200))

@@ -47,3 +47,18 @@ def test_held_out_accuracy(spark):
     d, k = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality(d, k).where("held_out").join(k, "doc_id").selectExpr("avg(int(predicted = quality)) a").first()["a"]
     assert got > 0.93
+
+
+def test_hinge_is_a_minimum_of_its_loss():
+    r = np.random.default_rng(2)
+    ratio = r.normal(size=30)
+    x = [np.sort(r.choice(30, r.integers(2, 9), replace=False)) for _ in range(60)]
+    y = np.where([ratio[s].sum() + r.normal() > 0 for s in x], 1.0, -1.0)
+    w, bias = hinge(x, ratio, y, cost=1.0, rounds=3000)
+    most = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+
+    def loss(w, bias):
+        margin = np.array([w[s] @ ratio[s] / np.linalg.norm(ratio[s]) + bias for s in x])
+        return (w @ w + bias * bias) / 2 + (most * np.maximum(0, 1 - y * margin)).sum()
+
+    assert all(loss(w, bias) <= loss(w + s * r.normal(size=30), bias + s * r.normal()) + 1e-6 for s in (0.001, 0.01, 0.1) for _ in range(100))
