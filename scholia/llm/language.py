@@ -4,7 +4,7 @@ For each language a suffix automaton holds a bounded sample of labelled text. A
 phrases that occur in that sample; with c phrases and a sample of n letters the cross-entropy is c * log2(n) bits, and
 the language that needs the fewest wins. All texts of a batch are parsed in step: one table look-up moves every (piece,
 language) by one letter, so the cost for a letter does not depend on how long the phrases are. Texts are cut into pieces
-for that, which adds less than one phrase for each piece, for all languages alike.
+for that, and the parse is carried over from piece to piece, so the counts are those of whole texts.
 
 Only letters count, in lower case; what is between them is one separator. The sample is bounded by `SAMPLE_ROWS` rows and
 `SAMPLE_CHARS` letters for each language and `TABLE_CHARS` in all; it is drawn by a hash of doc_id among rows that are
@@ -171,10 +171,58 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         v = model.table.take(at)
         count[:, :n] += (v & 1).astype(np.int32)
         state[:, :n] = v
-    np.add.at(out, np.array(owner)[order], count.T)
+    place = np.argsort(order)
+    count = count[:, place]
+    _carry(model, cuts, np.array(owner), state[:, place] >> 1 << 1, count)
+    np.add.at(out, np.array(owner), count.T)
     return out, letters
 
 
+def _carry(model: Model, cuts: list[np.ndarray], owner: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+    """Makes the counts of pieces, each parsed from its own start, those of whole texts.
+
+    A piece is parsed again from where the piece before it ended, beside the parse from its own start, until both are in
+    the same state, mostly after a few phrases. Where they never meet, what follows is parsed letter by letter.
+    """
+    later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    size = np.array([len(c) for c in cuts])
+    some = later
+    own, true = np.repeat(model.roots[:, None], len(some), 1), end[:, some - 1].copy()
+    more, ended = count.copy(), end.copy()
+    letters = np.zeros((PIECE, len(some)), np.uint8)
+    for k, i in enumerate(some):
+        letters[: size[i], k] = cuts[i]
+    for t in range(PIECE):
+        if t % 8 == 0:
+            open_ = (own != true).any(0)
+            some, own, true, letters = some[open_], own[:, open_], true[:, open_], letters[:, open_]
+        live = size[some] > t
+        if not live.all():
+            ended[:, some[~live]] = true[:, ~live]
+            some, own, true, letters = some[live], own[:, live], true[:, live], letters[:, live]
+        if not len(some):
+            break
+        a, b = model.table.take((own >> 1) + letters[t]), model.table.take((true >> 1) + letters[t])
+        more[:, some] += (b & 1).astype(np.int32) - (a & 1).astype(np.int32)
+        own, true = a >> 1 << 1, b >> 1 << 1
+    ended[:, some] = true
+    for k in range(len(end)):
+        last = ended[k].copy()
+        for i in later[ended[k, later - 1] != end[k, later - 1]]:
+            while i < len(cuts) and owner[i] == owner[i - 1] and last[i - 1] != end[k, i - 1]:
+                at, n = int(last[i - 1]), 0
+                for c in cuts[i].tolist():
+                    v = int(model.table[(at >> 1) + c])
+                    n += v & 1
+                    at = v >> 1 << 1
+                done = at == last[i]
+                more[k, i], last[i] = n, at
+                if done:
+                    break
+                i += 1
+    count[:] = more
+
+
 def _label(model: Model | None, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from scholia.llm.textvec import slices

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from scholia.llm.language import _collapse, fit, identify_languages, language_id, phrases
+from scholia.llm.language import _collapse, _points, fit, identify_languages, language_id, phrases
 
 SYLLABLES = {"xx": "ka mo ti ru ne", "yy": "sch ein ung lich ver", "zz": "čo ñu ía ção ré"}
 
@@ -30,8 +30,6 @@ def test_phrases_equal_a_search_of_the_sample():
     r = random.Random(2)
     samples = {k: [text(k, r, 60)] for k in SYLLABLES}
     m = fit(samples, 100_000)
-    from scholia.llm.language import _points
-
     seqs = {k: bytes(_collapse(np.concatenate([np.append(m.classes[_points(t)], 0) for t in v])).astype(np.uint8)) for k, v in samples.items()}
     texts = [text(k, r, 30) for k in SYLLABLES] + ["Ω unseen καὶ", "KA mo! ti", "", None, "123 ,,"]
     count, letters = phrases(m, texts)
@@ -41,6 +39,23 @@ def test_phrases_equal_a_search_of_the_sample():
         assert row.tolist() == [cross_parse(seqs[k], codes) for k in m.languages]
 
 
+def test_long_texts_are_parsed_as_wholes():
+    r = random.Random(4)
+    m = fit({k: [text(k, r, 300)] for k in SYLLABLES}, 100_000)
+
+    def plain(t):
+        n, at = [0] * len(m.languages), m.roots.tolist()
+        for c in _collapse(m.classes[_points(t)]).tolist():
+            for k in range(len(at)):
+                v = int(m.table[(at[k] >> 1) + c])
+                n[k], at[k] = n[k] + (v & 1), v
+        return n
+
+    periodic = text("xx", random.Random(1), 3)
+    texts = ["short ka", text("yy", r, 2000), "ka " * 3000, f"{periodic} " * 900, "q" * 5000, "kamoti" * 1500 + "sch" * 900, text("xx", r, 900) + text("zz", r, 900), text("zz", r, 341)]
+    assert phrases(m, texts)[0].tolist() == [plain(t) for t in texts]
+
+
 def test_rows(spark):
     r = random.Random(9)
     rows = [(i, text(k, r, 40), k) for i, k in enumerate(r.choice(list(SYLLABLES)) for _ in range(300))]
