@@ -11,6 +11,8 @@ from scholia.operators.align import cosine_top_k
 K1, B = 1.2, 0.75
 ARM = 50
 FUSE = 60
+#: Rows (query, term) that are broadcast, some 40 bytes each.
+SENT_TERMS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -34,17 +36,21 @@ def filtered(chunks: DataFrame, *, source: str | None = None, grade_band: str |
 def keyword_hits(queries: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM) -> DataFrame:
     """(query_id, chunk_id, score, rank): the best of BM25 over title and content of `corpus` (chunk_id, title, content).
 
-    Statistics are those of the whole corpus; only postings of the queries' terms are kept (the terms are joined before
-    postings are counted), so no full index is shuffled. `allowed` restricts what may be a hit before the limit. Scores
-    are rounded to 6 places before they are ranked, so that the order of sums doesn't matter."""
+    Statistics are those of the whole corpus; only words of the queries leave the scan, dealt by chunk, so that postings,
+    scores and each task's best need no other shuffle; a query table of more than SENT_TERMS rows is joined by term
+    instead. `allowed` restricts what may be a hit before the limit. Scores are rounded to 6 places before they are ranked,
+    so that the order of sums doesn't matter."""
     q = query_terms(queries)
+    few = q.count() <= SENT_TERMS
+    sent = F.broadcast if few else (lambda df: df)
     words = corpus.select("chunk_id", terms(F.concat_ws(" ", "title", "content")).alias("w")).select("chunk_id", "w", F.size("w").alias("len"))
     stats = words.agg(F.count("*").alias("n"), F.sum("len").alias("total")).select("n", (F.col("total") / F.col("n")).alias("mean"))
-    wanted = q.select("term").distinct()
-    postings = words.select("chunk_id", "len", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    found = words.select("chunk_id", "len", F.explode("w").alias("term")).join(sent(q.select("term").distinct()), "term")
+    postings = (found.repartition("chunk_id") if few else found).groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = q.join(df, "term").join(postings, "term").crossJoin(F.broadcast(stats))
-    hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if allowed is not None else hits
+    weighed = q.join(df, "term").crossJoin(F.broadcast(stats))
+    hits = postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if allowed is not None else postings
+    hits = hits.join(sent(weighed), "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
