@@ -7,8 +7,9 @@ language) by one letter, so the cost for a letter does not depend on how long th
 for that, and the parse is carried over from piece to piece, so the counts are those of whole texts.
 
 Only letters count, in lower case; what is between them is one separator. The sample is bounded by `SAMPLE_ROWS` rows and
-`SAMPLE_CHARS` letters for each language and `TABLE_CHARS` in all; it is drawn by a hash of doc_id among rows that are
-labelled and not held out (crc32 of doc_id as text, modulo 4, is not 2).
+`SAMPLE_CHARS` letters for each language and `TABLE_CHARS` in all; the rows that are labelled and not held out
+(crc32 of doc_id as text, modulo 4, is not 2) are dealt to `SAMPLE_ROWS` buckets of a language by a hash of doc_id, each
+of which gives one row.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if there is nothing to learn
 from; ties go to the language that is first by code point; a row without doc_id is not held out and not learned from;
@@ -24,15 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 96
 SAMPLE_CHARS = 12_000
 TABLE_CHARS = 400_000
 MAX_LANGUAGES = 500
-#: Parts of a language's rows that the sample is drawn from one by one.
-SAMPLE_PARTS = 16
 PIECE = 1024
 #: Bytes of text parsed in step.
 STEP_BYTES = 2 << 20
@@ -257,11 +256,10 @@ def learn(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int
     bounded by the parameters."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # first in each of a language's parts, so that no task has all of its rows
-    first = lambda *of: F.row_number().over(Window.partitionBy("lang", *of).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    parts = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SAMPLE_PARTS)).alias("part")).distinct()
-    some = parts.withColumn("k", first("part")).where(F.col("k") <= sample_rows).select("doc_id", "lang")
-    ids = some.withColumn("k", first()).where(F.col("k") <= sample_rows).limit(sample_rows * MAX_LANGUAGES + 1).collect()
+    # one row of each of a language's buckets, by an aggregate: no task has all rows of a language
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(sample_rows)).cast("int").alias("k")
+    some = labelled.groupBy("lang", bucket).agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id"))
+    ids = some.limit(sample_rows * MAX_LANGUAGES + 1).collect()
     if len(ids) > sample_rows * MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not ids:
