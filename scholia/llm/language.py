@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.textvec import slices, tidy
+
 SAMPLE_ROWS = 96
 SAMPLE_CHARS = 12_000
 TABLE_CHARS = 400_000
@@ -224,8 +226,6 @@ def _carry(model: Model, cuts: list[np.ndarray], owner: np.ndarray, end: np.ndar
 
 def _label(model: Model | None, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from scholia.llm.textvec import slices
-
         m = model.value if hasattr(model, "value") else model
         for b in batches:
             pred: list[str] = []
@@ -244,7 +244,7 @@ def _label(model: Model | None, names: tuple[str, str]):
             kept = [i for i, n in enumerate(b.schema.names) if n not in names]
             yield pa.record_batch([b.column(i) for i in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[b.schema.names[i] for i in kept] + list(names))
 
-    return run
+    return tidy(run)
 
 
 def held_out(remainder: int = 2, modulus: int = 4) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm.components import connected_components
 from scholia.llm.store import Stored
-from scholia.llm.textvec import shingles, slices
+from scholia.llm.textvec import shingles, slices, tidy
 
 #: Retained values: at similarity 0.8 the estimate from 48 has a standard deviation of 0.058.
 SKETCH = 48
@@ -81,7 +81,7 @@ def _sketches(width: int, k: int):
                 fixed = [b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), _keys(sets), _longs([s[:k] for s in sets])]
                 yield pa.record_batch([*fixed, *(pa.array(sig[:, i]) for i in range(SIGNATURE))], names=["doc_id", "n", "key", "sketch", *_SIG])
 
-    return run
+    return tidy(run)
 
 
 def _sets(width: int):
@@ -91,7 +91,7 @@ def _sets(width: int):
                 sets = shingles(texts, width)
                 yield pa.record_batch([_keys(sets), _longs(sets)], names=["key", "s"])
 
-    return run
+    return tidy(run)
 
 
 def _can_link(na: str, nb: str, sa: str, sb: str, percent: int) -> Column:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.textvec import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 #: Without one of these a text has neither a base span nor a candidate.
 TRIGGER = r"[0-9@]|[\(\[\{] ?(?i:at|dot) ?[\)\]\}]"
@@ -328,7 +330,7 @@ def _find(model: Boosted, cut: tuple[float, ...], at: str, own: str | None = Non
             kept = [i for i, n in enumerate(b.schema.names) if n != at]
             yield pa.record_batch([b.column(i) for i in kept] + out + ([pa.array(texts, pa.string())] if own else []), names=[b.schema.names[i] for i in kept] + ([f"{own}{n}" for n in [*_NAMES, "text"]] if own else _NAMES))
 
-    return run
+    return tidy(run)
 
 
 _NAMES = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]

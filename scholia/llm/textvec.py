@@ -5,13 +5,17 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z lowered; ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once: bounds the memory of a task whatever the batch holds (one longer text is taken alone).
 CHUNK_BYTES = 1 << 20
+#: Texts that are taken out of a batch at once.
+ROWS = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,6 +39,20 @@ def _pows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a mapInArrow; its worker, kept for later tasks, gives freed memory back to the system at the end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others do without
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x.astype(np.uint64, copy=True)
@@ -101,9 +119,12 @@ def shingles(texts: list[bytes | None], width: int) -> list[np.ndarray]:
 
 def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
     """(offset, texts) of a string column, cut so that each cut holds about `limit` bytes or one text."""
-    texts = column.cast(pa.binary()).to_pylist() if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary()).to_pylist()
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     at, size, cut = 0, 0, []
-    for i, t in enumerate(texts):
+    for i in range(len(column)):
+        if i % ROWS == 0:  # few texts of a batch at once
+            some = column.slice(i, ROWS).cast(kind).to_pylist()
+        t = some[i % ROWS]
         n = len(t) if t else 0
         if cut and size + n > limit:
             yield at, cut
