@@ -16,9 +16,12 @@ from scholia.llm.mixing import mix_sources
 from scholia.llm.near_dup import near_duplicates
 from scholia.llm.packing import pack
 from scholia.llm.pii import find_pii
+from scholia.llm.prefix_trie import oracle as trie_sql
+from scholia.llm.prefix_trie import prefix_trie
 from scholia.llm.quality import quality
 from scholia.llm.search import oracle as search_sql
 from scholia.llm.search import top_k
+from scholia.llm.whitening import whiten
 
 #: Documents that are searched for in one pass over the corpus.
 DOCUMENT_QUERIES = 8192
@@ -86,9 +89,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 32 first whitened components."""
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_license_scan, op5_language_id, op6_exact_topk, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction, passage_topk)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_license_scan, op5_language_id, op6_exact_topk, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction, op11_prefix_trie, op12_embedding_whitening, passage_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licence_sql(), "op6_exact_topk": search_sql(10, "documents", "doc_id", "doc_id % 20 = 0"), "passage_topk": search_sql(10)}
+    return {"op4_license_scan": licence_sql(), "op6_exact_topk": search_sql(10, "documents", "doc_id", "doc_id % 20 = 0"), "op11_prefix_trie": trie_sql(), "passage_topk": search_sql(10)}
