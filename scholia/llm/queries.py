@@ -21,6 +21,7 @@ from scholia.llm.prefix_trie import prefix_trie
 from scholia.llm.quality import quality
 from scholia.llm.search import oracle as search_sql
 from scholia.llm.search import top_k
+from scholia.llm.toxicity import toxicity
 from scholia.llm.whitening import whiten
 
 #: Documents that are searched for in one pass over the corpus.
@@ -99,8 +100,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_license_scan, op5_language_id, op6_exact_topk, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction, op11_prefix_trie, op12_embedding_whitening, passage_topk)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_license_scan, op5_language_id, op6_exact_topk, op7_mix_sources, op8_pii, op9_quality, op10_html_extraction, op11_prefix_trie, op12_embedding_whitening, op13_toxicity, passage_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
