@@ -3,13 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns
 of documents, whatever they are beside doc_id, text, lang and source; columns that a stage needs for itself get names that
 are not taken. Defined results: an empty table stays empty through all stages; a null or empty text has no letter and goes
-with the first stage; repeated rows with a doc_id are one document from the second stage on, rows without doc_id all stay;
+with the first stage; rows that share a doc_id are one document from the second stage on, the row with the smallest hash of all its
+columns (so the same one in every run), rows without doc_id all stay;
 a very long text is one document like any other, only the last stage cuts it. `run` writes each stage as Parquet in the shared folder and rereads it for the next one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.language import identify_languages, learn
@@ -37,7 +38,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8); rows without doc_id stay."""
     kept = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).where("kept and doc_id is not null").select("doc_id")
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    n = _unused(docs, "_n")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(n, first).where(F.col(n) == 1).select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 
