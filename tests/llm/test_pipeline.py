@@ -45,3 +45,10 @@ def test_run_is_the_stages_one_after_the_other(spark, tmp_path):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = corpus_pipeline.run(spark, str(tmp_path)).select(*key)
     assert got.exceptAll(docs.select(*key)).count() == docs.select(*key).exceptAll(got).count() == 0 and got.where("doc_id in (40, 41)").count() == 0
+
+
+def test_near_dedup_keeps_the_same_row_of_a_repeated_doc_id(spark):
+    rows = [(1, f"Text Nummer {i} mit eigenen Worten {i * 31} und {i * 17} dazu", "de", "s", i) for i in range(8)] + [(2, "Noch ein anderer Text, der allein steht.", "de", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda df: sorted(map(tuple, corpus_pipeline.near_dedup(spark, df, "").collect()))
+    assert kept(docs) == kept(docs.orderBy("n_chars", ascending=False).repartition(5)) and [r[0] for r in kept(docs)] == [1, 2]
