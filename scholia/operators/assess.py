@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.standards import ancestors, part_rank, tier_rank
+from scholia.operators.retrieve import best_of_questions, best_of_standards
 
 
 def exam_crosswalk(questions: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -17,9 +18,9 @@ def exam_crosswalk(questions: DataFrame, crosswalk: DataFrame) -> DataFrame:
 def exam_items(questions: DataFrame, alignments: DataFrame, chunks: DataFrame, *, items_per_exam: int = 2) -> DataFrame:
     """Up to n assessment chunks of each exam for exactly the question's standard: partition by partition, then tier and score."""
     items = chunks.where("stale = 0 and content_type = 'assessment' and exam_series is not null").select("chunk_id", "part", "exam_series", "dok_level")
-    hits = questions.select("question_id", "standard_id").join(alignments.where("stale = 0"), "standard_id").join(items, "chunk_id")
-    w = Window.partitionBy("question_id", "exam_series").orderBy(part_rank(F.col("part")), tier_rank(F.col("alignment_source")).desc(), F.desc("alignment_score"), "chunk_id")
-    out = hits.withColumn("item_rank", F.row_number().over(w)).where(F.col("item_rank") <= items_per_exam)
+    order = [part_rank(F.col("part")), tier_rank(F.col("alignment_source")).desc(), F.desc("alignment_score"), "chunk_id"]
+    best = best_of_standards(alignments.select("standard_id", "chunk_id", "stale", "alignment_score", "alignment_source"), items, order, k=items_per_exam, by=("exam_series",))
+    out = best_of_questions(questions.select("question_id", "standard_id"), best, order, k=items_per_exam, by=("exam_series",), rank="item_rank")
     return out.select("question_id", "exam_series", "item_rank", "chunk_id", "part", "alignment_source", F.round("alignment_score", 4).alias("alignment_score"), "dok_level")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.operators.retrieve import best_of_questions, best_of_standards
+
 STRONG = 0.8
 
 
@@ -92,9 +94,10 @@ def source_quality(chunks: DataFrame, alignments: DataFrame) -> DataFrame:
 
 def checkpoint_probe(probes: DataFrame, alignments: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """The k best live chunks by score for each probe standard (standard_id)."""
-    a = probes.select("standard_id").join(alignments.where("stale = 0"), "standard_id").join(chunks.where("stale = 0").select("chunk_id", "title"), "chunk_id")
-    w = Window.partitionBy("standard_id").orderBy(F.desc("alignment_score"), "chunk_id")
-    return a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("standard_id", "rank", "chunk_id", "alignment_score", "title")
+    order = [F.desc("alignment_score"), "chunk_id"]
+    best = best_of_standards(alignments.select("standard_id", "chunk_id", "stale", "alignment_score"), chunks.where("stale = 0").select("chunk_id", "title"), order, k=k)
+    named = probes.select("standard_id").distinct().withColumn("question_id", F.col("standard_id"))
+    return best_of_questions(named, best, order, k=k).select("standard_id", "rank", "chunk_id", "alignment_score", "title")
 
 
 def checkpoint_totals(alignments: DataFrame, *, score: float = 0.85) -> DataFrame:
@@ -136,9 +139,9 @@ def benchmark_top(questions: DataFrame, alignments: DataFrame, chunks: DataFrame
     c = chunks.where("stale = 0")
     c = c.where(F.col("source_id") == source) if source is not None else c
     c = c.where(F.col("grade_band") == grade_band) if grade_band is not None else c
-    hits = questions.select("question_id", "standard_id").join(alignments.where("stale = 0"), "standard_id").join(c.select("chunk_id", "title"), "chunk_id")
-    w = Window.partitionBy("question_id").orderBy(F.desc("alignment_score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "title", "alignment_score")
+    order = [F.desc("alignment_score"), "chunk_id"]
+    best = best_of_standards(alignments.select("standard_id", "chunk_id", "stale", "alignment_score"), c.select("chunk_id", "title"), order, k=k)
+    return best_of_questions(questions.select("question_id", "standard_id"), best, order, k=k).select("question_id", "rank", "chunk_id", "title", "alignment_score")
 
 
 def benchmark_inventory(sources: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from scholia.functions.standards import ancestors, content_rank, part_rank, tier_rank
 
 
-def matched(questions: DataFrame, alignments: DataFrame, system: str | None = None) -> DataFrame:
-    """Live alignments of every question's standard or of one it stands under, as an equi-join on exploded prefixes."""
-    q = questions.select("question_id", F.explode(ancestors(F.col("standard_id"))).alias("standard_id"))
-    a = alignments.where("stale = 0")
-    a = a.where(F.col("standard_system") == system) if system else a
-    return q.join(a, "standard_id")
+def best_of_standards(alignments: DataFrame, chunks: DataFrame, order: list[Column], *, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first k of the live alignments of every standard (and value of `by`), joined with `chunks` on chunk_id.
+
+    An order that doesn't look at a question ranks alike for every question of a standard, so what is not among the k best of
+    its own standard is among the k best of no question. Whoever joins questions afterwards meets k rows for a standard, not
+    all it has. Rows of a standard are cut in each task first (the plan's WindowGroupLimit), before they are shuffled.
+    """
+    hits = alignments.where("stale = 0").join(chunks, "chunk_id")
+    place = F.row_number().over(Window.partitionBy("standard_id", *by).orderBy(*order))
+    return hits.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
+def best_of_questions(questions: DataFrame, best: DataFrame, order: list[Column], *, k: int, by: tuple[str, ...] = (), rank: str = "rank") -> DataFrame:
+    """The k first of each question (question_id, standard_id; and value of `by`), merged from the k best of its standards."""
+    place = F.row_number().over(Window.partitionBy("question_id", *by).orderBy(*order))
+    return questions.join(best, "standard_id").withColumn(rank, place).where(F.col(rank) <= k)
+
+
+def above(questions: DataFrame) -> DataFrame:
+    """(question_id, standard_id) of every question's standard and of all that it stands under."""
+    return questions.select("question_id", F.explode(ancestors(F.col("standard_id"))).alias("standard_id"))
 
 
 def content_for_standards(
@@ -21,14 +36,16 @@ def content_for_standards(
 ) -> DataFrame:
     """The k best chunks of every question (question_id, standard_id), by content rank, tier and score.
 
-    Ids and sort keys are ranked first; texts join the ranked rows only.
+    In two levels: the k best of every standard, then of the k of each standard that a question stands under. Only ids and
+    sort keys are ranked; texts join the rows that remain.
     """
     c = chunks.where("stale = 0")
     for name, value in (("source_id", source), ("content_type", "assessment" if dok_level is not None else content_type), ("dok_level", dok_level)):
         c = c.where(F.col(name) == value) if value is not None else c
-    hits = matched(questions, alignments, system).join(c.select("chunk_id", "content_type"), "chunk_id")
+    a = alignments.where(F.col("standard_system") == system) if system else alignments
     order = [content_rank(F.col("content_type")).desc(), tier_rank(F.col("alignment_source")).desc(), F.desc("alignment_score"), "chunk_id", "standard_id"]
-    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= k)
+    a = a.select("standard_id", "chunk_id", "stale", "alignment_score", "alignment_source", "coverage_notes")
+    best = best_of_questions(above(questions), best_of_standards(a, c.select("chunk_id", "content_type"), order, k=k), order, k=k)
     best = best.select("question_id", "rank", "chunk_id", "standard_id", F.round("alignment_score", 4).alias("alignment_score"), "alignment_source", "coverage_notes")
     content = F.col("content") if include_content else F.lit(None).cast("string").alias("content")
     return best.join(chunks.select("chunk_id", "source_id", "part", "title", "content_type", "grade_band", "dok_level", "exam_series", content), "chunk_id")
