@@ -80,8 +80,9 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return unit_rows(flat.reshape(len(t), -1))
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table, pa.Table], np.ndarray | float], *, k: int, threshold: float, digits: int, block: int, most: int) -> DataFrame:
-    """(left_id, right_id, score) of the k best right rows of each left row (id, vector, ...): cosine less `penalty`.
+def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table, pa.Table], np.ndarray | float], *, k: int, threshold: float, digits: int, block: int, most: int, by: str | None = None) -> DataFrame:
+    """(left_id, right_id, score) of the k best right rows of each left row (id, vector, ...): cosine less `penalty`; with `by`,
+    of each value that this column of the right side has.
 
     Both sides are dealt into blocks by a hash, every pair of blocks is one group, and k of each row are kept in each and
     merged by a window; only counts come to the driver. Vectors of different lengths are not compared."""
@@ -108,18 +109,28 @@ def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table,
                 g["score"] = g["score"].round(digits)
                 got.append(g.sort_values(["score", "right_id"], ascending=[False, True]).groupby("left_id", sort=False).head(k))
         out = pd.concat(got[1:]) if len(got) > 1 else got[0]
-        return pa.table({"left_id": pa.array(out["left_id"], a.schema.field("id").type), "right_id": pa.array(out["right_id"], b.schema.field("id").type), "score": pa.array(out["score"], pa.float64())})
-
+        cells = {"left_id": pa.array(out["left_id"], a.schema.field("id").type), "right_id": pa.array(out["right_id"], b.schema.field("id").type), "score": pa.array(out["score"], pa.float64())}
+        if by:
+            cells[by] = pa.array([b[by][0].as_py() if len(b) else None] * len(out), b.schema.field(by).type)
+        return pa.table(cells)
+
+    keys = ["own", "other", "d"]
+    if by:  # the left rows meet every part
+        left, keys = left.crossJoin(F.broadcast(right.select(F.col(by).alias("part_of")).distinct())), [*keys, "part_of"]
+        right = right.withColumn("part_of", F.col(by))
     lt, rt = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    pairs = dealt(left, own, "own", other, "other").groupBy("own", "other", "d").cogroup(dealt(right, other, "other", own, "own").groupBy("own", "other", "d"))
-    out = pairs.applyInArrow(run, f"left_id {lt}, right_id {rt}, score double")
-    w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    pairs = dealt(left, own, "own", other, "other").groupBy(*keys).cogroup(dealt(right, other, "other", own, "own").groupBy(*keys))
+    named = f", {by} {right.schema[by].dataType.simpleString()}" if by else ""
+    out = pairs.applyInArrow(run, f"left_id {lt}, right_id {rt}, score double{named}")
+    w = Window.partitionBy("left_id", *([by] if by else [])).orderBy(F.desc("score"), "right_id")
     return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
-def cosine_top_k(left: DataFrame, right: DataFrame, *, k: int, threshold: float, block: int = BLOCK_ROWS, most: int = MOST_BLOCK) -> DataFrame:
-    """(left_id, right_id, score) of the k right rows with the highest cosine of each left row (id, vector), from `threshold`."""
-    return _block_pairs(left.select("id", "vector"), right.select("id", "vector"), lambda a, b: 0.0, k=k, threshold=threshold, digits=9, block=block, most=most)
+def cosine_top_k(left: DataFrame, right: DataFrame, *, k: int, threshold: float, block: int = BLOCK_ROWS, most: int = MOST_BLOCK, by: str | None = None) -> DataFrame:
+    """(left_id, right_id, score) of the k right rows with the highest cosine of each left row (id, vector), from `threshold`;
+    with `by`, the k of each value of that column of the right rows, which is a column of the result then."""
+    right = right.select("id", "vector", *([by] if by else []))
+    return _block_pairs(left.select("id", "vector"), right, lambda a, b: 0.0, k=k, threshold=threshold, digits=9, block=block, most=most, by=by)
 
 
 def align(chunks: DataFrame, vectors: DataFrame, standards: DataFrame, standard_vectors: DataFrame, *, k: int = TOP_K, threshold: float = THRESHOLD, flag: float = FLAG_SCORE, penalty: float = PENALTY, system: str | None = None, books: list[str] | None = None, block: int = BLOCK_ROWS, most: int = MOST_BLOCK) -> DataFrame:

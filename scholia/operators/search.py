@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.standards import part_rank
 from scholia.operators.align import cosine_top_k
+from scholia.sources.corpus import stored
 
 K1, B = 1.2, 0.75
 ARM = 50
@@ -33,37 +34,87 @@ def filtered(chunks: DataFrame, *, source: str | None = None, grade_band: str |
     return c.join(aligned_to.select("chunk_id"), "chunk_id", "left_semi") if aligned_to is not None else c
 
 
-def keyword_hits(queries: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the best of BM25 over title and content of `corpus` (chunk_id, title, content).
+def postings(terms_of: DataFrame, corpus: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of the words of `terms_of` (term) in `corpus` (chunk_id, title, content; by).
 
-    Statistics are those of the whole corpus; only words of the queries leave the scan, dealt by chunk, so that postings,
-    scores and each task's best need no other shuffle; a query table of more than SENT_TERMS rows is joined by term
-    instead. `allowed` restricts what may be a hit before the limit. Scores are rounded to 6 places before they are ranked,
-    so that the order of sums doesn't matter."""
-    q = query_terms(queries)
-    few = q.count() <= SENT_TERMS
-    sent = F.broadcast if few else (lambda df: df)
-    words = corpus.select("chunk_id", terms(F.concat_ws(" ", "title", "content")).alias("w")).select("chunk_id", "w", F.size("w").alias("len"))
-    stats = words.agg(F.count("*").alias("n"), F.sum("len").alias("total")).select("n", (F.col("total") / F.col("n")).alias("mean"))
-    found = words.select("chunk_id", "len", F.explode("w").alias("term")).join(sent(q.select("term").distinct()), "term")
-    postings = (found.repartition("chunk_id") if few else found).groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = q.join(df, "term").crossJoin(F.broadcast(stats))
-    hits = postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if allowed is not None else postings
-    hits = hits.join(sent(weighed), "term")
+    postings: by..., chunk_id, len, term, tf. Only words of the queries leave the scan, dealt by chunk; a table of more than
+    SENT_TERMS words is joined by word instead. statistics: by..., n, mean.
+    """
+    words = corpus.select(*by, "chunk_id", terms(F.concat_ws(" ", "title", "content")).alias("w")).withColumn("len", F.size("w"))
+    stats = words.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("mean"))
+    some = terms_of.select("term").distinct()
+    few = some.count() <= SENT_TERMS
+    found = words.select(*by, "chunk_id", "len", F.explode("w").alias("term")).join(F.broadcast(some) if few else some, "term")
+    return (found.repartition("chunk_id") if few else found).groupBy(*by, "chunk_id", "len", "term").agg(F.count("*").alias("tf")), stats
+
+
+def weighed(posted: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The postings with `part_score`, what one occurrence of the word in a query adds to the score of the chunk (BM25)."""
+    df = posted.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    # one row, or one for each value of `by`: licence partitions
+    terms_of = df.join(F.broadcast(stats), list(by)) if by else df.crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
-def semantic_hits(query_vectors: DataFrame, chunk_vectors: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine. Queries (id, vector) are the side that a task scores whole batches of;
-    chunks (id, vector) are filtered before anything is scored."""
-    c = chunk_vectors.join(allowed.select(F.col("chunk_id").alias("id")), "id", "left_semi") if allowed is not None else chunk_vectors
-    found = cosine_top_k(query_vectors, c, k=limit, threshold=-2.0).selectExpr("left_id as query_id", "right_id as chunk_id", "round(score, 6) score")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    known = terms_of.select(*by, "term", idf.alias("idf"), "mean")
+    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return posted.join(known, [*by, "term"]).select(*by, "chunk_id", "term", score.alias("part_score"))
+
+
+def split_terms(queries: DataFrame, scored: DataFrame, by: tuple[str, ...] = (), *, limit: int = ARM) -> DataFrame:
+    """(by..., query_id, term, times, bound, rest, least, essential): MaxScore's split of each query's words.
+
+    `bound` is the most that the word can add. `least` is a score that `limit` chunks reach for certain: the limit-th best
+    that one word of the query alone gives. The words with the smallest bounds, as long as these together (`rest`, up to
+    and with the word) stay below `least`, can't bring a chunk among the best by themselves; the others are essential.
+    """
+    ranked = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "term").orderBy(F.desc("part_score"))))
+    top = ranked.where(F.col("_n") <= limit).groupBy(*by, "term").agg(F.max("part_score").alias("most"), F.max(F.when(F.col("_n") == limit, F.col("part_score"))).alias("kth"))
+    q = queries.join(top, "term").withColumn("bound", F.col("times") * F.col("most"))
+    all_words = Window.partitionBy(*by, "query_id")
+    rising = all_words.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    out = q.withColumn("least", F.coalesce(F.max(F.col("times") * F.col("kth")).over(all_words), F.lit(0.0))).withColumn("rest", F.sum("bound").over(rising))
+    # scores are ranked after rounding to 6 places
+    out = out.withColumn("essential", F.col("rest") >= F.col("least") - 2e-6)
+    other = F.coalesce(F.max(F.when(~F.col("essential"), F.col("rest"))).over(all_words), F.lit(0.0))
+    return out.select(*by, "query_id", "term", "times", "bound", "least", other.alias("other"), "essential")
+
+
+def candidates(split: DataFrame, scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., query_id, chunk_id, partial): chunks with an essential word that can still be among the best."""
+    hits = scored.join(split.where("essential"), [*by, "term"])
+    partial = hits.groupBy(*by, "query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("part_score")).alias("partial"), F.first("least").alias("least"), F.first("other").alias("other"))
+    return partial.where(F.col("partial") + F.col("other") >= F.col("least") - 2e-6).select(*by, "query_id", "chunk_id", "partial")
+
+
+def keyword_hits(queries: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., query_id, chunk_id, score, rank): the best of BM25 over title and content of `corpus` (chunk_id, title, content).
+
+    Statistics are those of the whole corpus, with `by` of each of its partitions, all in one plan. Chunks come up by their
+    essential words only (`split_terms`); the other words, which are the common ones, are looked up for the chunks that
+    these leave, so a stop word doesn't pair its queries with its chunks. `allowed` restricts what may be a hit before the
+    limit. Postings and the split are stored when the plan is made. Scores are rounded to 6 places before they are ranked, so that the order of sums doesn't matter.
+    """
+    q = query_terms(queries)
+    posted, stats = postings(q, corpus, by)
+    scored = weighed(posted, stats, by)
+    scored = scored.join(allowed.select(*by, "chunk_id"), [*by, "chunk_id"], "left_semi") if allowed is not None else scored
+    scored = stored(scored)  # read for bounds, for candidates and for what they lack
+    split = stored(split_terms(q, scored, by, limit=limit))
+    found = candidates(split, scored, by)
+    rest = found.join(split.where("not essential").select(*by, "query_id", "term", "times"), [*by, "query_id"]).join(scored, [*by, "chunk_id", "term"])
+    more = rest.groupBy(*by, "query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("part_score")).alias("more"))
+    whole = found.join(more, [*by, "query_id", "chunk_id"], "left").select(*by, "query_id", "chunk_id", F.round(F.col("partial") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+    w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "chunk_id")
+    return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def semantic_hits(query_vectors: DataFrame, chunk_vectors: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine, with `by` in each partition of `allowed`. Queries (id, vector) are the
+    side that a task scores whole batches of; chunks (id, vector) are filtered before anything is scored."""
+    c = chunk_vectors
+    if allowed is not None:
+        c = c.join(allowed.select(F.col("chunk_id").alias("id"), by), "id") if by else c.join(allowed.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+    found = cosine_top_k(query_vectors, c, k=limit, threshold=-2.0, by=by).selectExpr(*([by] if by else []), "left_id as query_id", "right_id as chunk_id", "round(score, 6) score")
+    w = Window.partitionBy(*([by] if by else []), "query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
@@ -82,24 +133,18 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, *, query_vectors: DataF
     empty_query and no chunk. Each partition's arms are fused, partitions are put one after the other, and their places
     are scored once more, so that an id in two partitions gains; with one partition its own order stands."""
     allowed = filtered(chunks, **filters)
-    parts = [r["part"] for r in chunks.select("part").distinct().collect()]  # licence partitions: a fixed few
-    lists, mode = None, "hybrid" if query_vectors is not None else "keyword_fallback"
-    for part in sorted(parts):
-        here = chunks.where(F.col("part") == part)
-        ok = allowed.where(F.col("part") == part)
-        arms = [keyword_hits(queries, here, ok)]
-        if query_vectors is not None:
-            arms.append(semantic_hits(query_vectors, chunk_vectors, ok))
-        one = (fuse(*arms) if len(arms) > 1 else arms[0]).select("query_id", "chunk_id", "score", "rank", F.lit(part).alias("part"))
-        lists = one if lists is None else lists.unionByName(one)
-    if lists is None:
-        return queries.selectExpr("query_id", "1 as rank", "string(null) chunk_id", "string(null) part", "double(null) score", "'empty_query' as mode").limit(0)
-    if len(parts) > 1:
-        w = Window.partitionBy("query_id").orderBy(part_rank(F.col("part")), "rank")
-        placed = lists.withColumn("place", F.row_number().over(w))
-        first = F.min_by("part", "place").alias("part")
-        lists = placed.groupBy("query_id", "chunk_id").agg(first, F.round(F.sum(F.lit(1.0) / (FUSE + F.col("place"))), 9).alias("score"))
-        lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    mode = "hybrid" if query_vectors is not None else "keyword_fallback"
+    part = ("part",)
+    arm = keyword_hits(queries, chunks, allowed, by=part)
+    if query_vectors is not None:
+        arm = fuse(arm, semantic_hits(query_vectors, chunk_vectors, allowed, by="part"), by=("query_id", "part"))
+    placed = arm.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(part_rank(F.col("part")), "part", "rank")))
+    # one partition's own scores stand; places in several are scored once more
+    several = F.broadcast(chunks.agg((F.min("part") < F.max("part")).alias("several")))
+    again = F.round(F.sum(F.lit(1.0) / (FUSE + F.col("place"))), 9)
+    lists = placed.groupBy("query_id", "chunk_id").agg(F.min_by("part", "place").alias("part"), again.alias("again"), F.min_by("score", "place").alias("own"))
+    lists = lists.crossJoin(several).withColumn("score", F.when(F.col("several"), F.col("again")).otherwise(F.col("own")))
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
     top = lists.where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "part", "score", F.lit(mode).alias("mode"))
     empty = queries.where((F.size(terms(F.coalesce("query_text", F.lit("")))) == 0))
     return top.unionByName(empty.selectExpr("query_id", "1 as rank", "string(null) chunk_id", "string(null) part", "double(null) score", "'empty_query' as mode"))

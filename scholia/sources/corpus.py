@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(at or 'file://' + tempfile.mkdtemp(prefix='scholia-')).rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written as Parquet in a new folder of `shared_folder` and read back: computed once, however often it is read,
+    and not again from its inputs if executors are lost."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
