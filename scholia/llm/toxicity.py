@@ -95,7 +95,7 @@ def fit(row: np.ndarray, code: np.ndarray, count: np.ndarray, positive: np.ndarr
     w = np.zeros(len(used) + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
-    averaged = steps - steps // 4
+    averaged = steps // 2
     for t in range(1, steps + 1):
         f = np.bincount(row, weights=w[at] * value, minlength=len(positive)) + w[-1]
         _, other, g_toxic, g_other = risk(f, positive, prior)
