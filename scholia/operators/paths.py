@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from scholia.functions.standards import coverage_band, tier_rank
 from scholia.operators.coverage import best_alignments
+from scholia.sources.corpus import stored
 
 
 def prerequisites(questions: DataFrame, standards: DataFrame, edges: DataFrame, *, depth: int = 1) -> DataFrame:
     """(question_id, standard_id, distance): every question's standard and what leads up to it within `depth` steps, at its
-    least distance. Each step joins the distinct (question, standard) pairs of the step before with the edges of the
-    catalogue, so a level never holds more than one row for each pair and cycles end with the depth. The edges have
-    source_id (needs) and target_id (is needed)."""
-    known = standards.select("system", "standard_id")
-    level = questions.join(known, ["system", "standard_id"]).select("question_id", "system", "standard_id").distinct()
-    pre = edges.where("relationship = 'prerequisite'").select(F.col("source_id").alias("standard_id"), "target_id").join(known.select("system", F.col("standard_id").alias("target_id")), "target_id").distinct()
-    seen = level.withColumn("distance", F.lit(0))
+    least distance. The edges have source_id (needs) and target_id (is needed).
+
+    A step joins the pairs (question, standard) that are new with the edges of the catalogue, which are made once, and keeps
+    those that no earlier step saw; it is stored, so each step reads the edges once and no step is computed again, and a
+    cycle ends when nothing is new.
+    """
+    known = standards.select("system", "standard_id").distinct()
+    pre = edges.where("relationship = 'prerequisite'").select(F.col("source_id").alias("standard_id"), "target_id").join(known.select("system", F.col("standard_id").alias("target_id")), "target_id")
+    pre = stored(pre.select("system", "standard_id", "target_id").distinct())
+    front = stored(questions.join(known, ["system", "standard_id"]).select("question_id", "system", "standard_id").distinct().withColumn("distance", F.lit(0)))
+    seen = front
     for d in range(1, depth + 1):
-        level = level.join(pre, ["standard_id", "system"]).select("question_id", "system", F.col("target_id").alias("standard_id")).distinct()
-        seen = seen.unionByName(level.withColumn("distance", F.lit(d)))
+        new = front.join(pre, ["system", "standard_id"]).select("question_id", "system", F.col("target_id").alias("standard_id")).distinct()
+        front = stored(new.join(seen, ["question_id", "system", "standard_id"], "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen.groupBy("question_id", "standard_id").agg(F.min("distance").alias("distance"))
 
 

@@ -10,6 +10,8 @@ from scholia.operators import align, assess, audit, coverage, evals, inventory,
 from scholia.plans.fixtures import view
 from scholia.plans.registry import query
 from scholia.sources import columns as C
+from scholia.sources import layout
+from scholia.sources.corpus import shared_folder
 
 # pieces of SQL
 _TIER = "CASE {} WHEN 'human' THEN 4 WHEN 'publisher_guide' THEN 3 WHEN 'llm_verified' THEN 2 ELSE 1 END"
@@ -419,6 +421,18 @@ def l2_chunk_upsert(s: SparkSession, d: str) -> DataFrame:
     return merge.upsert_chunks(old, c.where("ord % 3 <> 1").selectExpr("chunk_id", "if(ord % 2 = 0, grade_band, null) grade_band", "title as content"), now="2026")
 
 
+@query("""WITH o AS (SELECT chunk_id, grade_band, title, content, '2020' AS created_at, stale FROM fx_chunks WHERE ord % 3 <> 0),
+n AS (SELECT chunk_id, CASE WHEN ord % 7 = 0 THEN NULL ELSE grade_band END grade_band, title, CASE WHEN ord % 11 = 0 THEN title ELSE content END AS content FROM fx_chunks WHERE ord % 3 <> 1)
+SELECT coalesce(o.chunk_id, n.chunk_id) chunk_id, CASE WHEN n.chunk_id IS NOT NULL THEN n.grade_band ELSE o.grade_band END grade_band, coalesce(n.content, o.content) AS content, sha256(coalesce(n.content, o.content)) content_hash,
+CASE WHEN n.chunk_id IS NOT NULL THEN '2026' ELSE '2021' END last_verified, CASE WHEN o.chunk_id IS NULL THEN '2026' ELSE '2020' END created_at, CASE WHEN n.chunk_id IS NOT NULL THEN 0 ELSE o.stale END stale,
+CASE WHEN n.chunk_id IS NULL THEN 'kept' WHEN o.chunk_id IS NULL THEN 'added' WHEN o.stale = 1 OR n.content <> o.content OR n.grade_band IS DISTINCT FROM o.grade_band THEN 'updated' ELSE 'same' END change FROM o FULL OUTER JOIN n ON o.chunk_id = n.chunk_id""")
+def l2_delta_upsert(s: SparkSession, d: str) -> DataFrame:
+    c, path = view(s, d, "fx_chunks"), shared_folder(s)
+    layout.lay_out_chunks(c.where("ord % 3 <> 0").selectExpr("chunk_id", "grade_band", "title", "content", "'2020' as created_at", "'2021' as last_verified", "stale"), path)
+    change = layout.load_changes(s, path, c.where("ord % 3 <> 1").selectExpr("chunk_id", "if(ord % 7 = 0, null, grade_band) grade_band", "title", "if(ord % 11 = 0, title, content) content"), now="2026")
+    return layout.read_chunks(s, path).drop("title").join(change, "chunk_id", "left").withColumn("change", F.coalesce("change", F.lit("kept")))
+
+
 @query("""WITH n AS (SELECT chunk_id, standard_id, round(alignment_score - 0.05e0, 4) s, alignment_score - 0.05e0 >= 0.78e0 f FROM fx_alignments WHERE align_id % 2 = 0 UNION ALL SELECT concat('new-', chunk_id), standard_id, alignment_score, alignment_score >= 0.78e0 FROM fx_alignments WHERE align_id % 11 = 0)
 SELECT coalesce(o.chunk_id, n.chunk_id) chunk_id, coalesce(o.standard_id, n.standard_id) standard_id, CASE WHEN n.s IS NOT NULL AND coalesce(o.alignment_source, '') <> 'human' THEN n.s ELSE o.alignment_score END alignment_score, coalesce(o.alignment_source, 'embedding') alignment_source, o.coverage_notes,
 CASE WHEN n.s IS NOT NULL AND coalesce(o.alignment_source, '') <> 'human' THEN 0 ELSE o.stale END stale, CASE WHEN n.s IS NOT NULL AND coalesce(o.alignment_source, '') <> 'human' THEN n.f END flagged FROM fx_alignments o FULL OUTER JOIN n ON o.chunk_id = n.chunk_id AND o.standard_id = n.standard_id""")
@@ -448,6 +462,37 @@ def l11_licence_split(s: SparkSession, d: str) -> DataFrame:
     return merge.split_by_licence(books, c).select("chunk_id", "part", "new_part")
 
 
+_SPLIT_TABLES = """WITH b AS (SELECT DISTINCT book_id, part, CASE WHEN CAST(substr(book_id, 6) AS INTEGER) % 3 = 0 THEN 'CC BY-NC 4.0' ELSE 'CC BY 4.0' END license FROM fx_chunks),
+c AS (SELECT chunk_id, c.part, c.part = 'core' AND license LIKE '%NC%' goes FROM fx_chunks c JOIN b ON b.book_id = c.book_id AND b.part = c.part),
+t AS (SELECT 'books' AS "table", book_id id, part, part = 'core' AND license LIKE '%NC%' goes FROM b UNION ALL SELECT 'chunks', chunk_id, part, goes FROM c
+UNION ALL SELECT 'embeddings', chunk_id, part, goes FROM c JOIN embeddings ON chunk_id = concat('chunk-', CAST(vec_id AS VARCHAR)) UNION ALL SELECT 'alignments', concat(chunk_id, ' ', standard_id), part, goes FROM c JOIN fx_alignments USING (chunk_id))"""
+
+
+def _split_tables(s: SparkSession, d: str) -> str:
+    """The corpus laid out by licence partition in a new folder."""
+    chunks, root = view(s, d, "fx_chunks"), shared_folder(s)
+    books = chunks.select("book_id", "part").distinct().withColumn("license", F.expr("if(int(substr(book_id, 6)) % 3 = 0, 'CC BY-NC 4.0', 'CC BY 4.0')"))
+    place = chunks.select("chunk_id", "part")
+    vectors = view(s, d, "embeddings").select(F.concat(F.lit("chunk-"), "vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    layout.lay_out_parts({"books": books, "chunks": chunks, "embeddings": vectors.join(place, "chunk_id"), "alignments": view(s, d, "fx_alignments").join(place, "chunk_id")}, root)
+    return root
+
+
+@query(f"""{_SPLIT_TABLES} SELECT "table", id, CASE WHEN goes THEN 'ncsa' ELSE part END part FROM t""")
+def l11_resplit_tables(s: SparkSession, d: str) -> DataFrame:
+    root = _split_tables(s, d)
+    layout.resplit(s, root)
+    read = lambda name, key: layout.read_part_table(s, root, name).select(F.lit(name).alias("table"), key.alias("id"), "part")
+    out = read("books", F.col("book_id")).unionByName(read("chunks", F.col("chunk_id"))).unionByName(read("embeddings", F.col("chunk_id")))
+    return out.unionByName(read("alignments", F.concat_ws(" ", "chunk_id", "standard_id")))
+
+
+@query(f"""{_SPLIT_TABLES} SELECT "table", p.part, count(*) FILTER (t.part = p.part) AS before, CASE p.part WHEN 'core' THEN -count(*) FILTER (goes) WHEN 'ncsa' THEN count(*) FILTER (goes) ELSE 0 END moved,
+count(*) FILTER (CASE WHEN goes THEN 'ncsa' ELSE t.part END = p.part) AS after, 0 AS orphans, true AS ok FROM t CROSS JOIN (SELECT DISTINCT part FROM fx_chunks) p GROUP BY "table", p.part""")
+def l11_resplit_report(s: SparkSession, d: str) -> DataFrame:
+    return layout.resplit(s, _split_tables(s, d))
+
+
 @query("""SELECT 'duplicate chunk' AS "check", count(*) violations FROM (SELECT 1 FROM fx_chunks GROUP BY part, chunk_id HAVING count(*) > 1) UNION ALL SELECT 'duplicate alignment', count(*) FROM (SELECT 1 FROM fx_alignments_raw GROUP BY chunk_id, standard_id HAVING count(*) > 1)
 UNION ALL SELECT 'alignment without chunk', count(*) FROM fx_alignments_raw WHERE chunk_id NOT IN (SELECT chunk_id FROM fx_chunks) UNION ALL SELECT 'alignment without standard', count(*) FROM fx_alignments_raw WHERE standard_id NOT IN (SELECT standard_id FROM fx_standards)
 UNION ALL SELECT 'content type', 0 UNION ALL SELECT 'tier', 0 UNION ALL SELECT 'score', count(*) FROM fx_alignments_raw WHERE NOT (alignment_score BETWEEN 0 AND 1)""")

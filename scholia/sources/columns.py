@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.sources.corpus import stored
+
 # Fixed values of the sources.
 MONTHS = {1: "January", 6: "June", 8: "August"}
 #: Item types by the code of a state, a national and a consortium's catalogue; other codes are constructed responses.
@@ -219,15 +221,22 @@ def place_in_book(books: DataFrame, modules: DataFrame) -> DataFrame:
     return modules.join(c, ["slug", "module_id"])
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, *, depth: int = 32) -> DataFrame:
-    """(id, root_order, distance) of all nodes (id, parent_id) below the roots (id, root_order), level by level until none is left."""
-    seen = front = roots.select("id", "root_order", F.lit(0).alias("distance"))
-    for d in range(1, depth + 1):
-        front = nodes.join(front.select(F.col("id").alias("parent_id"), "root_order"), "parent_id").select("id", "root_order", F.lit(d).alias("distance"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.groupBy("id", "root_order").agg(F.min("distance").alias("distance"))
+def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root_order, distance) of the roots (id, root_order) and of all nodes (id, parent_id) below them, at any depth.
+
+    Pointers double: after round j every node points to the one 2 ** j above it and knows the roots below that point, so a
+    tree of depth n takes log2(n) rounds, each stored. A node of a cycle never runs out of nodes above it; no path is
+    longer than the number of nodes, so the rounds end there. Among several ways to a root the shortest counts.
+    """
+    up = stored(nodes.where("id is not null and parent_id is not null").select("id", F.col("parent_id").alias("above")).distinct())
+    hits = stored(roots.select("id", "root_order", F.lit(0).cast("long").alias("distance")).groupBy("id", "root_order").agg(F.min("distance").alias("distance")))
+    most, step = up.count(), 1
+    while step <= most and not up.isEmpty():
+        over = up.join(hits.withColumnRenamed("id", "above"), "above").select("id", "root_order", (F.col("distance") + step).alias("distance"))
+        hits = stored(hits.unionByName(over).groupBy("id", "root_order").agg(F.min("distance").alias("distance")))
+        up = stored(up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")), "above").select("id", F.col("next").alias("above")).distinct())
+        step *= 2
+    return hits.select("id", "root_order", F.col("distance").cast("int").alias("distance"))
 
 
 def inherited_grades(nodes: DataFrame, roots: DataFrame) -> DataFrame:
