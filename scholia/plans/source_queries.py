@@ -335,11 +335,13 @@ _CODES = sorted({c for values in C.ITEM_TYPES.values() for c in values} | {"zz"}
 
 
 @query(f"""SELECT p_partkey, code, CASE WHEN code = 'sr' THEN 'multiple_choice' ELSE 'constructed_response' END state, CASE WHEN code IN ('mc', 'sr') THEN 'multiple_choice' ELSE 'constructed_response' END AS national,
-CASE WHEN code IN ('mc', 'ms') THEN 'multiple_choice' WHEN code IN ('gi', 'sim') THEN 'performance_task' ELSE 'constructed_response' END consortium, CAST(CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS INTEGER) dok
+CASE WHEN code IN ('mc', 'ms') THEN 'multiple_choice' WHEN code IN ('gi', 'sim') THEN 'performance_task' ELSE 'constructed_response' END consortium, CAST(CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS INTEGER) dok,
+CASE p_size % 14 WHEN 4 THEN 'K-5' WHEN 8 THEN '6-8' WHEN 12 THEN '9-12' END national_band, CASE WHEN p_size % 14 IN (3, 4, 5) THEN 'K-5' WHEN p_size % 14 IN (6, 7, 8) THEN '6-8' WHEN p_size % 14 = 10 THEN '9-12' END state_band
 FROM (SELECT p_partkey, p_size, {_CODES!r}[1 + p_partkey % {len(_CODES)}] code FROM part)""")
 def p27_vocabularies(s: SparkSession, d: str) -> DataFrame:
-    c = _raw(s, d, "part", "p_partkey", f"array({', '.join(map(repr, _CODES))})[int(p_partkey % {len(_CODES)})] code", "case p_size % 4 when 0 then 'Low' when 1 then 'Moderate' when 2 then 'high' else 'none' end complexity")
-    return c.select("p_partkey", "code", *(C.item_type(F.upper("code"), k).alias(k) for k in C.ITEM_TYPES), C.dok_level(F.col("complexity")).alias("dok"))
+    c = _raw(s, d, "part", "p_partkey", f"array({', '.join(map(repr, _CODES))})[int(p_partkey % {len(_CODES)})] code", "case p_size % 4 when 0 then 'Low' when 1 then 'Moderate' when 2 then 'high' else 'none' end complexity", "if(p_size % 14 = 13, 'ungraded', string(p_size % 14)) grade")
+    bands = [C.tested_band(F.col("grade"), k).alias(f"{k}_band") for k in C.TESTED_GRADES]
+    return c.select("p_partkey", "code", *(C.item_type(F.upper("code"), k).alias(k) for k in C.ITEM_TYPES), C.dok_level(F.col("complexity")).alias("dok"), *bands)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 11 ELSE 3 + p_size % 5 END grade, concat_ws(chr(10), concat('Smarter Balanced Grade ', CASE WHEN p_size % 3 = 0 THEN 11 ELSE 3 + p_size % 5 END, ' Mathematics Assessment Item'), concat('Type: ', p_type), CASE WHEN p_size % 2 = 0 THEN concat('Standard: CCSS.MATH.Content.7.RP.', p_size) END,
@@ -351,21 +353,25 @@ def p28_catalogue_items(s: SparkSession, d: str) -> DataFrame:
     return items.select("p_partkey", "grade", lines.alias("content"))
 
 
-@query("""SELECT concat('u', c_custkey) url, concat('Directions: Use the digits 1 to ', 1 + c_custkey % 9, ' once.', CASE WHEN c_custkey % 2 = 0 THEN concat(chr(10), chr(10), 'Answer/Hint: Think of ', c_custkey) ELSE '' END) AS content, concat('CCSS.MATH.3.OA.', c_custkey % 9, ',CCSS.MATH.HSF.IF.4') standards, CAST(1 + c_custkey % 4 AS INTEGER) dok_level, c_mktsegment AS author FROM customer""")
+@query("""SELECT concat('u', c_custkey) url, concat('Directions: Use the digits 1 to ', 1 + c_custkey % 9, ' once.', CASE WHEN c_custkey % 2 = 0 THEN concat(chr(10), chr(10), 'Answer/Hint: Think of ', c_custkey) ELSE '' END) AS content, concat('CCSS.MATH.3.OA.', c_custkey % 9, ',CCSS.MATH.HSF.IF.4') standards, CAST(1 + c_custkey % 4 AS INTEGER) dok_level, c_mktsegment AS author,
+CASE WHEN c_custkey % 3 = 0 THEN concat('k', c_custkey) ELSE concat('Task ', c_custkey) END title, CASE c_custkey % 5 WHEN 0 THEN 'K' WHEN 1 THEN '1' WHEN 2 THEN '7' WHEN 3 THEN 'HS' ELSE '5' END grade, CASE c_custkey % 5 WHEN 2 THEN '6-8' WHEN 3 THEN '9-12' ELSE 'K-5' END grade_band FROM customer""")
 def p29_problem_pages(s: SparkSession, d: str) -> DataFrame:
     """Pages that were fetched twice, and pages without directions."""
-    page = """concat('<meta name="keywords" content="F-IF.4, DOK ', 1 + c_custkey % 4, ': x"><nav>Directions: none here at all</nav><article><p>Directions: Use the digits 1 to ', 1 + c_custkey % 9, ' once.</p>', if(c_custkey % 2 = 0, concat('<p>Hint Think of ', c_custkey, '</p>'), ''), '<p>Source: us</p></article><a rel="tag">3.OA.', c_custkey % 9, '</a><a rel="tag">Open Middle</a><a rel="tag">', c_mktsegment, '</a>')"""
-    raw = _raw(s, d, "customer", "concat('k', c_custkey) key", "concat('u', c_custkey) url", f"{page} payload")
+    page = """concat('<meta name="keywords" content="F-IF.4, DOK ', 1 + c_custkey % 4, ': x"><nav>Directions: none here at all</nav>', if(c_custkey % 3 = 0, '', concat('<meta property="og:title" content="Task ', c_custkey, ' | Open Middle®">')), '<article class="post', if(c_custkey % 5 = 4, '', concat(' category-', array('kindergarten', 'grade-1', 'grade-7', 'high-school-algebra')[int(c_custkey % 5)], ' category-grade-2')), '"><p>Directions: Use the digits 1 to ', 1 + c_custkey % 9, ' once.</p>', if(c_custkey % 2 = 0, concat('<p>Hint Think of ', c_custkey, '</p>'), ''), '<p>Source: us</p></article><a rel="tag">3.OA.', c_custkey % 9, '</a><a rel="tag">Open Middle</a><a rel="tag">', c_mktsegment, '</a>')"""
+    raw = _raw(s, d, "customer", "concat('k', c_custkey) key", "concat('u', c_custkey) url", f"{page} payload", "'grade-5' grade_cat")
     raw = raw.unionByName(raw.withColumn("key", F.concat("key", F.lit("-again")))).unionByName(raw.withColumn("url", F.concat("url", F.lit("x"))).withColumn("payload", F.lit("<article>No task</article>")))
-    return D.parse_problems(raw).select("url", "content", F.array_join("standards", ",").alias("standards"), "dok_level", "author")
+    return D.parse_problems(raw).select("url", "content", F.array_join("standards", ",").alias("standards"), "dok_level", "author", "title", "grade", "grade_band")
 
 
-@query(r"""SELECT page_id, concat(CASE WHEN page_id % 9 = 2 THEN '2' ELSE concat(least(2, page_id % 9), ',', greatest(2, page_id % 9)) END) numbers, CASE WHEN page_id % 3 = 0 THEN '0.1,1.2' ELSE '1.2' END lessons FROM pages""")
+@query(r"""SELECT page_id, concat(CASE WHEN page_id % 9 = 2 THEN '2' ELSE concat(least(2, page_id % 9), ',', greatest(2, page_id % 9)) END) numbers, CASE WHEN page_id % 3 = 0 THEN '0.1,1.2' ELSE '1.2' END lessons,
+concat('http://m.example/p', page_id, CASE WHEN page_id % 2 = 0 THEN ',http://m.example/q/' ELSE '' END) problems FROM pages""")
 def p32_link_harvest(s: SparkSession, d: str) -> DataFrame:
-    """Links that are put behind every page."""
+    """Links that are put behind every page, and an index page for each."""
+    index = F.expr("""concat('<h2><a href="/menu">x</a></h2><article><h2 class="t"><a class="u" href="/p', page_id, '">A</a></h2><a href="/body">b</a><h3><a href="/no">n</a></h3></article>',
+'<ARTICLE id="2"><h2><a href="http://other.example/x">o</a> <a href="/p', page_id, '">again</a></h2>', if(page_id % 2 = 0, "<h2>Q <a href='http://m.example/q/'>q</a></h2>", ''), '</ARTICLE>')""")
     html = F.expr("""concat(coalesce(html, ''), '<a href="/zz/2"><a href="/zz/', page_id % 9, '/x"><a href="/zz/2"><a href="/uu/unit-1/lesson-2"><a href="/uu/unit-', if(page_id % 3 = 0, '0/lesson-1', '1/lesson-2'), '/x">')""")
     pairs = F.array_join(F.transform(C.unit_lessons(html, "/uu"), lambda x: F.concat_ws(".", x["unit"], x["lesson"])), ",")
-    return view(s, d, "pages").select("page_id", F.array_join(C.child_numbers(html, "/zz").cast("array<string>"), ",").alias("numbers"), pairs.alias("lessons"))
+    return view(s, d, "pages").select("page_id", F.array_join(C.child_numbers(html, "/zz").cast("array<string>"), ",").alias("numbers"), pairs.alias("lessons"), F.array_join(C.problem_links(index, "http://m.example"), ",").alias("problems"))
 
 
 # ---- load, align, review ----

@@ -24,6 +24,8 @@ SCORING_ROW = r"(?:Algebra I{1,2}|Geometry)\s+\w+\.?\s+['’]?\d{2}\s+(\d{1,2})\
 EXAM_LINK = r'href="([^"]*SLUG(?:cc)?-?(\d{5})-exam(?!lt|-lt)[a-z]{0,2}\.pdf)"'
 CATALOGUE_HEAD, STANDARD_PREFIX = "Smarter Balanced Grade {} Mathematics Assessment Item", "CCSS.MATH.Content."
 COMPLEXITY_DOK = {"low": 1, "moderate": 2, "high": 3}
+#: Grades that a national and a state's assessment have.
+TESTED_GRADES = {"national": (4, 8, 12), "state": (3, 4, 5, 6, 7, 8, 10)}
 
 
 def words(text: Column) -> Column:
@@ -207,6 +209,33 @@ def child_numbers(html: Column, prefix: str) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(rf'href="{prefix}/([0-9]+)'), F.lit(1)), lambda x: x.cast("int"))))
 
 
+def band_of_grade(grade: Column) -> Column:
+    """K-5, 6-8 or 9-12 of a grade's number; null stays."""
+    return F.when(grade <= 5, "K-5").when(grade <= 8, "6-8").when(grade.isNotNull(), "9-12")
+
+
+def tested_band(grade: Column, assessment: str) -> Column:
+    """The band of a grade that the assessment tests; of any other null."""
+    number = grade.try_cast("int")
+    return F.when(number.isin(*TESTED_GRADES[assessment]), band_of_grade(number))
+
+
+def grade_of_category(category: Column) -> tuple[Column, Column]:
+    """(grade, band) of a page category: kindergarten is K, grade-n is n up to 8, all others are HS."""
+    number = F.when(category == "kindergarten", 0).otherwise(F.regexp_extract(category, "^grade-([1-8])$", 1).try_cast("int"))
+    return F.when(number == 0, "K").when(number.isNotNull(), number.cast("string")).otherwise("HS"), F.coalesce(band_of_grade(number), F.lit("9-12"))
+
+
+def problem_links(html: Column, base: str) -> Column:
+    """Distinct addresses, in page order, of the links in the second-level headings of a page's articles: those of the site
+    `base` and those without a host, which get it."""
+    blocks = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b.*?</{tag}\s*>"), F.lit(0))
+    links = lambda text: F.regexp_extract_all(text, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    heads = F.flatten(F.transform(blocks(html, "article"), lambda x: blocks(x, "h2")))
+    found = F.filter(F.flatten(F.transform(heads, links)), lambda x: x.startswith(base) | x.startswith("/"))
+    return F.array_distinct(F.transform(found, lambda x: F.when(x.startswith("http"), x).otherwise(F.concat(F.lit(base), x))))
+
+
 def unit_lessons(html: Column, prefix: str) -> Column:
     """Distinct (unit, lesson) pairs in the links of an index page."""
     pattern = rf'href="{prefix}/unit-([0-9]+)/lesson-([0-9]+)'

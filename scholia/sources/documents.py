@@ -12,11 +12,12 @@ import xml.etree.ElementTree as ET
 from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from string import Formatter
 from typing import NamedTuple
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions import standards as S
@@ -46,60 +47,83 @@ SYMBOLS = {
 # Elements that end a line, and elements that are no text.
 LINES = frozenset("para item title caption entry row".split())
 NO_TEXT = frozenset("media image figure labeled-item".split())
-#: Layouts of an element with so many operands: {n} is operand n, {bn} is it in braces unless it is one character.
-LAYOUTS = {
-    ("mfrac", 2): r"\frac{{{0}}}{{{1}}}", ("msup", 2): "{b0}^{{{1}}}", ("msub", 2): "{b0}_{{{1}}}", ("msubsup", 3): "{b0}_{{{1}}}^{{{2}}}", ("mroot", 2): r"\sqrt[{1}]{{{0}}}",
+#: Elements of presentation markup: what they become with so many operands (None: any other number). {0}, {1}, ... are the
+#: operands, {b0} is one in braces unless it is one character, {all} are all in a row, {drawn} all but spaces, {listed} with
+#: commas, {rows} the rows of a table, {own} the element's text, {symbol} its command, {open} and {close} its fences.
+#: What stands in none of these gives its operands, or its text without any.
+MARKUP = {
+    "mi": {None: "{symbol}"}, "mn": {None: "{symbol}"}, "mo": {None: "{symbol}"}, "mtext": {None: r"\text{{{own}}}"}, "mspace": {None: r"\ "},
+    "mfrac": {2: r"\frac{{{0}}}{{{1}}}"}, "msup": {2: "{b0}^{{{1}}}"}, "msub": {2: "{b0}_{{{1}}}"}, "msubsup": {3: "{b0}_{{{1}}}^{{{2}}}"}, "mroot": {2: r"\sqrt[{1}]{{{0}}}"},
+    "msqrt": {None: r"\sqrt{{{all}}}"}, "munder": {None: "{drawn}"}, "mover": {None: "{drawn}"}, "munderover": {None: "{drawn}"}, "mfenced": {None: "{open}{listed}{close}"},
+    "mtable": {None: r"\begin{{matrix}}{rows}\end{{matrix}}"}, "math": {None: "{all}"}, "mrow": {None: "{all}"}, "mstyle": {None: "{all}"}, "semantics": {None: "{all}"},
 }
 
 
+class _Fields(dict):
+    """What a template of MARKUP may ask for, made when it is."""
+
+    def __init__(self, e: ET.Element, operands: list[str]):
+        super().__init__(all="".join(operands), own=(e.text or "").strip(), open=e.get("open", "("), close=e.get("close", ")"), listed=", ".join(operands))
+        self.e, self.operands = e, operands
+
+    def __missing__(self, name: str) -> str:
+        kinds = [_local(k.tag) for k in self.e]
+        if name[0] == "b":
+            x = self.operands[int(name[1:])]
+            return x if len(x) == 1 else f"{{{x}}}"
+        if name == "symbol":
+            return SYMBOLS.get(self["own"], self["own"])
+        if name == "drawn":
+            return "".join(x for k, x in zip(kinds, self.operands, strict=True) if k != "mspace")
+        if name == "rows":
+            return r" \\ ".join(" & ".join(latex(cell) for cell in row) for k, row in zip(kinds, self.e, strict=True) if k == "mtr")
+        return self.operands[int(name)]
+
+
+class _Template(Formatter):
+    """Positions are names too, so that every field is looked up in one place."""
+
+    def get_value(self, key: int | str, args: tuple, kwargs: dict) -> str:
+        return args[0][str(key)]
+
+
+_FILL = _Template()
+
+
 def latex(e: ET.Element) -> str:
-    """A math element in LaTeX; an element without a layout of its own gives what is in it."""
-    tag, own = _local(e.tag), (e.text or "").strip()
-    parts = [(_local(k.tag), latex(k)) for k in e]
-    inside = "".join(x for _, x in parts)
-    if layout := LAYOUTS.get((tag, len(parts))):
-        braced = {f"b{i}": x if len(x) == 1 else f"{{{x}}}" for i, (_, x) in enumerate(parts)}
-        return layout.format(*(x for _, x in parts), **braced)
-    match tag:
-        case "mi" | "mn" | "mo":
-            return SYMBOLS.get(own, own)
-        case "mtext":
-            return rf"\text{{{own}}}" if own else ""
-        case "mspace":
-            return r"\ "
-        case "msqrt":
-            return rf"\sqrt{{{inside}}}"
-        case "munder" | "mover" | "munderover":
-            return "".join(x for t, x in parts if t != "mspace")
-        case "mfenced":
-            return e.get("open", "(") + ", ".join(x for _, x in parts) + e.get("close", ")")
-        case "mtable":
-            rows = (" & ".join(map(latex, row)) for row in e if _local(row.tag) == "mtr")
-            return r"\begin{matrix}" + r" \\ ".join(rows) + r"\end{matrix}"
-        case "math" | "mrow" | "mstyle" | "semantics":
-            return inside
-    return inside if parts else own
-
-
-def _runs(e: ET.Element) -> Iterator[str]:
-    """Runs of text of an element; space between elements alone is none."""
-    tag = _local(e.tag)
-    if tag == "math":
-        if x := latex(e).strip():
-            yield f"${x}$"
-    elif tag not in NO_TEXT:
-        yield e.text if (e.text or "").strip() else ""
-        for k in e:
-            yield from _runs(k)
-            yield k.tail if (k.tail or "").strip() else ""
-        if tag in LINES:
-            yield "\n"
+    """A math element in LaTeX, by MARKUP."""
+    operands = [latex(k) for k in e]
+    fields = _Fields(e, operands)
+    ways = MARKUP.get(_local(e.tag), {})
+    template = ways.get(len(operands), ways.get(None))
+    if template is None:
+        return fields["all"] if operands else fields["own"]
+    return _FILL.vformat(template, (fields,), {}) if template.count("{own}") == 0 or fields["own"] else ""
+
+
+def _events(e: ET.Element) -> list[str]:
+    """The texts of an element in order, a line end after every block; space between elements alone is left out."""
+    out: list[str] = []
+    todo: list[ET.Element | str] = [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        tag = _local(x.tag)
+        if tag == "math":
+            out.append(f"${m}$" if (m := latex(x).strip()) else "")
+        elif tag not in NO_TEXT:
+            inside = [y for k in x for y in (k, k.tail)]
+            todo += [y for y in reversed([x.text, *inside, "\n" if tag in LINES else ""]) if isinstance(y, ET.Element) or (y and (y == "\n" or y.strip()))]
+    return out
 
 
 def flat_text(e: ET.Element) -> str:
     """Text of an element: blocks end lines, media go, math is $...$, one blank line at most between lines."""
-    lines = "\n".join(" ".join(line.split()) for line in "".join(_runs(e)).split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", lines).strip()
+    lines = [" ".join(line.split()) for line in "".join(_events(e)).split("\n")]
+    kept = [line for i, line in enumerate(lines) if line or not i or lines[i - 1]]
+    return "\n".join(kept).strip()
 
 
 class Roles(NamedTuple):
@@ -293,10 +317,13 @@ def parse_lessons(raw: DataFrame, *, least_words: int = 30) -> DataFrame:
 DIRECTIONS = r"Directions?:?\s*(.*?)(?:Hint|Answer|Source|Use this problem|Print)"
 HINT = r"(?:Hint|Answer)\s*(.*?)(?:Source|Use this problem|Print|Embedded)"
 NO_AUTHOR = ("Open Middle", "Illustrative Mathematics")
+# The end of a problem page's title; how an article's class names its grade.
+TITLE_END, GRADE_CLASS = " | Open Middle®", r"category-(grade-\d+|kindergarten|high-school[^\s]*)"
 
 
-def problem(page: str) -> tuple[str, str, list[str]] | None:
-    """Directions, hint and tags (links marked as tags, then keywords) of a problem page; None without an article."""
+def problem(page: str) -> tuple[str, str, list[str], str | None, str] | None:
+    """Directions, hint, tags (links marked as tags, then keywords), title and the article's classes of a problem page; None
+    without an article."""
     t = tree(page)
     article = next((n for n in t.walk() if n.tag == "article"), None)
     if article is None:
@@ -305,25 +332,36 @@ def problem(page: str) -> tuple[str, str, list[str]] | None:
     directions, hint = (m[1].strip() if (m := re.search(p, text, re.I)) else "" for p in (DIRECTIONS, HINT))
     tags = [n.text() for n in t.walk() if n.tag == "a" and n.attrs.get("rel") == "tag"]
     words = next((n.attrs.get("content") or "" for n in t.walk() if n.tag == "meta" and n.attrs.get("name") == "keywords"), "")
-    return directions, hint, list(dict.fromkeys(tags + [w.strip() for w in words.split(",") if w.strip()]))
+    title = next((n.attrs.get("content") or "" for n in t.walk() if n.tag == "meta" and n.attrs.get("property") == "og:title"), None)
+    return directions, hint, list(dict.fromkeys(tags + [w.strip() for w in words.split(",") if w.strip()])), title, article.attrs.get("class") or ""
 
 
 def parse_problems(raw: DataFrame, *, least: int = 10) -> DataFrame:
-    """(key, url, content, standards, dok_level, author) of problem pages (key, url, payload), one for each URL, with
-    directions of at least `least` characters."""
-    one = raw.groupBy("url").agg(F.min_by(F.struct("key", "payload"), "key").alias("r")).select("url", "r.*")
+    """(key, url, title, content, standards, dok_level, author, grade, grade_band) of problem pages (key, url, payload, and
+    grade_cat if the index page's category is known), one for each URL, with directions of at least `least` characters.
+
+    The title is the page's own without the site's name, else the key; the grade is the first that the article's classes
+    name, else that of the category."""
+    raw = raw if "grade_cat" in raw.columns else raw.withColumn("grade_cat", F.lit(None).cast("string"))
+    one = raw.groupBy("url").agg(F.min_by(F.struct("key", "payload", "grade_cat"), "key").alias("r")).select("url", "r.*")
 
     def parse(r: dict) -> list[tuple]:
         found = problem(r["payload"] or "")
-        return [(r["key"], r["url"], *found)] if found and len(found[0]) >= least else []
+        return [(r["key"], r["url"], r["grade_cat"], *found)] if found and len(found[0]) >= least else []
 
-    got = _job(one, parse, ["key", "url", "directions", "hint", "tags"], "key string, url string, directions string, hint string, tags array<string>", ["key", "url", "payload"])
+    names = ["key", "url", "grade_cat", "directions", "hint", "tags", "og_title", "classes"]
+    got = _job(one, parse, names, ", ".join(f"{n} {'array<string>' if n == 'tags' else 'string'}" for n in names), ["key", "url", "payload", "grade_cat"])
     standard = lambda x: S.id_from_problem_tag(x)
     dok = lambda x: F.regexp_extract(x, r"(?i)DOK\s*(\d)", 1)
     rest = F.filter("tags", lambda x: standard(x).isNull())
     author = F.filter(rest, lambda x: (dok(x) == "") & ~x.rlike("[0-9]") & ~x.isin(*NO_AUTHOR))
     content = F.concat(F.lit("Directions: "), "directions", F.when(F.col("hint") != "", F.concat(F.lit("\n\nAnswer/Hint: "), "hint")).otherwise(""))
-    return got.select("key", "url", content.alias("content"), F.filter(F.transform("tags", standard), lambda x: x.isNotNull()).alias("standards"), F.try_element_at(F.filter(F.transform(rest, dok), lambda x: x != ""), F.lit(-1)).cast("int").alias("dok_level"), F.get(author, F.lit(0)).alias("author"))
+    title = F.coalesce(F.trim(F.replace(F.col("og_title"), F.lit(TITLE_END), F.lit(""))), "key")
+    grade, band = C.grade_of_category(F.coalesce(F.nullif(F.regexp_extract("classes", GRADE_CLASS, 1), F.lit("")), "grade_cat", F.lit("")))
+    return got.select(
+        "key", "url", title.alias("title"), content.alias("content"), F.filter(F.transform("tags", standard), lambda x: x.isNotNull()).alias("standards"),
+        F.try_element_at(F.filter(F.transform(rest, dok), lambda x: x != ""), F.lit(-1)).cast("int").alias("dok_level"), F.get(author, F.lit(0)).alias("author"), grade.alias("grade"), band.alias("grade_band"),
+    )
 
 
 # ---- exams ----
@@ -398,20 +436,41 @@ def parse_items(raw: DataFrame) -> DataFrame:
 SHOT, QUESTION, CHOICES = r"^Screen shot of an interactive question\.\s*", "QUESTION TEXT:", r"\s*ANSWER CHOICES:\s*"
 
 
-def question_text(page: str) -> str:
-    """The longest alternative text if it holds the question, choices on their own line; else the page without tags."""
-    longest = max(re.findall(r'alt="([^"]+)"', page), key=len, default="")
-    if QUESTION in longest:
-        text = re.sub(CHOICES, "\n", re.sub(SHOT, "", longest).replace(QUESTION, "").strip())
-    else:
-        text = " ".join(re.sub(r"<[^>]+>", " ", page).split())
-    return html.unescape(text.replace("\\r\\n", "\n")).strip()
+def _unescaped(text: Column) -> Column:
+    """Character references decoded, which no column function does."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return decode(text)
+
+
+def _readable(text: Column) -> Column:
+    lines = F.replace(text, F.lit(r"\r\n"), F.lit("\n"))
+    return F.regexp_replace(_unescaped(lines), r"(?U)^\s+|\s+$", "")
+
+
+def without_tags(page: Column) -> Column:
+    """The words of a page with single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(page, "<[^>]+>", " "), r"(?U)\s+", " "))
+
+
+def question_text(page: Column) -> Column:
+    """The longest alternative text (of several the first) if it holds the mark of a question: its parts between the marks,
+    choices on a line of their own; of other pages the words."""
+    pictures = F.regexp_extract_all(page, F.lit('alt="([^"]+)"'), F.lit(1))
+    longest = F.aggregate(pictures, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    asked = F.trim(F.array_join(F.split(F.regexp_replace(longest, SHOT, ""), QUESTION), ""))
+    return _readable(F.when(longest.contains(QUESTION), F.array_join(F.split(asked, CHOICES), "\n")).otherwise(without_tags(page)))
 
 
-def guide_text(guide: str, limit: int = 500) -> str | None:
-    return html.unescape(" ".join(re.sub(r"<[^>]+>", " ", guide).split()).replace("\\r\\n", "\n")).strip()[:limit] or None
+def guide_text(guide: Column, limit: int = 500) -> Column:
+    """The words of a scoring guide, `limit` characters of them; null if there are none."""
+    return F.nullif(F.substring(_readable(without_tags(guide)), 1, limit), F.lit(""))
 
 
 def parse_question_pages(raw: DataFrame) -> DataFrame:
     """(key, question, answer_key) of item pages (key, payload, guide): the guide in 500 characters."""
-    return _job(raw, lambda r: [(r["key"], question_text(r["payload"] or ""), guide_text(r["guide"] or ""))], ["key", "question", "answer_key"], "key string, question string, answer_key string", ["key", "payload", "guide"])
+    page, guide = F.coalesce("payload", F.lit("")), F.coalesce("guide", F.lit(""))
+    return raw.select("key", question_text(page).alias("question"), guide_text(guide).alias("answer_key"))

@@ -314,9 +314,11 @@ def test_documents(spark):
     assert (r["title"], r["addressing"], r["content"]) == ("Unit 1: Lesson", ["CCSS.MATH.6.RP.1"], block) and r["standards"]["Building On"] == ["CCSS.MATH.K.CC.A.1"]
     prob = '<meta name="keywords" content="DOK 3: more, F-IF.4"><article><p>Directions: Fill the boxes with digits. Hint Think of ten. Source x</p></article><a rel="tag" href="#">3.OA.8</a><a rel="tag" href="#">Open Middle</a><a rel="tag" href="#">Ann Lee</a>'
     p = D.parse_problems(spark.createDataFrame([("k", "u", prob), ("k2", "u", prob), ("k3", "v", "<p>Directions: Fill the boxes.</p>")], "key string, url string, payload string")).collect()
-    assert [tuple(x) for x in p] == [("k", "u", "Directions: Fill the boxes with digits.\n\nAnswer/Hint: Think of ten.", ["CCSS.MATH.3.OA.8", "CCSS.MATH.HSF.IF.4"], 3, "Ann Lee")]
+    assert [tuple(x) for x in p] == [("k", "u", "k", "Directions: Fill the boxes with digits.\n\nAnswer/Hint: Think of ten.", ["CCSS.MATH.3.OA.8", "CCSS.MATH.HSF.IF.4"], 3, "Ann Lee", "HS", "9-12")]
     shot = '<img alt="x"><img alt="Screen shot of an interactive question. QUESTION TEXT: What &amp; why? ANSWER CHOICES: A. one">'
-    assert D.question_text(shot) == "What & why?\nA. one" and D.question_text("<p>a <b>b</b></p>") == "a b" and D.guide_text("") is None
+    pages = [(1, shot, ""), (2, "<p>a <b>b</b></p>", "<i>x</i>\u00a0 y &lt; z\\r\\nend"), (3, None, None), (4, '<img alt="QUESTION TEXT: lost"><img alt="the longest alternative of this page">&amp;', " " + "ab " * 300)]
+    got = {r["key"]: (r["question"], r["answer_key"]) for r in D.parse_question_pages(spark.createDataFrame(pages, "key int, payload string, guide string")).collect()}
+    assert got == {1: ("What & why?\nA. one", None), 2: ("a b", "x y < z\nend"), 3: ("", None), 4: ("&", ("ab " * 300)[:500])}
 
 
 def test_validation(spark):
