@@ -92,6 +92,45 @@ def source_quality(chunks: DataFrame, alignments: DataFrame) -> DataFrame:
     return _joined(chunks, alignments).groupBy("source_id").agg(F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("standard_id").alias("standards"), F.count("standard_id").alias("alignments"), mean_score(s).alias("avg_score"), *tiers, F.count_if(s >= STRONG).alias("strong"))
 
 
+#: What the reports of `quality_reports` are by.
+REPORTS = ("grade_band", "source_id", "alignment_source")
+
+
+def quality_reports(chunks: DataFrame, alignments: DataFrame) -> DataFrame:
+    """(report, value, ...): quality by grade band and by source of all live chunks, and by tier of all live alignments, from
+    one scan of either table, one join and one aggregate over grouping sets.
+
+    Unaligned chunks count for their band and source; alignments without a live chunk count for their tier alone. Distinct
+    chunks and standards are counted in two phases, by group and id first, so no task holds the ids of a group.
+    """
+    a = alignments.where("stale = 0").select("chunk_id", "standard_id", "alignment_score", "alignment_source").withColumn("_a", F.lit(True))
+    c = chunks.where("stale = 0").select("chunk_id", "grade_band", "source_id").withColumn("_c", F.lit(True))
+    j = c.join(a, "chunk_id", "full_outer")
+    sets = j.groupingSets([[F.col(x)] for x in REPORTS], *REPORTS)
+    score, aligned = F.col("alignment_score"), F.col("_a").isNotNull()
+    # a row that lacks what a set is by (a chunk, an alignment) is dropped with its group of null below
+    has_c, has_a = F.count("_c"), F.count("_a")
+    live = F.col("_c").isNotNull()
+    tiers = ("human", "publisher_guide", "llm_verified", "embedding")
+
+    def over(only: Column, n: str) -> list[Column]:
+        s = F.when(only & aligned, score)
+        return [
+            F.countDistinct(F.when(only, F.col("chunk_id"))).alias(f"{n}chunks"), F.countDistinct(F.when(only & aligned, F.col("standard_id"))).alias(f"{n}standards"), F.count_if(only & aligned & F.col("standard_id").isNotNull()).alias(f"{n}alignments"),
+            mean_score(s).alias(f"{n}avg_score"), F.min(s).alias(f"{n}min_score"), F.max(s).alias(f"{n}max_score"), F.count_if(s >= STRONG).alias(f"{n}strong"), F.count_if(only).alias(f"{n}rows"),
+            *(F.count_if(only & aligned & (F.col("alignment_source") == t)).alias(f"{n}{t}") for t in tiers),
+        ]
+
+    g = sets.agg(F.grouping_id().alias("g"), has_c.alias("has_c"), has_a.alias("has_a"), *over(live, "c_"), *over(aligned, "a_"))
+    by_tier_set = F.col("g") == 0b110
+    report = F.when(F.col("g") == 0b011, REPORTS[0]).when(F.col("g") == 0b101, REPORTS[1]).otherwise(REPORTS[2])
+    value = F.when(F.col("g") == 0b011, F.col(REPORTS[0])).when(F.col("g") == 0b101, F.col(REPORTS[1])).otherwise(F.col(REPORTS[2]))
+    names = ("chunks", "standards", "alignments", "avg_score", "min_score", "max_score", "strong", "rows", *tiers)
+    out = g.where(F.when(by_tier_set, F.col("has_a") > 0).otherwise(F.col("has_c") > 0))
+    out = out.select(report.alias("report"), value.alias("value"), *(F.when(by_tier_set, F.col(f"a_{n}")).otherwise(F.col(f"c_{n}")).alias(n) for n in names))
+    return out.withColumn("strong_percent", _r(F.try_divide(100.0 * F.col("strong"), "rows"), 2)).drop("rows")
+
+
 def checkpoint_probe(probes: DataFrame, alignments: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """The k best live chunks by score for each probe standard (standard_id)."""
     order = [F.desc("alignment_score"), "chunk_id"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.standards import band_name, band_rank, coverage_band, part_rank
+from scholia.sources.corpus import stored
 
 
 def best_alignments(alignments: DataFrame, chunks: DataFrame, *, source: str | None = None) -> DataFrame:
@@ -17,6 +18,22 @@ def best_alignments(alignments: DataFrame, chunks: DataFrame, *, source: str | N
     return a.groupBy("standard_id").agg(best.alias("b")).select("standard_id", "b.alignment_score", "b.alignment_source", "b.chunk_id", "b.part")
 
 
+def ids_with_prefix(prefixes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `prefixes` (prefix, ...) with all rows of `ids` (standard_id, ...) that begin with it.
+
+    An interval join: ids are sorted into ranges, a prefix meets the ranges that overlap [prefix, next prefix), and the join
+    is on the number of the range, so no key holds more ids than a range. The ends of the ranges, one pair for each
+    partition of the sort, are one row that goes to every task.
+    """
+    laid = stored(ids.where("standard_id is not null").repartitionByRange("standard_id").withColumn("range", F.spark_partition_id()))
+    ends = laid.groupBy("range").agg(F.min("standard_id").alias("low"), F.max("standard_id").alias("high"))
+    ends = ends.agg(F.collect_list(F.struct("range", "low", "high")).alias("ends"))
+    p = F.col("prefix")
+    over = F.filter("ends", lambda e: (e["high"] >= p) & ((e["low"] <= p) | e["low"].startswith(p)))
+    asked = prefixes.where("prefix is not null").crossJoin(F.broadcast(ends)).withColumn("range", F.explode(F.transform(over, lambda e: e["range"]))).drop("ends")
+    return asked.join(laid, "range").where(F.col("standard_id").startswith(p)).drop("range")
+
+
 def expand_clusters(questions: DataFrame, standards: DataFrame) -> DataFrame:
     """(question_id, standard_id, standard_text) of the cluster of every question; a question that no standard is equal to
     takes the standards that begin with it, without one capital letter at its end. Questions that match nothing have no row."""
@@ -24,11 +41,8 @@ def expand_clusters(questions: DataFrame, standards: DataFrame) -> DataFrame:
     s = standards.select("system", F.col("standard_id"), "standard_text", "domain", "cluster")
     exact = q.join(s.select("system", F.col("standard_id").alias("asked"), "domain", "cluster"), ["system", "asked"])
     whole = exact.join(s, ["system", "domain", "cluster"]).select("question_id", "standard_id", "standard_text")
-    other = q.join(exact.select("question_id"), "question_id", "left_anti").withColumn("prefix", F.regexp_replace("asked", r"\.[A-Z]$", ""))
-    # a prefix may end inside a component: the components before its last one are equal, and the join is on those
-    head = F.regexp_extract(F.col("prefix"), r"^(.*)\.[^.]*$", 1)
-    p = s.withColumn("head", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.expr("transform(sequence(1, size(split(standard_id, '[.]'))), i -> array_join(slice(split(standard_id, '[.]'), 1, i), '.'))")))))
-    begin = other.withColumn("head", head).join(p, ["system", "head"]).where(F.col("standard_id").startswith(F.col("prefix")))
+    other = q.join(exact.select("question_id"), "question_id", "left_anti").select("question_id", F.col("system").alias("of"), F.regexp_replace("asked", r"\.[A-Z]$", "").alias("prefix"))
+    begin = ids_with_prefix(other, s.select("system", "standard_id", "standard_text")).where(F.col("of") == F.col("system"))
     return whole.unionByName(begin.select("question_id", "standard_id", "standard_text"))
 
 
@@ -53,8 +67,6 @@ def coverage_report(questions: DataFrame, standards: DataFrame, alignments: Data
 
 def coverage_without_catalogue(prefixes: DataFrame, alignments: DataFrame) -> DataFrame:
     """(question_id, standard_id) of aligned standards that begin with a question's prefix, where there is no catalogue."""
-    ids = alignments.where("stale = 0").select("standard_id").distinct()
-    p = prefixes.select("question_id", F.regexp_replace("standard_id", r"\.+$", "").alias("prefix")).withColumn("head", F.regexp_extract("prefix", r"^(.*)\.[^.]*$", 1))
-    heads = ids.withColumn("head", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.expr("transform(sequence(1, size(split(standard_id, '[.]'))), i -> array_join(slice(split(standard_id, '[.]'), 1, i), '.'))")))))
-    hit = p.join(heads, "head").where(F.col("standard_id").startswith(F.col("prefix")))
+    p = prefixes.select("question_id", F.regexp_replace("standard_id", r"\.+$", "").alias("prefix"))
+    hit = ids_with_prefix(p, alignments.where("stale = 0").select("standard_id").distinct())
     return hit.select("question_id", "standard_id", F.lit("unavailable_without_catalogue").alias("gap_detection"))

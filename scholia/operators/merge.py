@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.standards import tier_rank
 from scholia.sources.columns import item_id
+from scholia.sources.corpus import stored
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, key: list[str], *, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -159,22 +160,27 @@ def split_counts(split: DataFrame) -> DataFrame:
 
 
 def integrity(chunks: DataFrame, alignments: DataFrame, standards: DataFrame, types: tuple[str, ...], tiers: tuple[str, ...]) -> DataFrame:
-    """(check, violations) of keys, references, vocabularies and ranges."""
-
-    def one(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
-
-    dup = lambda df, *k: df.groupBy(*k).agg(F.count("*").alias("n")).where("n > 1")
-    parts = [
-        one("duplicate chunk", dup(chunks, "part", "chunk_id")), one("duplicate alignment", dup(alignments, "chunk_id", "standard_id")),
-        one("alignment without chunk", alignments.join(chunks.select("chunk_id"), "chunk_id", "left_anti")), one("alignment without standard", alignments.join(standards.select("standard_id"), "standard_id", "left_anti")),
-        one("content type", chunks.where(~F.coalesce(F.col("content_type").isin(*types), F.lit(False)))), one("tier", alignments.where(~F.coalesce(F.col("alignment_source").isin(*tiers), F.lit(False)))),
-        one("score", alignments.where(~F.coalesce(F.col("alignment_score").between(0, 1), F.lit(False)))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(check, violations) of keys, references, vocabularies and ranges.
+
+    Chunks and alignments are read once, into one narrow stored table of (chunk, part) and (chunk, standard) with what is
+    wrong with their rows; the checks of keys and references are sums over that.
+    """
+    wrong = lambda ok: F.when(F.coalesce(ok, F.lit(False)), 0).otherwise(1)
+    none = F.lit(0)
+    c = chunks.select(F.lit(True).alias("is_chunk"), "chunk_id", F.col("part").alias("of"), wrong(F.col("content_type").isin(*types)).alias("bad_type"), none.alias("bad_tier"), none.alias("bad_score"))
+    a = alignments.select(F.lit(False).alias("is_chunk"), "chunk_id", F.col("standard_id").alias("of"), none.alias("bad_type"), wrong(F.col("alignment_source").isin(*tiers)).alias("bad_tier"), wrong(F.col("alignment_score").between(0, 1)).alias("bad_score"))
+    keys = stored(c.unionByName(a).groupBy("is_chunk", "chunk_id", "of").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in ("bad_type", "bad_tier", "bad_score"))))
+    n, is_chunk = F.col("n"), F.col("is_chunk")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    own = keys.agg(F.count_if(is_chunk & (n > 1)).alias("dup_c"), F.count_if(~is_chunk & (n > 1)).alias("dup_a"), *(total(x).alias(x) for x in ("bad_type", "bad_tier", "bad_score")))
+    by_chunk = keys.groupBy("chunk_id").agg(F.max("is_chunk").alias("known"), F.sum(F.when(~is_chunk, n)).alias("n"))
+    by_chunk = by_chunk.agg(total(F.when(~F.col("known") | F.col("chunk_id").isNull(), n)).alias("no_chunk"))
+    by_standard = keys.where(~is_chunk).groupBy(F.col("of").alias("standard_id")).agg(F.sum("n").alias("n"))
+    by_standard = by_standard.join(standards.select("standard_id"), "standard_id", "left_anti").agg(total("n").alias("no_standard"))
+    named = {"duplicate chunk": "dup_c", "duplicate alignment": "dup_a", "alignment without chunk": "no_chunk", "alignment without standard": "no_standard", "content type": "bad_type", "tier": "bad_tier", "score": "bad_score"}
+    # three rows of sums side by side
+    out = own.crossJoin(by_chunk).crossJoin(by_standard)
+    return out.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(v).cast("long").alias("violations")) for k, v in named.items()])))
 
 
 def changes_by_hash(old: DataFrame, new: DataFrame) -> DataFrame:

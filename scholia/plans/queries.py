@@ -268,6 +268,19 @@ def a3_by_tier(s: SparkSession, d: str) -> DataFrame:
     return audit.by_tier(view(s, d, "fx_alignments"))
 
 
+def _report(name: str, rows: str, chunk: str) -> str:
+    return f"""SELECT '{name}' report, {name} AS value, count(DISTINCT {chunk}) chunks, count(DISTINCT standard_id) standards, count(standard_id) alignments, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score,
+min(alignment_score) min_score, max(alignment_score) max_score, count(*) FILTER (alignment_score >= 0.8e0) strong, {_TIERS}, round(1e2 * count(*) FILTER (alignment_score >= 0.8e0) / count(*), 2) strong_percent FROM {rows} GROUP BY {name}"""
+
+
+_LIVE = "(SELECT * FROM fx_chunks WHERE stale = 0) c LEFT JOIN (SELECT * FROM fx_alignments WHERE stale = 0) a ON a.chunk_id = c.chunk_id"
+
+
+@query(" UNION ALL ".join([_report("grade_band", _LIVE, "c.chunk_id"), _report("source_id", _LIVE, "c.chunk_id"), _report("alignment_source", "(SELECT * FROM fx_alignments WHERE stale = 0) a", "a.chunk_id")]))
+def a1_a2_a3_a11_reports(s: SparkSession, d: str) -> DataFrame:
+    return audit.quality_reports(view(s, d, "fx_chunks"), view(s, d, "fx_alignments"))
+
+
 @query("""SELECT standard_id, chunks, avg_score, tiers, standard_text FROM (SELECT standard_id, count(DISTINCT chunk_id) chunks, CAST(sum(CAST(round(alignment_score * 1e6) AS BIGINT)) AS DOUBLE) / count(alignment_score) / 1e6 avg_score, string_agg(DISTINCT alignment_source, ',' ORDER BY alignment_source) tiers FROM fx_alignments WHERE stale = 0 GROUP BY standard_id ORDER BY chunks DESC, standard_id LIMIT 20) LEFT JOIN fx_standards USING (standard_id)""")
 def a4_top_standards(s: SparkSession, d: str) -> DataFrame:
     return audit.top_standards(view(s, d, "fx_alignments"), view(s, d, "fx_standards"))

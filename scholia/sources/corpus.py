@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,21 +110,29 @@ def read_table(spark: SparkSession, table: str, *, jdbc: dict[str, str] | None =
 def decode_vectors(blobs: Column) -> Column:
     """Little-endian float32 bytes as array<float>; bytes of another length are null."""
 
-    @F.pandas_udf("array<float>")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) % 4 == 0 else None)
+    @F.arrow_udf("array<float>")
+    def decode(x: pa.Array) -> pa.Array:
+        # whole batches: the values are the bytes as they lie there
+        lengths = pc.fill_null(pc.binary_length(x), 0).to_numpy()
+        good = (lengths % 4 == 0) & pc.is_valid(x).to_numpy(zero_copy_only=False)
+        kept = pc.if_else(pa.array(good), x, pa.scalar(b"", x.type))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.scalar(b"", x.type))[0].as_py()
+        ends = np.cumsum(np.where(good, lengths // 4, 0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(joined, "<f4")), mask=pa.array(~good))
 
     return decode(blobs)
 
 
 def encode_vectors(vectors: Column) -> Column:
-    @F.pandas_udf("binary")
-    def encode(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: np.asarray(v, "<f4").tobytes() if v is not None else None)
+    @F.arrow_udf("binary")
+    def encode(x: pa.Array) -> pa.Array:
+        values = x.flatten().cast(pa.float32())
+        lengths = pc.fill_null(pc.list_value_length(x), 0).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(lengths))) * 4
+        data = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        valid = pc.is_valid(x)
+        null = None if valid.true_count == len(x) else pa.array(valid.to_numpy(zero_copy_only=False)).buffers()[1]
+        return pa.Array.from_buffers(pa.binary(), len(x), [null, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
     return encode(vectors)
 
-
-def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str):
-    """Starts a job that gives every micro-batch of arriving records to a merge."""
-    return stream.writeStream.foreachBatch(lambda batch, _: merge(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
