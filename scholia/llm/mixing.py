@@ -8,9 +8,14 @@ most) goes into blocks of the next level, until one block of a source is left, w
 documents land on the choice whose words come nearest to the target. A source of few blocks keeps a few documents out of
 the flight for that, and each source lands in its own last block, whatever the size of others.
 
+Blocks are dealt by a hash of all that tells rows apart (doc_id, source, size, 128 bits of the text, carried columns) and of
+a number that equal rows get one after the other, so neither rows without doc_id nor any number of equal rows share a
+block, and reruns agree whatever the order of the rows.
+
 Defined results: a null or empty text has size 0 and is taken 0 times or more without changing any total; a null source
-is a source of its own, after all others; repeated rows are documents of their own; an empty table gives no rows; more
-columns of the input are carried along unless they clash with a result column, which then has the result.
+is a source of its own, after all others; repeated rows are documents of their own, alike but for how often they are taken;
+a very long text is one document, counted whole, and comes with no more than its size into a block; an empty table gives no
+rows; columns of the input that `carry` doesn't name are ignored.
 """
 
 from __future__ import annotations
@@ -107,6 +112,27 @@ def land(prob: np.ndarray, landed: np.ndarray, size: np.ndarray, most: int = LAN
         words, docs = prob @ size - p[rest] @ size[rest], prob.sum() - p[rest].sum()
         choice = np.array(list(itertools.product((0, 1), repeat=len(some))))
         p[some] = choice[np.lexsort((np.abs(choice.sum(1) - docs), np.abs(choice @ size[some] - words)))[0]]
+        p = _nearer(p, np.flatnonzero((prob > 0) & (prob < 1)), size.astype(float), float(prob @ size))
+    return p
+
+
+def _nearer(p: np.ndarray, may: np.ndarray, size: np.ndarray, words: float) -> np.ndarray:
+    """Turns over one or two of the documents `may` at a time as long as that brings the words nearer, by half a word at least:
+    where few are taken, no choice among a dozen need be near."""
+    for _ in range(len(may)):
+        miss = words - p @ size
+        gain = (1 - 2 * p[may]) * size[may]
+        order = np.argsort(gain, kind="stable")
+        g = gain[order]
+        at = np.clip(np.searchsorted(g, miss - g), 1, len(g) - 1) if len(g) > 1 else np.zeros(len(g), int)
+        best = (abs(miss) - 0.5, ())
+        for i in range(len(g)):
+            ways = [(abs(miss - g[i]), (order[i],))] + [(abs(miss - g[i] - g[j]), (order[i], order[j])) for j in (at[i] - 1, at[i]) if j != i and len(g) > 1]
+            best = min(best, *ways, key=lambda w: w[0])
+        if not best[1]:
+            break
+        for i in best[1]:
+            p[may[i]] = 1 - p[may[i]]
     return p
 
 
@@ -123,6 +149,26 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
+#: Equal rows that a task numbers at once.
+EQUAL_ROWS = 1 << 16
+
+
+def numbered(docs: DataFrame, store: Stored, carry: tuple[str, ...] = (), *, seed: int = 7, equal_rows: int = EQUAL_ROWS) -> DataFrame:
+    """doc_id, source, size, `carry` and `h` of every row: h is a hash of 64 bits that tells rows apart, equal ones too.
+
+    Equal rows are counted before they are shuffled, and a large count is dealt to many tasks before it becomes rows again.
+    """
+    key = ["doc_id", "source", *carry, "size", "ta", "tb"]
+    rows = docs.select("doc_id", "source", *carry, word_count("text").alias("size"), F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(seed), "text").alias("tb"))
+    counted = rows.groupBy(*key).agg(F.count("*").alias("rows"))
+    single = counted.where("rows = 1").withColumn("copy", F.lit(0).cast("long")).drop("rows")
+    many = counted.where("rows > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / equal_rows))))
+    many = many.repartition(F.xxhash64(*key, "part")).withColumn("first", F.col("part") * equal_rows)
+    many = many.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + equal_rows, "rows") - 1))).drop("rows", "part", "first")
+    out = store.keep(single.unionByName(many))
+    return out.select("doc_id", "source", *carry, "size", F.xxhash64(F.lit(seed), *key, "copy").alias("h"))
+
+
 def mix_sources(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST_REPEATS, seed: int = 7, block_rows: int = BLOCK_ROWS, max_sources: int = MAX_SOURCES, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (words) and copies of every row of `docs` (doc_id, text, source), and the columns in `carry`.
 
@@ -131,8 +177,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST_REPEATS,
     """
     spark = docs.sparkSession
     store = Stored(spark)
-    base = docs.select("doc_id", "source", *carry, word_count("text").alias("size"))
-    base = base if carry else store.keep(base)
+    base = numbered(docs, store, carry, seed=seed)
     totals = base.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -143,7 +188,6 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, most: float = MOST_REPEATS,
     )
     table = F.broadcast(table) if len(totals) <= 10_000 else table
     b = base.join(table, F.col("source").eqNullSafe(F.col("k"))).drop("k")
-    b = b.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
     decided = []
     level = b.withColumn("p", F.col("part")).drop("part")
     blocks = max([-(-r["n"] // block_rows) for r in totals], default=0)

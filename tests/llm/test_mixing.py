@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from scholia.llm.mixing import flight, land, mix_sources, targets
+from scholia.llm.mixing import flight, land, mix_sources, numbered, targets
+from scholia.llm.store import Stored
 
 
 def test_targets_are_shares_with_stops():
@@ -54,3 +55,36 @@ def test_small_sources_land_with_others_beside_a_large_one(spark):
         miss[s] = miss.get(s, -g["target"]) + g["taken"]
     assert all(abs(x) <= 10 for s, x in miss.items() if s != "z"), miss
     assert abs(miss["z"]) <= 30
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flight_and_landing_equal_enumeration(seed):
+    """Of all choices for a block's documents the landing takes the one whose words, then number, come nearest."""
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 10))
+    size, p = r.integers(0, 300, n), r.random(n)
+    got = land(p, flight(p, size), size)
+    choices = [np.array([k >> i & 1 for i in range(n)]) for k in range(1 << n)]
+    miss = lambda c: (round(abs(float(c @ size - p @ size)), 6), round(abs(float(c.sum() - p.sum())), 6))
+    if ((q := flight(p, size)) % 1 > 0).any():
+        assert miss(got) == min(map(miss, choices))
+    else:
+        assert (got == q).all()
+
+
+def test_equal_rows_and_rows_without_id_share_no_block(spark, tmp_path):
+    text = "five words are in here"
+    df = spark.range(100_000).selectExpr("cast(null as long) doc_id", f"'{text}' text", "'a' source").unionByName(spark.range(5000).selectExpr("id doc_id", "concat('w ', id) text", "'b' source"))
+    rows = numbered(df, Stored(spark), equal_rows=1000)
+    assert rows.count() == 105_000 == rows.select("h").distinct().count()
+    block = rows.where("source = 'a'").selectExpr("pmod(xxhash64(h, 98L), 98L) b").groupBy("b").count().agg({"count": "max"}).first()[0]
+    assert block < 1400  # 100,000 equal rows in 98 blocks
+    got = mix_sources(df, block_rows=1024, weights=(1, 1)).groupBy("source_size", "target").sum("taken", "size").collect()
+    assert all(abs(g["sum(taken)"] - g["target"]) <= 10 and g["sum(size)"] == g["source_size"] for g in got) and len(got) == 2
+
+
+def test_ties_in_id_and_size_have_one_mix(spark):
+    rows = [(1, f"{'abcdefghij'[i % 10]} x y", "ab"[i % 2], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    key = lambda d: sorted((r["row"], r["copies"]) for r in mix_sources(d, carry=("row",), block_rows=50).collect())
+    assert key(df) == key(df.orderBy("row", ascending=False).repartition(6))
