@@ -165,13 +165,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
         g = member.where(f"m > {before}").join(groups.selectExpr("id as node", "component"), "node", "left").withColumn("g", F.coalesce("component", "node"))
         g = store.keep(g.drop("component"))
         parts = g.groupBy("t", "g").agg(F.count("*").alias("m"))
-        parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        split = g.join(parts.select("t", "main"), "t").withColumn("blocks", F.expr(f"1 + least(m, {met}) div {block_rows}"))
-        few = split.where("g <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "blocks")
-        some = split.where(f"m <= {met} or pmod(xxhash64(node, 1), m) < {met}").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("in_main", F.expr("g = main"))
-        x, y = few.alias("x"), some.drop("main", "blocks", "m").alias("y")
+        parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count("*").alias("groups"), (F.sum("m") - F.max("m")).alias("others")).where("groups > 1")
+        # both sides are dealt into blocks, so a task has a bounded number of either
+        split = g.join(parts.select("t", "main", "others"), "t").withColumn("own", F.expr(f"1 + others div {block_rows}")).withColumn("blocks", F.expr(f"1 + least(m, {met}) div {block_rows}"))
+        few = split.where("g <> main").withColumn("bx", F.expr("pmod(xxhash64(node, 2), own)")).withColumn("by", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "others", "own", "blocks")
+        some = split.where(f"m <= {met} or pmod(xxhash64(node, 1), m) < {met}").withColumn("by", F.expr("pmod(xxhash64(node), blocks)")).withColumn("bx", F.explode(F.expr("sequence(0L, own - 1)"))).withColumn("in_main", F.expr("g = main"))
+        x, y = few.alias("x"), some.drop("main", "others", "own", "blocks", "m").alias("y")
         # where all members are in the round, once is enough for two that are both outside of the largest group
-        meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.g") != F.col("y.g")) & F.expr(f"y.in_main or x.m > {met} or x.node < y.node")
+        meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by")) & (F.col("x.g") != F.col("y.g")) & F.expr(f"y.in_main or x.m > {met} or x.node < y.node")
         late = x.join(y, meet & _can_link("x.n", "y.n", "x.", "y.", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         links = confirmed(estimated(late))
         store.drop(g)
