@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe svg head title select textarea".split())
+#: What holds no text of a page: programs, styles, what is not shown and fields of forms. noscript is what is around it.
+SKIPPED = frozenset("script style template iframe svg head title select textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -109,7 +110,7 @@ class Blocks(HTMLParser):
         if tag == "body":
             while self.open["head"]:
                 self.pop_to("head")
-        if tag in BLOCK:
+        if tag in BLOCK and not self.skip:
             self.flush()
             if self.open["p"] and tag not in _NO_P:
                 self.pop_to("p")
@@ -139,7 +140,7 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and not self.skip:
             self.flush()
         if self.open[tag] > 0:
             self.pop_to(tag)

@@ -36,6 +36,12 @@ def test_blocks_close_what_is_left_open():
     assert len(blocks("<div>" * 20_000 + "deep")) == 1
 
 
+def test_fields_of_forms_split_no_paragraph_and_noscript_is_text():
+    page = "<article><h1>A head line</h1><p>Choose <select><option>one<option>two</select> of the words in this sentence here.</p><noscript><p>Said without a script, in the article, for all readers.</p></noscript><p>And the end of it all, with some more words.</p><template><p>never shown</p></template></article>"
+    want = ["A head line", "Choose of the words in this sentence here.", "Said without a script, in the article, for all readers.", "And the end of it all, with some more words."]
+    assert [b[0] for b in blocks(page)] == want and main_text(page, field()).split("\n\n") == want
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (3, "u", "<article>" + "<p>Long text of many words, all the same.</p>" * 5000, "x")], "page_id long, url string, html string, text string")
     got = extract_text(df).collect()
