@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +85,9 @@ def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table,
     """(left_id, right_id, score) of the k best right rows of each left row (id, vector, ...): cosine less `penalty`; with `by`,
     of each value that this column of the right side has.
 
-    Both sides are dealt into blocks by a hash, every pair of blocks is one group, and k of each row are kept in each and
-    merged by a window; only counts come to the driver. Vectors of different lengths are not compared."""
+    A side of one block at most (counted first: `block` rows and `most` bytes) goes to every task as it is, and the other side
+    stays where it lies. Else both are dealt into blocks by a hash, every pair of blocks is one group, and only counts come
+    to the driver. k of each row are kept in each task and merged by a window. Vectors of different lengths are not compared."""
     count = lambda df: df.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     n, m = count(left), count(right)
     rows = max(1, min(block, most // (8 * max(n["d"] or 1, m["d"] or 1, 1))))
@@ -114,14 +116,32 @@ def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table,
             cells[by] = pa.array([b[by][0].as_py() if len(b) else None] * len(out), b.schema.field(by).type)
         return pa.table(cells)
 
-    keys = ["own", "other", "d"]
-    if by:  # the left rows meet every part
-        left, keys = left.crossJoin(F.broadcast(right.select(F.col(by).alias("part_of")).distinct())), [*keys, "part_of"]
-        right = right.withColumn("part_of", F.col(by))
     lt, rt = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    pairs = dealt(left, own, "own", other, "other").groupBy(*keys).cogroup(dealt(right, other, "other", own, "own").groupBy(*keys))
-    named = f", {by} {right.schema[by].dataType.simpleString()}" if by else ""
-    out = pairs.applyInArrow(run, f"left_id {lt}, right_id {rt}, score double{named}")
+    if by is None and min(own, other) == 1:
+        small, large, swapped = (right, left, False) if other == 1 else (left, right, True)
+        table = small.where("vector is not null").toArrow()  # one block
+        lengths = pc.list_value_length(table["vector"]).to_numpy()
+        sent = left.sparkSession.sparkContext.broadcast({int(d): table.filter(pa.array(lengths == d)) for d in set(lengths)})
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t = pa.table(batch)
+                sizes = pc.list_value_length(t["vector"]).to_numpy()
+                for d in sorted(set(sizes)):
+                    some = t.filter(pa.array(sizes == d))
+                    if int(d) in sent.value:
+                        known = sent.value[int(d)]
+                        yield from run(known, some).to_batches() if swapped else run(some, known).to_batches()
+
+        out = large.where("vector is not null").mapInArrow(meet, f"left_id {lt}, right_id {rt}, score double")
+    else:
+        keys = ["own", "other", "d"]
+        if by:  # the left rows meet every part
+            left, keys = left.crossJoin(F.broadcast(right.select(F.col(by).alias("part_of")).distinct())), [*keys, "part_of"]
+            right = right.withColumn("part_of", F.col(by))
+        pairs = dealt(left, own, "own", other, "other").groupBy(*keys).cogroup(dealt(right, other, "other", own, "own").groupBy(*keys))
+        named = f", {by} {right.schema[by].dataType.simpleString()}" if by else ""
+        out = pairs.applyInArrow(run, f"left_id {lt}, right_id {rt}, score double{named}")
     w = Window.partitionBy("left_id", *([by] if by else [])).orderBy(F.desc("score"), "right_id")
     return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 

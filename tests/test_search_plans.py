@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.standards import content_rank, tier_rank
 from scholia.operators import retrieve, search
+from scholia.operators.align import cosine_top_k
 
 
 def test_two_levels_join_few_rows_of_a_hot_standard(spark):
@@ -118,3 +119,19 @@ def test_hybrid_search_of_one_and_of_several_parts(spark):
     several = search.hybrid_search(q, d.withColumn("part", F.expr("if(part = 'a', 'core', if(part = 'b', 'ncsa', part))")), limit=3)
     first = {r["query_id"]: r for r in several.where("rank = 1").collect()}
     assert first[50]["part"] == "core" and abs(first[50]["score"] - round(1 / 61, 9)) < 1e-12
+
+
+def test_a_small_side_goes_to_the_tasks_and_gives_the_same_rows(spark):
+    r = random.Random(5)
+    vector = lambda d=6: [r.gauss(0, 1) for _ in range(d)]
+    left = spark.createDataFrame([(i, vector(6 if i % 9 else 4)) for i in range(120)] + [(900, None)], "id long, vector array<double>").repartition(3)
+    right = spark.createDataFrame([(i, vector(6 if i % 5 else 4)) for i in range(70)] + [(901, None)], "id long, vector array<double>").repartition(3)
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    dealt = rows(cosine_top_k(left, right, k=4, threshold=-2.0, block=16))
+    for a, b in ((left, right), (right, left)):
+        small = cosine_top_k(a, b, k=4, threshold=-2.0)
+        assert "MapInArrow" in small._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(small) == rows(cosine_top_k(a, b, k=4, threshold=-2.0, block=16))
+    # the larger side is not shuffled: one side alone is beyond a block
+    assert rows(cosine_top_k(left, right, k=4, threshold=-2.0, block=100)) == dealt == rows(cosine_top_k(left, right, k=4, threshold=-2.0))
+    assert rows(cosine_top_k(left, right.where("false"), k=4, threshold=-2.0)) == [] == rows(cosine_top_k(left.where("false"), right, k=4, threshold=-2.0))
