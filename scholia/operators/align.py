@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.standards import FLAG_SCORE, grade_distance
+from scholia.sources.corpus import stored
 
 TOP_K, THRESHOLD, PENALTY = 5, 0.65, 0.02
 #: Rows and bytes of vectors in a block, at most; each task compares one block of either side.
@@ -81,22 +82,70 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return unit_rows(flat.reshape(len(t), -1))
 
 
+#: Cells that vectors are dealt into at most, each around a vector of the right side.
+CELLS = 256
+
+
+def in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The rows with `cell`, the pivot that is nearest by angle, and `far`, the angle to it; -1 and null for vectors without a
+    direction or of another length."""
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        for b in batches:
+            v = b.column(b.schema.get_field_index("vector"))
+            sizes = pc.fill_null(pc.list_value_length(v), -1).to_numpy()
+            cell, far = np.full(len(b), -1, np.int32), np.full(len(b), np.nan)
+            rows = np.flatnonzero(sizes == p.shape[1])
+            if len(rows):
+                x = v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+                norm = np.sqrt((x * x).sum(1))
+                good = np.isfinite(norm) & (norm > 1e-2)
+                cos = (x[good] / norm[good, None]) @ p.T
+                cell[rows[good]] = cos.argmax(1)
+                far[rows[good]] = np.arccos(np.clip(cos.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far, mask=np.isnan(far))], names=[*b.schema.names, "cell", "far"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{kinds}, cell int, far double")
+
+
+def cell_bounds(pivots: np.ndarray, left_far: dict[int, float], right_far: dict[int, float]) -> dict[tuple[int, int], float]:
+    """For each pair of cells the highest cosine that any two of their vectors can have: the angle between them is at least
+    that of the pivots less how far either cell reaches."""
+    angle = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.empty((0, 0))
+    reach = lambda a, b: max(0.0, angle[a, b] - left_far[a] - right_far[b] - 1e-9)
+    return {(a, b): 1.0 if a < 0 or b < 0 else float(np.cos(min(np.pi, reach(a, b)))) for a in left_far for b in right_far}
+
+
+def _alike(t: pa.Table, by: str | None) -> dict[tuple[int, object], pa.Table]:
+    """The rows of a table by the length of their vectors and by `by`."""
+    sizes = pc.list_value_length(t["vector"])
+    out = {}
+    for d in pc.unique(sizes).to_pylist():
+        some = t.filter(pc.equal(sizes, d))
+        for x in pc.unique(some[by]).to_pylist() if by else [None]:
+            out[d, x] = some.filter(pc.equal(some[by], x) if x is not None else pc.is_null(some[by])) if by else some
+    return out
+
+
 def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table, pa.Table], np.ndarray | float], *, k: int, threshold: float, digits: int, block: int, most: int, by: str | None = None) -> DataFrame:
     """(left_id, right_id, score) of the k best right rows of each left row (id, vector, ...): cosine less `penalty`; with `by`,
     of each value that this column of the right side has.
 
     A side of one block at most (counted first: `block` rows and `most` bytes) goes to every task as it is, and the other side
     stays where it lies. Else both are dealt into blocks by a hash, every pair of blocks is one group, and only counts come
-    to the driver. k of each row are kept in each task and merged by a window. Vectors of different lengths are not compared."""
+    to the driver. Blocks are parts of cells, each the vectors around a pivot; pairs of cells whose angles keep all scores
+    below `threshold` are not compared. Then the cells that are nearest to each left cell are compared first, and of the rest only
+    those that can still reach the k-th score of a row. k of each row are kept in each task and merged by a window. Vectors
+    of different lengths are not compared."""
     count = lambda df: df.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     n, m = count(left), count(right)
     rows = max(1, min(block, most // (8 * max(n["d"] or 1, m["d"] or 1, 1))))
     own, other = max(1, -(-n["n"] // rows)), max(1, -(-m["n"] // rows))
 
-    def dealt(df: DataFrame, parts: int, name: str, against: int, to: str) -> DataFrame:
-        df = df.where("vector is not null").withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int"))
-        return df.withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(against - 1)))).withColumn("d", F.size("vector"))
-
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         got = [pd.DataFrame({"left_id": [], "right_id": [], "score": []})]
         if len(a) and len(b):
@@ -117,35 +166,79 @@ def _block_pairs(left: DataFrame, right: DataFrame, penalty: Callable[[pa.Table,
         return pa.table(cells)
 
     lt, rt = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    if by is None and min(own, other) == 1:
+    named = f", {by} {right.schema[by].dataType.simpleString()}" if by else ""
+    if min(own, other) == 1:
         small, large, swapped = (right, left, False) if other == 1 else (left, right, True)
-        table = small.where("vector is not null").toArrow()  # one block
-        lengths = pc.list_value_length(table["vector"]).to_numpy()
-        sent = left.sparkSession.sparkContext.broadcast({int(d): table.filter(pa.array(lengths == d)) for d in set(lengths)})
+        sent = left.sparkSession.sparkContext.broadcast(_alike(small.where("vector is not null").toArrow(), by if not swapped else None))  # one block
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                t = pa.table(batch)
-                sizes = pc.list_value_length(t["vector"]).to_numpy()
-                for d in sorted(set(sizes)):
-                    some = t.filter(pa.array(sizes == d))
-                    if int(d) in sent.value:
-                        known = sent.value[int(d)]
-                        yield from run(known, some).to_batches() if swapped else run(some, known).to_batches()
-
-        out = large.where("vector is not null").mapInArrow(meet, f"left_id {lt}, right_id {rt}, score double")
+                for (d, _), some in _alike(pa.table(batch), by if swapped else None).items():
+                    for (e, _), known in sent.value.items():
+                        if d == e:
+                            yield from run(known, some).to_batches() if swapped else run(some, known).to_batches()
+
+        out = large.where("vector is not null").mapInArrow(meet, f"left_id {lt}, right_id {rt}, score double{named}")
     else:
-        keys = ["own", "other", "d"]
-        if by:  # the left rows meet every part
-            left, keys = left.crossJoin(F.broadcast(right.select(F.col(by).alias("part_of")).distinct())), [*keys, "part_of"]
-            right = right.withColumn("part_of", F.col(by))
-        pairs = dealt(left, own, "own", other, "other").groupBy(*keys).cogroup(dealt(right, other, "other", own, "own").groupBy(*keys))
-        named = f", {by} {right.schema[by].dataType.simpleString()}" if by else ""
-        out = pairs.applyInArrow(run, f"left_id {lt}, right_id {rt}, score double{named}")
+        out = _by_cells(left, right, run, k=k, threshold=threshold, rows=rows, cells=min(CELLS, max(own, other)), by=by, kinds=f"left_id {lt}, right_id {rt}, score double{named}")
     w = Window.partitionBy("left_id", *([by] if by else [])).orderBy(F.desc("score"), "right_id")
     return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
+def _by_cells(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], *, k: int, threshold: float, rows: int, cells: int, by: str | None, kinds: str) -> DataFrame:
+    """The best pairs of cells first, then those that the k-th scores leave. Pivots, and counts and reach of each cell, come to the
+    driver: `cells` rows of each side."""
+    spark = left.sparkSession
+    some = right.where("vector is not null").orderBy(F.xxhash64("id", "vector")).limit(cells).select("vector").collect()
+    d = len(some[0]["vector"]) if some else 0
+    pivots = np.array([r["vector"] for r in some if len(r["vector"]) == d and None not in r["vector"]], float).reshape(-1, d)
+    pivots = pivots[np.isfinite(pivots).all(1) & ((pivots * pivots).sum(1) > 1e-12)]
+    pivots = unit_rows(pivots)
+    laid = []
+    for df, name in ((left, "a"), (right, "b")):
+        df = df.where("vector is not null")
+        df = in_cells(df, pivots) if len(pivots) else df.withColumn("cell", F.lit(-1)).withColumn("far", F.lit(None).cast("double"))
+        laid.append(stored(df.withColumn("d", F.size("vector"))))
+    sizes = [{r["cell"]: r for r in df.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()} for df in laid]
+    parts = [{c: max(1, -(-r["n"] // rows)) for c, r in side.items()} for side in sizes]
+    bound = cell_bounds(pivots, *({c: r["far"] for c, r in side.items()} for side in sizes))
+    open_ = {p for p, x in bound.items() if x >= threshold - 1e-6}
+
+    def compared(pairs: set[tuple[int, int]]) -> DataFrame:
+        number = [(a, b, parts[0][a], parts[1][b]) for a, b in sorted(pairs)]
+        table = lambda: F.broadcast(spark.createDataFrame(number, "ca int, cb int, na int, nb int"))  # noqa: E731  `cells` squared rows at most
+        keys = ["ca", "cb", "pa", "pb", "d"]
+        part = lambda n: F.pmod(F.xxhash64("id", "vector"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = laid[0].drop("far").join(table(), F.col("cell") == F.col("ca")).withColumn("pa", part("na")).withColumn("pb", every("nb"))
+        y = laid[1].drop("far").join(table(), F.col("cell") == F.col("cb")).withColumn("pb", part("nb")).withColumn("pa", every("na"))
+        if by:  # the left rows meet every part
+            x, keys = x.crossJoin(F.broadcast(laid[1].select(F.col(by).alias("part_of")).distinct())), [*keys, "part_of"]
+            y = y.withColumn("part_of", F.col(by))
+        x, y = x.drop("na", "nb", "cell"), y.drop("na", "nb", "cell")
+        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(run, kinds)
+
+    # for each left cell the cells of highest bound that have k rows together
+    first: set[tuple[int, int]] = set()
+    for a in sizes[0]:
+        have = 0
+        for x, b in sorted(((-x, b) for (c, b), x in bound.items() if c == a and (c, b) in open_)):
+            if have >= k:
+                break
+            first.add((a, b))
+            have += sizes[1][b]["n"]
+    found = stored(compared(first))
+    key = ["left_id", *([by] if by else [])]
+    w = Window.partitionBy(*key).orderBy(F.desc("score"), "right_id")
+    kth = found.withColumn("n", F.row_number().over(w)).where(F.col("n") == k).groupBy("left_id").agg(F.min("score").alias("kth"), F.count("*").alias("full"))
+    full = laid[1].select(F.count_distinct(by)).first()[0] if by else 1  # rows lack a bound until they have k of every part
+    least = laid[0].select(F.col("id").alias("left_id"), "cell").join(kth, "left_id", "left")
+    least = least.groupBy("cell").agg(F.min(F.when(F.col("full") == full, F.col("kth")).otherwise(-3.0)).alias("least")).collect()
+    least = {r["cell"]: r["least"] if r["least"] is not None else -3.0 for r in least}
+    rest = {(a, b) for a, b in open_ - first if bound[a, b] >= least[a] - 1e-6}
+    return found.unionByName(compared(rest)) if rest else found
+
+
 def cosine_top_k(left: DataFrame, right: DataFrame, *, k: int, threshold: float, block: int = BLOCK_ROWS, most: int = MOST_BLOCK, by: str | None = None) -> DataFrame:
     """(left_id, right_id, score) of the k right rows with the highest cosine of each left row (id, vector), from `threshold`;
     with `by`, the k of each value of that column of the right rows, which is a column of the result then."""

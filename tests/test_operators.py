@@ -157,7 +157,7 @@ def test_alignment(spark):
     assert one(spark, F.get(IO.decode_vectors(IO.encode_vectors(F.array(F.lit(0.5), F.lit(2.0)))), F.lit(1))) == 2.0
 
 
-def test_alignment_in_blocks_sends_no_vectors(spark, monkeypatch):
+def test_alignment_in_blocks_sends_one_block_or_pivots(spark, monkeypatch):
     r = np.random.default_rng(3)
     x, y = r.normal(size=(90, 6)), r.normal(size=(70, 6))
     y[40:50] = y[:10]
@@ -168,17 +168,24 @@ def test_alignment_in_blocks_sends_no_vectors(spark, monkeypatch):
     cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
     best = lambda s, k, low: {(f"c{i:02}", f"s{j:02}") for i in range(90) for j in sorted((j for j in range(70) if s[i, j] >= low), key=lambda j: (-round(s[i, j], 9), j))[:k]}
 
-    collect = type(left).collect
+    collect, to_arrow, sent = type(left).collect, type(left).toArrow, []
 
-    def counts_only(df, *_):
-        assert "vector" not in getattr(df, "columns", ["vector"]), "vectors must not go through the driver"
-        return collect(df)
+    def pivots_only(df):
+        out = collect(df)
+        assert "vector" not in df.columns or len(out) <= -(-90 // sent[-1]) <= align.CELLS
+        return out
 
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counts_only)
-    monkeypatch.setattr(type(left), "collect", counts_only)
+    def a_block_only(df):
+        out = to_arrow(df)
+        assert "vector" not in out.column_names or len(out) <= sent[-1]
+        return out
+
+    monkeypatch.setattr(type(left), "toArrow", a_block_only)
+    monkeypatch.setattr(type(left), "collect", pivots_only)
     rows = lambda df: df.toPandas().itertuples(index=False, name=None)
     ids = lambda df: df.selectExpr(f"{df.columns[0]} id", "vector")
-    for block in (4096, 16):
+    for block in (4096, 75, 16):
+        sent.append(block)
         assert {(a, b) for a, b, _ in rows(align.cosine_top_k(ids(left), ids(sv), k=4, threshold=0.3, block=block))} == best(cos, 4, 0.3)
         assert {(a, b) for a, b, *_ in rows(align.align(chunks, left, st, sv, k=4, threshold=0.3, block=block))} == best(cos - 0.04, 4, 0.3)
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from scholia.functions.standards import content_rank, tier_rank
-from scholia.operators import retrieve, search
+from scholia.operators import align, retrieve, search
 from scholia.operators.align import cosine_top_k
 
 
@@ -135,3 +135,27 @@ def test_a_small_side_goes_to_the_tasks_and_gives_the_same_rows(spark):
     # the larger side is not shuffled: one side alone is beyond a block
     assert rows(cosine_top_k(left, right, k=4, threshold=-2.0, block=100)) == dealt == rows(cosine_top_k(left, right, k=4, threshold=-2.0))
     assert rows(cosine_top_k(left, right.where("false"), k=4, threshold=-2.0)) == [] == rows(cosine_top_k(left.where("false"), right, k=4, threshold=-2.0))
+
+
+def test_cells_that_cannot_reach_a_score_are_not_compared(spark, monkeypatch):
+    r = random.Random(6)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    near = lambda c: [x + r.gauss(0, 0.03) for x in c]
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    left = spark.createDataFrame([(i, near(centres[i % 12])) for i in range(360)] + [(1000, [0.0] * 16), (1001, [1.0] * 5)], "id long, vector array<double>")
+    right = spark.createDataFrame([(i, near(centres[i % 12]), "ab"[i // 12 % 2]) for i in range(480)] + [(2000, [0.0] * 16, "a"), (2001, [2.0] * 5, "a")], "id long, vector array<double>, part string")
+    shares = []
+    bounds = align.cell_bounds
+
+    def seen(*args):
+        found = bounds(*args)
+        shares.append(sum(x < 0.6 for x in found.values()) / len(found))
+        return found
+
+    monkeypatch.setattr(align, "cell_bounds", seen)
+    for k, threshold in ((3, 0.6), (5, -2.0)):
+        assert rows(cosine_top_k(left, right, k=k, threshold=threshold, block=20)) == rows(cosine_top_k(left, right, k=k, threshold=threshold))
+    assert min(shares) > 0.4  # of the pairs of cells so many are out of reach of 0.6
+    assert rows(cosine_top_k(left, right, k=4, threshold=-2.0, block=20, by="part")) == rows(cosine_top_k(left, right, k=4, threshold=-2.0, by="part"))
+    reach = bounds(align.unit_rows(align.np.array([[1.0, 0.0], [0.0, 1.0]])), {0: 0.1, 1: 0.2}, {0: 0.0, 1: 0.3, -1: None})
+    assert abs(reach[0, 1] - math.cos(math.pi / 2 - 0.4)) < 1e-6 and reach[0, 0] == 1.0 and reach[1, -1] == 1.0
