@@ -60,10 +60,11 @@ SELECT chunk_id, standard_id, standard_system, alignment_score, alignment_source
      align_id DESC, alignment_score DESC, coalesce(coverage_notes, '') DESC) AS rn
   FROM fx_alignments_raw) t WHERE rn = 1""",
     "fx_prereqs": """
-SELECT DISTINCT a.standard_id AS source_id, b.standard_id AS target_id, 'prerequisite' AS relationship
-FROM fx_standards a JOIN fx_standards b
-  ON b.std_num = CAST(floor(a.std_num / 2e0) AS BIGINT) OR b.std_num = CAST(floor(a.std_num / 3e0) AS BIGINT) OR (a.std_num = 1 AND b.std_num = 7)
-WHERE a.std_num <> b.std_num""",
+SELECT DISTINCT a.standard_id AS source_id, b.standard_id AS target_id, 'prerequisite' AS relationship FROM (
+  SELECT standard_id, std_num, CAST(floor(std_num / 2e0) AS BIGINT) AS need FROM fx_standards
+  UNION ALL SELECT standard_id, std_num, CAST(floor(std_num / 3e0) AS BIGINT) AS need FROM fx_standards
+  UNION ALL SELECT standard_id, std_num, CAST(7 AS BIGINT) AS need FROM fx_standards WHERE std_num = 1) a
+JOIN fx_standards b ON b.std_num = a.need WHERE a.std_num <> b.std_num""",
     "fx_crosswalk": """
 SELECT concat('STD.', CAST(n_regionkey AS STRING), '.', CAST(n_nationkey AS STRING)) AS standard_id,
        CASE n_nationkey % 2 WHEN 0 THEN 'SAT' ELSE 'ACT' END AS exam_series, concat('Domain ', n_name) AS skill_domain FROM nation

@@ -52,10 +52,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def load_changes(spark: SparkSession, path: str, arrivals: DataFrame, *, now: str, buckets: int = BUCKETS) -> DataFrame:
     """Upserts `arrivals` (the snapshot's columns but those that a load sets) and returns (chunk_id, change): added, updated or same.
 
-    Of arrivals with one id the one with the largest hash counts. created_at stays, stale is 0 again, new nulls win. The
+    Of arrivals with one id the one with the largest hash counts; those without an id are left out. created_at stays, stale is 0 again, new nulls win. The
     numbers of touched buckets (at most `buckets`) come to the driver, nothing else does.
     """
-    new = arrivals.drop(*SET_BY_LOAD, "content_hash").withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")), 256))
+    new = arrivals.where("chunk_id is not null").drop(*SET_BY_LOAD, "content_hash").withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")), 256))
     new = new.withColumn("row_hash", _row_hash(new, "chunk_id"))
     old = spark.read.parquet(f"{path}/chunks")
     keys = new.groupBy("chunk_id").agg(F.max("row_hash").alias("row_hash"))  # texts stay where they are
