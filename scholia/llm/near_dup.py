@@ -8,7 +8,8 @@
 3. In each list all members meet one leader of their size first; what that links is one group. Then members outside of a
    list's largest group meet a few members of other groups, are grouped anew, meet more, and at last all that are still
    in other groups, dealt into blocks of a bounded size where a list is long. A member with many links finds one among
-   few, so a group of m near copies costs about m comparisons, not m * m. A pair is let through only if its sizes and its parity signatures can reach the
+   few, so a group of m near copies costs about m comparisons, not m * m. Two texts below the
+   threshold may share many lists; where these are met whole, they meet in the first of them only. A pair is let through only if its sizes and its parity signatures can reach the
    threshold: each shingle flips one bit of 512, so signatures differ in no more bits than the sets in shingles, an exact
    bound that loses nothing.
 4. The share of the union's bottom k that both hold estimates the similarity; pairs five standard deviations below the
@@ -101,6 +102,18 @@ def _can_link(na: str, nb: str, sa: str, sb: str, percent: int) -> Column:
     return F.expr(f"least({na}, {nb}) * 100 >= {percent} * greatest({na}, {nb}) and ({apart}) * {100 + percent} <= {100 - percent} * ({na} + {nb})")
 
 
+def _meetings(few: DataFrame, some: DataFrame, met: int, can_link: Column) -> DataFrame:
+    """Pairs (a, b) of different groups that meet in a list; `pre` are the lists of a member before this one, in one order.
+
+    Lists are ordered by their length, so of those that two share, the first is met whole before or with the others: once
+    is enough. Where all members are in the round, it also is for two that are both outside of the largest group.
+    """
+    x, y = few.alias("x"), some.alias("y")
+    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by")) & (F.col("x.g") != F.col("y.g")) & F.expr(f"y.in_main or x.m > {met} or x.node < y.node")
+    first = F.expr(f"x.m > {met} or not arrays_overlap(x.pre, y.pre)")
+    return x.join(y, meet & can_link & first).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketch: int = SKETCH, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
@@ -116,13 +129,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
 
     # inverted lists of the rarest values of each sketch
     values = nodes.select("node", F.explode("sketch").alias("v"))
-    lists = values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    listed = values.join(lists, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("l"))
+    lists = store.keep(values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").withColumn("t", F.monotonically_increasing_id()))
+    listed = values.join(lists, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("l"))
     # a pair needs so many common values; all partners of a small set have all their shingles in the sketch
     needed = f"if(n * 100 <= {percent * sketch}, ceil(n * {percent} / 100), ceil(size(sketch) * {least!r}D))"
     prefix = nodes.join(listed, "node").withColumn("take", F.expr(f"int(size(l) - {needed} + 1)"))
-    keyed = prefix.where("take > 0").select("node", "n", *_SIG, F.explode(F.expr("slice(l, 1, take).v")).alias("t"))
-    keyed = store.keep(keyed.withColumn("band", F.expr(f"int(floor(ln(n) / ln(100 / {percent})))")))
+    prefix = store.keep(prefix.where("take > 0").select("node", "n", *_SIG, F.expr("slice(l, 1, take).t").alias("ts")))
+    store.drop(lists)
+    keyed = prefix.select("node", "n", *_SIG, F.posexplode("ts").alias("at", "t")).withColumn("band", F.expr(f"int(floor(ln(n) / ln(100 / {percent})))"))
 
     estimate = F.expr(f"size(array_intersect(slice(array_sort(array_union(sa, sb)), 1, {sketch}), array_intersect(sa, sb))) / least({sketch}, size(array_union(sa, sb)))")
 
@@ -156,8 +170,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
 
     sizes = store.keep(keyed.groupBy("t").agg(F.count("*").alias("m")).where("m > 1"))
     longest = sizes.agg(F.max("m")).first()[0] or 0
-    member = store.keep(keyed.drop("band").join(sizes, "t"))
-    store.drop(keyed, sizes)
+    # rows of lists stay narrow; signatures and lists before this one come to those that meet
+    member = store.keep(keyed.select("node", "at", "t").join(sizes, "t"))
+    store.drop(sizes)
     met = 0
     while met < longest:
         before, met = met, met * ROUND_GROWTH or ROUND_ROWS
@@ -168,12 +183,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
         parts = parts.groupBy("t").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.count("*").alias("groups"), (F.sum("m") - F.max("m")).alias("others")).where("groups > 1")
         # both sides are dealt into blocks, so a task has a bounded number of either
         split = g.join(parts.select("t", "main", "others"), "t").withColumn("own", F.expr(f"1 + others div {block_rows}")).withColumn("blocks", F.expr(f"1 + least(m, {met}) div {block_rows}"))
-        few = split.where("g <> main").withColumn("bx", F.expr("pmod(xxhash64(node, 2), own)")).withColumn("by", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("main", "others", "own", "blocks")
-        some = split.where(f"m <= {met} or pmod(xxhash64(node, 1), m) < {met}").withColumn("by", F.expr("pmod(xxhash64(node), blocks)")).withColumn("bx", F.explode(F.expr("sequence(0L, own - 1)"))).withColumn("in_main", F.expr("g = main"))
-        x, y = few.alias("x"), some.drop("main", "others", "own", "blocks", "m").alias("y")
-        # where all members are in the round, once is enough for two that are both outside of the largest group
-        meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by")) & (F.col("x.g") != F.col("y.g")) & F.expr(f"y.in_main or x.m > {met} or x.node < y.node")
-        late = x.join(y, meet & _can_link("x.n", "y.n", "x.", "y.", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        own = prefix.select("node", "n", *_SIG, "ts")
+        few = split.where("g <> main").select("t", "node", "at", "g", "m", "own", "blocks").join(own, "node").withColumn("pre", F.expr("slice(ts, 1, at)")).drop("ts", "at")
+        few = few.withColumn("bx", F.expr("pmod(xxhash64(node, 2), own)")).withColumn("by", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("own", "blocks")
+        some = split.where(f"m <= {met} or pmod(xxhash64(node, 1), m) < {met}").selectExpr("t", "node", "at", "g", "g = main as in_main", "own", "blocks").join(own, "node").withColumn("pre", F.expr("slice(ts, 1, at)")).drop("ts", "at")
+        some = some.withColumn("by", F.expr("pmod(xxhash64(node), blocks)")).withColumn("bx", F.explode(F.expr("sequence(0L, own - 1)"))).drop("own", "blocks")
+        late = _meetings(few, some, met, _can_link("x.n", "y.n", "x.", "y.", percent)).distinct()
         links = confirmed(estimated(late))
         store.drop(g)
         if links.take(1):
@@ -190,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     named = store.keep(nodes.select("key", "rep", "node").join(groups.selectExpr("id as node", "component"), "node", "left"))
     names = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("name"))
     known = store.keep(named.join(names, "component", "left").selectExpr("key", "coalesce(name, rep) component_id"))
-    store.drop(nodes, member, several, named)
+    store.drop(nodes, prefix, member, several, named)
     full = rows.where("key is not null").join(known, "key", "left").select("doc_id", "n", "component_id")
     out = full.unionByName(rows.where("key is null").selectExpr("doc_id", "n", "doc_id as component_id"))
     return out.selectExpr("doc_id", "n as n_shingles", "component_id", "coalesce(doc_id = component_id, component_id is null) as kept")

@@ -2,9 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm.components import connected_components
-from scholia.llm.near_dup import near_duplicates
+from scholia.llm.near_dup import _meetings, near_duplicates
 from scholia.llm.store import Stored
 
 DDL = "doc_id long, text string, n long, key string, sketch string"
@@ -86,6 +87,16 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute(rows, 5, 80)
 
 
+def test_two_that_share_many_lists_meet_once(spark):
+    r = random.Random(3)
+    lists = {node: sorted(r.sample(range(30), 12)) for node in range(40)}
+    rows = [(t, node, node % 4, 40, node % 4 == 0, 0, 0, ts[:at]) for node, ts in lists.items() for at, t in enumerate(ts)]
+    some = spark.createDataFrame(rows, "t long, node long, g long, m long, in_main boolean, bx long, by long, pre array<long>")
+    got = [(x["a"], x["b"]) for x in _meetings(some.where("not in_main").drop("in_main"), some.drop("m"), 40, F.lit(True)).collect()]
+    want = {(a, b) for a in lists for b in lists if a < b and a % 4 != b % 4 and set(lists[a]) & set(lists[b])}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_components_of_paths_and_cliques(spark):
     links = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + j) for i in range(5) for j in range(i)] + [(7, 7), (None, 3), (200, 201)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(5), Stored(spark)).collect()}
