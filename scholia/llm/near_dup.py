@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ ROUND_ROWS, ROUND_GROWTH = 32, 16
 BLOCK_ROWS = 1024
 #: Ids (of 32 bytes) that may be sent to every task to find their texts; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
+#: Passes over a table that are made before it is shuffled instead.
+MOST_PASSES = 4
 
 _SIG = [f"s{i}" for i in range(SIGNATURE)]
 
@@ -114,6 +117,23 @@ def _meetings(few: DataFrame, some: DataFrame, met: int, can_link: Column) -> Da
     return x.join(y, meet & can_link & first).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Each end (node) of pairs (a, b) once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _rows_of(table: DataFrame, ids: DataFrame, name: str, most: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """The rows of a wide table whose id is among the different `ids`. Only what is wanted of the table is shuffled later:
+    the ids go to every task, in several passes over the table where they are many, unless these would be very many."""
+    count = ids.count()
+    parts = max(1, -(-count // most))
+    if parts > MOST_PASSES:
+        return table.join(ids, name, "left_semi")
+    part = F.pmod(F.xxhash64(name), F.lit(parts))
+    passes = [table.where(part == i).join(F.broadcast(ids.where(part == i)), name, "left_semi") for i in range(parts)]
+    return reduce(DataFrame.unionByName, passes)
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketch: int = SKETCH, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
@@ -125,15 +145,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
     sig = ", ".join(f"{x} long" for x in _SIG)
     rows = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(width, sketch), f"doc_id long, n long, key binary, sketch array<long>, {sig}"))
     nodes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "sketch", *_SIG)).alias("x"))
-    nodes = store.keep(nodes.select("key", "rep", "x.*", F.monotonically_increasing_id().alias("node")))
+    nodes = store.keep(nodes.select("key", "rep", "x.*", F.monotonically_increasing_id().alias("node"), F.size("x.sketch").alias("held")))
 
     # inverted lists of the rarest values of each sketch
     values = nodes.select("node", F.explode("sketch").alias("v"))
     lists = store.keep(values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").withColumn("t", F.monotonically_increasing_id()))
     listed = values.join(lists, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("l"))
     # a pair needs so many common values; all partners of a small set have all their shingles in the sketch
-    needed = f"if(n * 100 <= {percent * sketch}, ceil(n * {percent} / 100), ceil(size(sketch) * {least!r}D))"
-    prefix = nodes.join(listed, "node").withColumn("take", F.expr(f"int(size(l) - {needed} + 1)"))
+    needed = f"if(n * 100 <= {percent * sketch}, ceil(n * {percent} / 100), ceil(held * {least!r}D))"
+    prefix = nodes.select("node", "n", "held", *_SIG).join(listed, "node").withColumn("take", F.expr(f"int(size(l) - {needed} + 1)"))
     prefix = store.keep(prefix.where("take > 0").select("node", "n", *_SIG, F.expr("slice(l, 1, take).t").alias("ts")))
     store.drop(lists)
     keyed = prefix.select("node", "n", *_SIG, F.posexplode("ts").alias("at", "t")).withColumn("band", F.expr(f"int(floor(ln(n) / ln(100 / {percent})))"))
@@ -142,13 +162,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, sketc
 
     def estimated(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that the union sketch leaves."""
-        p = pairs.join(nodes.selectExpr("node as a", "sketch as sa"), "a").join(nodes.selectExpr("node as b", "sketch as sb"), "b")
-        return store.keep(p.where(estimate >= least).select("a", "b"))
+        pairs = store.keep(pairs)
+        ends = store.keep(_ends(pairs))
+        sketches = store.keep(_rows_of(nodes.select("node", "sketch"), ends, "node"))
+        p = pairs.join(sketches.selectExpr("node as a", "sketch as sa"), "a").join(sketches.selectExpr("node as b", "sketch as sb"), "b")
+        left = store.keep(p.where(estimate >= least).select("a", "b"))
+        store.drop(pairs, ends, sketches)
+        return left
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = store.keep(nodes.select("node", "key", "rep").join(ends, "node"))
+        some = store.keep(_ends(pairs))
+        ends = store.keep(_rows_of(nodes.select("node", "key", "rep"), some, "node"))
+        store.drop(some)
         count = ends.count()
         if not count:
             return pairs

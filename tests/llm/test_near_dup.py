@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.llm.components import connected_components
-from scholia.llm.near_dup import _meetings, near_duplicates
+from scholia.llm.near_dup import _meetings, _rows_of, near_duplicates
 from scholia.llm.store import Stored
 
 DDL = "doc_id long, text string, n long, key string, sketch string"
@@ -97,6 +97,15 @@ def test_two_that_share_many_lists_meet_once(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize(("most", "shuffled"), [(1000, False), (7, False), (1, True)])
+def test_a_wide_table_is_not_shuffled_for_few_ids(spark, most, shuffled):
+    table = spark.range(200).selectExpr("id as node", "array(id, id) as sketch")
+    ids = spark.range(0, 60, 3).selectExpr("id as node")
+    some = _rows_of(table, ids, "node", most)
+    assert sorted(x["node"] for x in some.collect()) == list(range(0, 60, 3))
+    assert ("strategy=broadcast" in some._jdf.queryExecution().optimizedPlan().toString()) is not shuffled
+
+
 def test_components_of_paths_and_cliques(spark):
     links = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + j) for i in range(5) for j in range(i)] + [(7, 7), (None, 3), (200, 201)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(5), Stored(spark)).collect()}
