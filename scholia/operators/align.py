@@ -16,14 +16,16 @@ from scholia.functions.standards import FLAG_SCORE, grade_distance
 from scholia.sources.corpus import stored
 
 TOP_K, THRESHOLD, PENALTY = 5, 0.65, 0.02
+#: A character that isn't white space.
+INK = r"[^ \t\n\f\r]"
 #: Rows and bytes of vectors in a block, at most; each task compares one block of either side.
 BLOCK_ROWS = 4096
 MOST_BLOCK = 16 << 20
 
 
 def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Live chunks without an embedding."""
-    return chunks.where("stale = 0").join(embeddings.select("chunk_id"), "chunk_id", "left_anti")
+    """Live chunks without an embedding; chunks without an id are ignored."""
+    return chunks.where("stale = 0 and chunk_id is not null").join(embeddings.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def embed_input(title: Column, content: Column, limit: int = 2000) -> Column:
@@ -31,24 +33,32 @@ def embed_input(title: Column, content: Column, limit: int = 2000) -> Column:
 
 
 def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], list[list[float] | None]]:
-    """A deterministic embedder for tests: signed counts of hashed words."""
+    """A deterministic embedder for tests: signed counts of hashed words. No text is without a direction: where these counts
+    cancel out it is that of the counts without signs, where there are no words the first one."""
 
     def embed(texts: list[str]) -> list[list[float] | None]:
         out = []
         for t in texts:
             v = np.zeros(dimensions)
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in t.lower().split()]
+            for h in hashes:
                 v[h % dimensions] += 1 if h >> 63 else -1
-            out.append(v.tolist() if v.any() else None)
+            if not v.any():
+                for h in hashes or [0]:
+                    v[h % dimensions] += 1
+            out.append(v.tolist())
         return out
 
     return embed
 
 
 def embed_pending(chunks: DataFrame, embeddings: DataFrame, embedder: Callable[[list[str]], list[list[float] | None]], *, model: str, batch: int = 16, tries: int = 3) -> DataFrame:
-    """Embeddings of the pending chunks by a pluggable embedder; what it fails on yields no row and stays pending."""
-    texts = pending(chunks, embeddings).select("chunk_id", embed_input(F.col("title"), F.col("content")).alias("text"))
+    """Embeddings of the pending chunks by a pluggable embedder; what it fails on yields no row and stays pending.
+
+    A chunk of white space only (title and content) has nothing to embed; one whose text begins later than the embedder's
+    input is embedded like any other."""
+    filled = F.col("title").rlike(INK) | F.col("content").rlike(INK)
+    texts = pending(chunks, embeddings).where(filled).select("chunk_id", embed_input(F.col("title"), F.col("content")).alias("text"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
