@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,14 @@ ARM = 50
 FUSE = 60
 #: Rows (query, term) that are broadcast, some 40 bytes each.
 SENT_TERMS = 200_000
+#: Different queries, and their words in all, that a pass over the corpus searches for; queries of more passes are joined by word.
+PASS_QUERIES, PASS_TERMS, PASSES = 16_384, 1_000_000, 16
+#: Chunks that a task scores at once, and postings at which it stops before.
+SHARD, POSTINGS = 4096, 500_000
+#: Queries, and pairs (query, chunk) by rare words, of one matrix product; words that one in DENSE chunks holds are in it.
+AT_ONCE, RARE, DENSE = 256, 2_000_000, 16
+#: Scores are ranked after rounding to 6 places.
+SLACK = 2e-6
 
 
 def terms(text: Column) -> Column:
@@ -85,15 +98,13 @@ def candidates(split: DataFrame, scored: DataFrame, by: tuple[str, ...] = ()) ->
     return partial.where(F.col("partial") + F.col("other") >= F.col("least") - 2e-6).select(*by, "query_id", "chunk_id", "partial")
 
 
-def keyword_hits(queries: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., query_id, chunk_id, score, rank): the best of BM25 over title and content of `corpus` (chunk_id, title, content).
+def joined_hits(q: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., query_id, chunk_id, score) of words of queries (`query_terms`), joined by word, the best and others.
 
-    Statistics are those of the whole corpus, with `by` of each of its partitions, all in one plan. Chunks come up by their
-    essential words only (`split_terms`); the other words, which are the common ones, are looked up for the chunks that
-    these leave, so a stop word doesn't pair its queries with its chunks. `allowed` restricts what may be a hit before the
-    limit. Postings and the split are stored when the plan is made. Scores are rounded to 6 places before they are ranked, so that the order of sums doesn't matter.
+    Chunks come up by their essential words only (`split_terms`); the other words, which are the common ones, are looked up
+    for the chunks that these leave, so a stop word doesn't pair its queries with its chunks. Postings and the split are
+    stored when the plan is made.
     """
-    q = query_terms(queries)
     posted, stats = postings(q, corpus, by)
     scored = weighed(posted, stats, by)
     scored = scored.join(allowed.select(*by, "chunk_id"), [*by, "chunk_id"], "left_semi") if allowed is not None else scored
@@ -102,9 +113,248 @@ def keyword_hits(queries: DataFrame, corpus: DataFrame, allowed: DataFrame | Non
     found = candidates(split, scored, by)
     rest = found.join(split.where("not essential").select(*by, "query_id", "term", "times"), [*by, "query_id"]).join(scored, [*by, "chunk_id", "term"])
     more = rest.groupBy(*by, "query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("part_score")).alias("more"))
-    whole = found.join(more, [*by, "query_id", "chunk_id"], "left").select(*by, "query_id", "chunk_id", F.round(F.col("partial") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
-    w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "chunk_id")
-    return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return found.join(more, [*by, "query_id", "chunk_id"], "left").select(*by, "query_id", "chunk_id", F.round(F.col("partial") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+
+
+def _kinds(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def numbered_postings(corpus: DataFrame, vocabulary: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., chunk_id, len, term, tf): a row of each chunk of `corpus`, with the numbers of its words in `vocabulary`, ascending."""
+    sent = corpus.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            w = b.column(b.num_columns - 1)
+            size = pc.list_value_length(w).to_numpy()
+            values = w.flatten()
+            at = pc.fill_null(pc.index_in(values, value_set=known.cast(values.type)), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(w)), size)
+            pair, tf = np.unique(row[at >= 0] * len(known) + at[at >= 0], return_counts=True)
+            edge = pa.array(np.searchsorted(pair, np.arange(len(w) + 1) * len(known)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edge, pa.array(x, pa.int32())) for x in (pair % max(1, len(known)), tf)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int32()), *lists], names=[*by, "chunk_id", "len", "term", "tf"])
+
+    words = corpus.select(*by, "chunk_id", terms(F.concat_ws(" ", "title", "content")).alias("w"))
+    return words.mapInArrow(run, f"{_kinds(corpus, *by, 'chunk_id')}, len int, term array<int>, tf array<int>")
+
+
+def merged_postings(laid: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., chunk_id, size, term, tf) of `numbered_postings`, one row of each chunk. Rows of a repeated chunk_id are one chunk,
+    and one document where they have the same length; `size` is the length that belongs to each word."""
+    keys = [*by, "chunk_id"]
+    one = laid.select(*keys, F.array_repeat("len", F.size("term")).alias("size"), "term", "tf")
+    again = laid.where("chunk_id is not null").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    if again.isEmpty():
+        return one
+    again = stored(again)
+    words = laid.join(again, keys, "left_semi").select(*keys, "len", F.explode(F.arrays_zip("term", "tf")).alias("w"))
+    words = words.groupBy(*keys, "len", "w.term").agg(F.sum("w.tf").cast("int").alias("tf")).groupBy(*keys).agg(F.collect_list(F.struct("len", "term", "tf")).alias("w"))
+    return one.join(again, keys, "left_anti").unionByName(words.select(*keys, F.col("w.len").alias("size"), "w.term", "w.tf"))
+
+
+def _document_frequencies(n_by: int):
+    """(by..., term, df) of a partition of `merged_postings`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [*b.schema.names[:n_by], "term"]
+            lists = b.column(b.schema.get_field_index("term"))
+            row = pc.list_parent_indices(lists)
+            t = pa.table([*[b.column(i).take(row) for i in range(n_by)], lists.flatten()], names=names)
+            yield from t.group_by(names).aggregate([([], "count_all")]).rename_columns([*names, "df"]).to_batches()
+
+    return run
+
+
+class _Best:
+    """The `k` best (score, name) of each of `n` queries."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.names = k, []
+        self.q, self.score, self.at = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.kth = np.full(n, -1.0)  # where there are k
+
+    def cut(self, q: np.ndarray, score: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Places of the k best of each query."""
+        at = np.lexsort((order, -score, q))
+        first = np.searchsorted(q[at], q[at])
+        return at[np.arange(len(at)) - first < self.k]
+
+    def take(self, q: np.ndarray, score: np.ndarray, doc: np.ndarray, names: list) -> None:
+        """Takes pairs of queries and documents; `names` are those of the documents, ascending."""
+        kept = self.cut(q, score, doc)
+        used, doc = np.unique(doc[kept], return_inverse=True)
+        q, score, at = np.concatenate((self.q, q[kept])), np.concatenate((self.score, score[kept])), np.concatenate((self.at, doc + len(self.names)))
+        self.names += [names[i] for i in used.tolist()]
+        used, place = np.unique(at, return_inverse=True)
+        of = [self.names[i] for i in used.tolist()]
+        rank = np.empty(len(of), np.int64)
+        rank[sorted(range(len(of)), key=of.__getitem__)] = np.arange(len(of))
+        kept = self.cut(q, score, rank[place])
+        self.q, self.score = q[kept], score[kept]
+        used, self.at = np.unique(place[kept], return_inverse=True)
+        self.names = [of[i] for i in used.tolist()]
+        last = np.flatnonzero(np.diff(np.append(self.q, -1)))  # by query, best first
+        n = np.bincount(self.q, minlength=len(self.kth))[self.q[last]]
+        self.kth[self.q[last[n == self.k]]] = self.score[last[n == self.k]]
+
+
+def _score_shard(doc: np.ndarray, term: np.ndarray, part: np.ndarray, names: list, first: np.ndarray, word: np.ndarray, times: np.ndarray, n_terms: int, best: _Best) -> None:
+    """Scores postings (doc, term, part) of documents `names` for queries, whose words lie from `first` on in `word` and `times`."""
+    width = len(names)
+    by_term = np.argsort(term, kind="stable")
+    doc, term, part = doc[by_term], term[by_term], part[by_term]
+    count = np.bincount(term, minlength=n_terms)
+    start = np.concatenate(([0], np.cumsum(count)))
+    often = np.flatnonzero(count * DENSE >= width)
+    place = np.full(n_terms, -1)
+    place[often] = np.arange(len(often))
+    dense = np.zeros((len(often), width))
+    held = place[term] >= 0
+    np.add.at(dense, (place[term[held]], doc[held]), part[held])
+    rare = np.where(place < 0, count, 0)
+    pairs = np.concatenate(([0], np.cumsum(rare[word])))[first]
+    low = 0
+    while low < len(first) - 1:
+        high = int(np.searchsorted(pairs, pairs[low] + RARE, "right")) - 1
+        high = max(low + 1, min(high, low + AT_ONCE, len(first) - 1))
+        some = slice(first[low], first[high])
+        t, n = word[some], times[some]
+        q = np.repeat(np.arange(high - low), np.diff(first[low : high + 1]))
+        w = np.zeros((high - low, len(often)))
+        here = place[t] >= 0
+        w[q[here], place[t[here]]] = n[here]
+        score = w @ dense
+        each = rare[t]
+        at = np.repeat(start[t] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        score += np.bincount(np.repeat(q * width, each) + doc[at], part[at] * np.repeat(n, each), (high - low) * width).reshape(high - low, width)
+        need = best.kth[low:high] - SLACK
+        if width > best.k and (need < 0).any():
+            open_ = need < 0
+            need[open_] = np.partition(score[open_], width - best.k, axis=1)[:, width - best.k] - SLACK
+        hit_q, hit_d = np.nonzero((score > 0) & (score >= need[:, None]))
+        if len(hit_q):
+            best.take(hit_q + low, np.round(score[hit_q, hit_d], 6), hit_d, names)
+        low = high
+
+
+def _search_pass(idf: dict[tuple, tuple[np.ndarray, np.ndarray, float]], first: np.ndarray, word: np.ndarray, times: np.ndarray, names: list[str], n_terms: int, k: int, schema: list[tuple[str, pa.DataType]]):
+    """(by..., key, chunk_id, score): the `k` best of each query in a partition of `merged_postings`. `idf` has for each value
+    of `by` its words, their idf and the mean length."""
+    n_by = len(schema) - 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, _Best] = {}
+        held: dict[tuple, list] = {}
+        load = [0, 0]
+
+        def flush() -> None:
+            for of, parts in held.items():
+                known, value, mean = idf[of]
+                weight = np.zeros(n_terms)
+                weight[known] = value
+                ids = [i for x, *_ in parts for i in x]
+                base = np.cumsum([0] + [len(x) for x, *_ in parts])
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                rank = np.empty(len(ids), np.int64)
+                rank[order] = np.arange(len(ids))
+                doc = rank[np.concatenate([d + at for (_, d, *_), at in zip(parts, base, strict=False)])]
+                term, tf, size = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
+                part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+                _score_shard(doc, term, part, [ids[i] for i in order], first, word, times, n_terms, best.setdefault(of, _Best(len(names), k)))
+            held.clear()
+            load[:] = 0, 0
+
+        for b in batches:
+            for at in range(0, b.num_rows, SHARD):
+                t = pa.table(b.slice(at, SHARD))
+                t = t.filter(pc.greater(pc.list_value_length(t["term"]), 0))
+                values = list(zip(*(t[i].to_pylist() for i in range(n_by)), strict=True)) if n_by else [()] * len(t)
+                for of in dict.fromkeys(values):
+                    if None in of:
+                        continue
+                    some = t.filter(pa.array([x == of for x in values])) if n_by else t
+                    term = some["term"].combine_chunks()
+                    numbers = [x.combine_chunks().flatten().to_numpy().astype(np.int64) for x in (some["term"], some["tf"], some["size"])]
+                    held.setdefault(of, []).append((some["chunk_id"].to_pylist(), pc.list_parent_indices(term).to_numpy(), *numbers))
+                    load[0] += len(some)
+                    load[1] += len(numbers[0])
+                if load[0] >= SHARD or load[1] > POSTINGS:
+                    flush()
+        flush()
+        for of, x in best.items():
+            columns = [*([v] * len(x.q) for v in of), [names[i] for i in x.q.tolist()], [x.names[i] for i in x.at.tolist()], x.score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
+
+    return run
+
+
+def searched_hits(different: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, chunk_id, score), at least the best of queries (key, words: term, times), searched in tasks.
+
+    A row of a chunk has all its words, so a task has the whole score of every pair of its chunks and gives back its own
+    `limit` best of each query: no row of a word, or of a pair, is shuffled. Queries go to the tasks in passes of PASS_QUERIES
+    and PASS_TERMS; for each the postings of its words are stored when the plan is made, and their frequencies come to the driver.
+    """
+    spark = corpus.sparkSession
+    out, block, size = None, [], 0
+
+    def search(block: list) -> DataFrame:
+        vocabulary = sorted({w["term"] for _, words in block for w in words})
+        number = {t: i for i, t in enumerate(vocabulary)}
+        first = np.cumsum([0] + [len(words) for _, words in block])
+        word = np.array([number[w["term"]] for _, words in block for w in words], np.int64)
+        times = np.array([w["times"] for _, words in block for w in words], float)
+        laid = stored(numbered_postings(corpus, vocabulary, by))
+        totals = {tuple(r)[:-2]: (r["n"], r["mean"]) for r in laid.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("mean")).collect()}
+        merged = merged_postings(laid, by)
+        df = merged.select(*by, "term").mapInArrow(_document_frequencies(len(by)), f"{_kinds(corpus, *by) + ', ' if by else ''}term int, df long").groupBy(*by, "term").agg(F.sum("df").alias("df"))
+        df = df.toArrow()  # of each value of `by` a row of each word of the pass
+        rows: dict[tuple, list[int]] = {}
+        for i, of in enumerate(zip(*(df[x].to_pylist() for x in by), strict=True) if by else [()] * len(df)):
+            rows.setdefault(of, []).append(i)
+        known, count = df["term"].to_numpy(), df["df"].to_numpy()
+        idf = {of: (known[at], np.log(1 + (totals[of][0] - count[at] + 0.5) / (count[at] + 0.5)), totals[of][1]) for of, at in rows.items()}
+        live = merged.where("chunk_id is not null")
+        live = live.join(allowed.select(*by, "chunk_id"), [*by, "chunk_id"], "left_semi") if allowed is not None else live
+        kinds = f"{_kinds(corpus, *by) + ', ' if by else ''}key string, {_kinds(corpus, 'chunk_id')}, score double"
+        arrow = spark.createDataFrame([], kinds).toArrow().schema
+        return live.select(*by, "chunk_id", "size", "term", "tf").mapInArrow(_search_pass(idf, first, word, times, [k for k, _ in block], len(vocabulary), limit, [(f.name, f.type) for f in arrow]), kinds)
+
+    for row in different.orderBy("key").toLocalIterator():
+        if block and (len(block) == PASS_QUERIES or size + len(row["words"]) > PASS_TERMS):
+            part = search(block)
+            out, block, size = (part if out is None else out.unionByName(part)), [], 0
+        block.append((row["key"], row["words"]))
+        size += len(row["words"])
+    part = search(block)
+    return part if out is None else out.unionByName(part)
+
+
+def keyword_hits(queries: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., query_id, chunk_id, score, rank): the best of BM25 over title and content of `corpus` (chunk_id, title, content).
+
+    Statistics are those of the whole corpus, with `by` of each of its partitions, all in one plan. Queries of the same words
+    are searched once. `allowed` restricts what may be a hit before the limit; chunks without an id are none. Scores are
+    rounded to 6 places before they are ranked, so that the order of sums doesn't matter. Queries of up to PASSES passes are
+    searched in tasks (`searched_hits`), more are joined by word (`joined_hits`).
+    """
+    q = query_terms(queries)
+    words = F.sort_array(F.collect_list(F.struct("term", "times")))
+    text = F.array_join(F.transform("words", lambda w: F.concat_ws(":", w["term"], w["times"])), " ")
+    asked = stored(q.groupBy("query_id").agg(words.alias("words")).withColumn("key", F.md5(text)))
+    different = asked.groupBy("key").agg(F.first("words").alias("words"))
+    many = different.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
+    if max(many["n"] / PASS_QUERIES, many["words"] / PASS_TERMS) <= PASSES:
+        found = searched_hits(different, corpus, allowed, limit=limit, by=by)
+    else:
+        found = joined_hits(different.select(F.col("key").alias("query_id"), F.inline("words")), corpus, allowed, limit=limit, by=by).withColumnRenamed("query_id", "key")
+    w = Window.partitionBy(*by, "key").orderBy(F.desc("score"), "chunk_id")
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return asked.select("query_id", "key").join(top, "key").select(*by, "query_id", "chunk_id", "score", "rank")
 
 
 def semantic_hits(query_vectors: DataFrame, chunk_vectors: DataFrame, allowed: DataFrame | None = None, *, limit: int = ARM, by: str | None = None) -> DataFrame:
