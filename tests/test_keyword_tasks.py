@@ -15,14 +15,14 @@ def rows_shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-def tables(spark, path, *, n=600, asked=40, copies=1, seed=4):
+def tables(spark, path, *, n=600, asked=40, copies=1, seed=4, blank=True):
     """Documents and passages of equally frequent words: none is a stop word, so all are essential. Each item a is a document of its own."""
     r = random.Random(seed)
     words = [f"w{i}" for i in range(30)]
     docs = [(i, " ".join(r.choices(words, k=r.randint(10, 40))), "en", "web", 0) for i in range(n)]
     docs += [(i, t + (" w1 w2" if i % 2 else ""), *x) for i, t, *x in docs[:60]] * (copies - 1)  # repeated ids, half of them with the same text
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
-    items = [(i, " ".join(r.choices(words, k=12))) for i in range(asked)] + [(asked, None), (asked + 1, ""), (asked + 2, "nowhere")]
+    items = [(i, " ".join(r.choices(words, k=12))) for i in range(asked)] + [(asked + 2, "nowhere")] + ([(asked, None), (asked + 1, "")] if blank else [])
     items += [(asked + 3, items[0][1]), (asked + 4, " ".join(reversed(items[0][1].upper().split())))]  # asked more than once
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)], 0) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
@@ -37,12 +37,13 @@ def check(spark, path, name):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
 
 
-def test_no_row_of_a_pair_of_query_and_document_is_shuffled(spark, tmp_path):
-    tables(spark, tmp_path)
+@pytest.mark.parametrize("name", ["q10_keyword_search", "q13_hybrid_search"])
+def test_no_row_of_a_pair_of_query_and_document_is_shuffled(spark, tmp_path, name):
+    tables(spark, tmp_path, blank=name.startswith("q1") and name != "q13_hybrid_search")  # the others answer those with a row empty_query
     before = rows_shuffled(spark)
-    check(spark, tmp_path, "q10_keyword_search")
-    # about 6 of 10 documents hold a word, and each word of 40 queries: 40 x 11 x 600 x 0.6 rows of words by the way of joins
-    assert rows_shuffled(spark) - before < 30_000
+    check(spark, tmp_path, name)
+    # the way of joins shuffles 94,852 to 142,267; four parts of 150 documents each have the best 50, of either arm
+    assert rows_shuffled(spark) - before < (90_000 if name == "q13_hybrid_search" else 30_000)
 
 
 @pytest.mark.parametrize("limits", [{}, {"PASS_QUERIES": 7}, {"PASS_TERMS": 50}, {"PASSES": 0}, {"SHARD": 32, "AT_ONCE": 5, "RARE": 100, "DENSE": 2}])
