@@ -37,7 +37,7 @@ def check(spark, path, name):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q10_keyword_search", "q13_hybrid_search", "q25_search_without_vectors"])
+@pytest.mark.parametrize("name", ["q10_keyword_search", "q13_hybrid_search", "q25_search_without_vectors", "q12_fusion"])
 def test_no_row_of_a_pair_of_query_and_document_is_shuffled(spark, tmp_path, name):
     tables(spark, tmp_path, blank=name.startswith("q1") and name != "q13_hybrid_search")  # the others answer those with a row empty_query
     before = rows_shuffled(spark)
